@@ -29,9 +29,19 @@ def strip(text: Column) -> Column:
 
 
 def string_array(values: Sequence[str]) -> Column:
+    """Constant array; one literal that the optimizer splits once, not one per value."""
     if not values:
         return F.array().cast("array<string>")
-    return F.array(*[F.lit(v) for v in values])
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
+def computed_once(*columns: Column) -> Column:
+    """Named columns for ``select`` that later filters and sums never recompute.
+
+    The optimizer merges projections and so repeats an expression for each use; it
+    does not move expressions through a generator.
+    """
+    return F.inline(F.array(F.struct(*columns)))
 
 
 def or_empty(values: Column) -> Column:

@@ -27,7 +27,7 @@ STEP = 1 << 21  # joined entries held at a time inside a cell
 SCHEMA = "r string, j string, " + ", ".join(f"{c} long" for c in SUMS)
 
 
-def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+def list_items(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     """Row number of every element, and the elements, of a list column."""
     array = column.combine_chunks()
     if isinstance(array, pa.ChunkedArray):
@@ -69,19 +69,19 @@ def _shared(left, right, shape):
 
 
 def _entries(table: pa.Table, kind: int):
-    rows, items = _lists(table["entries"])
+    rows, items = list_items(table["entries"])
     keep = items.field("kind").to_numpy(zero_copy_only=False) == kind
     tf = items.field("tf").to_numpy(zero_copy_only=False)[keep].astype(float)
     return rows[keep], items.field("term").filter(pa.array(keep)), tf
 
 
 def _skills(table: pa.Table):
-    rows, items = _lists(table["skills"])
+    rows, items = list_items(table["skills"])
     return rows, items, np.ones(len(rows))
 
 
 def _unit_vectors(table: pa.Table) -> np.ndarray:
-    rows, items = _lists(table["vec"])
+    rows, items = list_items(table["vec"])
     if not len(rows):
         return np.zeros((table.num_rows, 1))
     width = int(np.bincount(rows).max())

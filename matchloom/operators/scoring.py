@@ -7,7 +7,7 @@ have it and ``k = 1 + ln 1.5`` otherwise. So, with sums over the shared terms,
     norm_i = k^2 * mass_i - (k^2 - 1) * sum tf_i^2
 
 and no per-pair fitting is needed. Only when a pair has more distinct terms than
-``max_terms`` do the terms have to be ranked (:func:`capped_tfidf`).
+``max_terms`` do the terms have to be ranked (``operators.capped``).
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from matchloom.config import MatchConfig
-from matchloom.operators.sides import TERM
 
 K2 = (1 + math.log(1.5)) ** 2
 SLACK = 1e-9
@@ -59,39 +58,6 @@ def capped_bound(s1: Column, s2: Column, shared: Column, max_terms: int) -> Colu
     return F.coalesce(F.sqrt(F.try_divide(most, F.lit(K2) * unshared + most)), F.lit(0.0))
 
 
-def capped_tfidf(entries1: Column, entries2: Column, max_terms: int) -> Column:
-    """Score over the ``max_terms`` terms with the highest summed count.
-
-    Ties go to the term that sorts first.
-    """
-
-    def counts(entries: Column) -> Column:
-        return F.map_from_entries(F.transform(
-            F.filter(entries, lambda e: e["kind"] == TERM),
-            lambda e: F.struct(e["term"].alias("key"), e["tf"].alias("value"))))
-
-    zero = F.lit(0)
-    merged = F.map_entries(F.map_zip_with(
-        counts(entries1), counts(entries2),
-        lambda _, a, b: F.struct(F.coalesce(a, zero).alias("a"), F.coalesce(b, zero).alias("b"))))
-    ranked = F.sort_array(F.transform(merged, lambda e: F.struct(
-        (-(e["value"]["a"] + e["value"]["b"])).alias("order"), e["key"].alias("term"),
-        e["value"]["a"].cast("double").alias("a"), e["value"]["b"].cast("double").alias("b"))))
-
-    def add(acc: Column, e: Column) -> Column:
-        idf2 = F.when((e["a"] > 0) & (e["b"] > 0), F.lit(1.0)).otherwise(F.lit(K2))
-        return F.struct(
-            (acc["dot"] + e["a"] * e["b"]).alias("dot"),
-            (acc["n1"] + idf2 * e["a"] * e["a"]).alias("n1"),
-            (acc["n2"] + idf2 * e["b"] * e["b"]).alias("n2"))
-
-    start = F.struct(*[F.lit(0.0).alias(n) for n in ("dot", "n1", "n2")])
-    return F.aggregate(
-        F.slice(ranked, 1, max_terms), start, add,
-        lambda acc: F.when(acc["n1"] * acc["n2"] > 0, acc["dot"] / F.sqrt(acc["n1"] * acc["n2"]))
-        .otherwise(F.lit(0.0)))
-
-
 def vector_cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors in doubles; 0 when one is missing or zero."""
 

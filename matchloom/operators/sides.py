@@ -33,9 +33,9 @@ KEYWORD, TERM = 0, 1
 Encoder = Callable[[Column], Column]
 
 
-def job_key(job_id: Column) -> Column:
+def job_key(job_id: Column | str) -> Column:
     """Key without NULL that sorts as the job id does, NULL first."""
-    return F.coalesce(F.concat(F.lit("="), job_id), F.lit(""))
+    return F.coalesce(F.concat(F.lit("="), F.col(job_id) if isinstance(job_id, str) else job_id), F.lit(""))
 
 
 def _with_words(docs: DataFrame, text: str, config: MatchConfig) -> DataFrame:
@@ -75,20 +75,30 @@ def entity_skills(entities: DataFrame, labels=lexicon.ENTITY_LABELS) -> DataFram
     )
 
 
-def _attach(docs: DataFrame, key: str, vectors: DataFrame | None, entities: DataFrame | None,
+def _attach(docs: DataFrame, key: Callable[[str], Column], id_column: str,
+            vectors: DataFrame | None, entities: DataFrame | None,
             encoder: Encoder | None) -> DataFrame:
-    """Add ``vec`` and ``found`` (entity skills) to documents with a ``match_text``."""
+    """Add ``key``, ``vec`` and ``found`` (entity skills) to documents with a ``match_text``."""
+    docs = docs.withColumn("key", key(id_column))
+    if vectors is not None or entities is not None:
+        # The expensive columns come after these joins. A set number of partitions
+        # keeps them parallel; adaptive execution would size the tasks by their
+        # bytes, which are few.
+        partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        docs = docs.repartition(partitions, "key")
     if vectors is not None:
-        found = vectors.select(F.col(key).alias("_k"), F.col("embedding").alias("vec"))
-        docs = docs.join(found, docs[key].eqNullSafe(found["_k"]), "left").drop("_k")
+        docs = docs.join(
+            vectors.select(key(id_column).alias("key"), F.col("embedding").alias("vec")),
+            "key", "left")
     elif encoder is not None:
         docs = docs.withColumn("vec", encoder(F.col("match_text")))
     else:
         docs = docs.withColumn("vec", F.lit(None).cast("array<float>"))
     if entities is None:
         return docs.withColumn("found", F.array().cast("array<string>"))
-    named = entity_skills(entities).select(F.col("doc_id").alias("_d"), F.col("skills").alias("found"))
-    return docs.join(named, docs[key].eqNullSafe(named["_d"]), "left").drop("_d")
+    named = entity_skills(entities).select(
+        key("doc_id").alias("key"), F.col("skills").alias("found"))
+    return docs.join(named, "key", "left")
 
 
 def resume_side(resumes: DataFrame, config: MatchConfig, vectors: DataFrame | None = None,
@@ -98,8 +108,7 @@ def resume_side(resumes: DataFrame, config: MatchConfig, vectors: DataFrame | No
         "resume_file", or_empty(F.col("skills")).alias("listed"),
         join_text(F.col("text"), F.concat_ws(" ", F.col("skills"))).alias("match_text"),
     )
-    return _side(_attach(docs, "resume_file", vectors, entities, encoder), F.col("resume_file"),
-                 config)
+    return _side(_attach(docs, F.col, "resume_file", vectors, entities, encoder), config)
 
 
 def job_side(jobs: DataFrame, config: MatchConfig, vectors: DataFrame | None = None,
@@ -110,14 +119,13 @@ def job_side(jobs: DataFrame, config: MatchConfig, vectors: DataFrame | None = N
         join_text(F.col("title"), F.col("description"), F.concat_ws(" ", F.col("skills")))
         .alias("match_text"),
     )
-    return _side(_attach(docs, "job_id", vectors, entities, encoder), job_key(F.col("job_id")),
-                 config)
+    return _side(_attach(docs, job_key, "job_id", vectors, entities, encoder), config)
 
 
-def _side(docs: DataFrame, key: Column, config: MatchConfig) -> DataFrame:
+def _side(docs: DataFrame, config: MatchConfig) -> DataFrame:
     tags = sk.skill_tags(F.col("match_text"), config.skill_tag_groups)
     docs = docs.select(
-        key.alias("key"), "listed", "vec", "match_text",
+        "key", "listed", "vec", "match_text",
         sk.lower_set(sk.all_skills(F.col("listed"), tags, F.col("found"))).alias("skills"))
     return _with_entries(_with_words(docs, "match_text", config))
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from matchloom.config import MatchConfig
 from matchloom.operators.blocks import block_sums
 from matchloom.operators.scoring import (
-    SLACK, capped_bound, capped_tfidf, keyword_score, tfidf_score, vector_cosine,
+    SLACK, capped_bound, keyword_score, tfidf_score, vector_cosine,
 )
 from matchloom.functions.skills import skill_coverage
+from matchloom.functions.text import computed_once
+from matchloom.operators.capped import capped_tfidf
 from matchloom.operators.shared import materialize
 from matchloom.operators.sides import KEYWORD, TERM
 from matchloom.operators.term_join import pruned_sums
@@ -70,12 +72,8 @@ def tfidf_pairs(resumes: DataFrame, jobs: DataFrame, config: MatchConfig,
     pairs = materialize(
         pairs.where(F.when(over, bound).otherwise(c("score")) >= least - SLACK)
         .select("r", "j", "score", "n_terms"), "tfidf")
-    ranked = (
-        pairs.where(over)
-        .join(resumes.select(c("key").alias("r"), c("entries").alias("e1")), "r")
-        .join(jobs.select(c("key").alias("j"), c("entries").alias("e2")), "j")
-        .withColumn("score", capped_tfidf(c("e1"), c("e2"), config.max_terms))
-    )
+    ranked = capped_tfidf(pairs.where(over), resumes, jobs, config.max_terms).withColumnRenamed(
+        "capped", "score")
     columns = ["r", "j", "score"]
     return pairs.where(~over).select(*columns).unionByName(ranked.select(*columns)).where(
         c("score") >= least)
@@ -89,7 +87,7 @@ def vector_pairs(resumes: DataFrame, jobs: DataFrame, config: MatchConfig,
     return (
         sums.select("r", "j").join(_stats(resumes, "r", 1, "vec"), "r")
         .join(_stats(jobs, "j", 2, "vec"), "j")
-        .select("r", "j", score.alias("score")).where(F.col("score") >= least)
+        .select("r", "j", computed_once(score.alias("score"))).where(F.col("score") >= least)
     )
 
 
@@ -101,7 +99,7 @@ def skill_pairs(resumes: DataFrame, jobs: DataFrame, config: MatchConfig,
     return (
         sums.select("r", "j").join(_stats(resumes, "r", 1, "skills"), "r")
         .join(_stats(jobs, "j", 2, "skills"), "j")
-        .select("r", "j", score.alias("score")).where(F.col("score") >= least)
+        .select("r", "j", computed_once(score.alias("score"))).where(F.col("score") >= least)
     )
 
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from matchloom.config import MatchConfig
 from matchloom.functions.skills import matched_skills, skill_coverage
+from matchloom.functions.text import computed_once
 from matchloom.operators.blocks import block_sums
+from matchloom.operators.capped import capped_tfidf
 from matchloom.operators.keys import null_safe_lookup, top_per_key
 from matchloom.operators.scoring import (
-    SLACK, capped_bound, capped_tfidf, keyword_score, tfidf_score, total_score, vector_cosine,
+    SLACK, capped_bound, keyword_score, tfidf_score, total_score, vector_cosine,
 )
 from matchloom.operators.shared import materialize
 from matchloom.operators.sides import Encoder, job_side, resume_side
@@ -40,13 +42,14 @@ def score_pairs(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame, config: M
     semantic = vector_cosine(c("vec1"), c("vec2")) if config.semantic else F.lit(0.0)
     tfidf = tfidf_score(c("dot"), c("s1"), c("s2"), c("mass1"), c("mass2"))
     scored = pairs.join(left, "r").join(right, "j").select(
-        "r", "j",
-        keyword_score(c("kw_shared"), c("n_kw1"), c("n_kw2")).alias("keyword"),
-        tfidf.alias("tfidf"),
-        semantic.alias("semantic"),
-        skill_coverage(c("skills1"), c("skills2")).alias("skills"),
+        "r", "j", "s1", "s2", "shared",
         (c("n_terms1") + c("n_terms2") - c("shared")).alias("n_terms"),
-        "s1", "s2", "shared",
+        computed_once(
+            keyword_score(c("kw_shared"), c("n_kw1"), c("n_kw2")).alias("keyword"),
+            tfidf.alias("tfidf"),
+            semantic.alias("semantic"),
+            skill_coverage(c("skills1"), c("skills2")).alias("skills"),
+        ),
     )
     total = total_score(c("keyword"), c("tfidf"), c("semantic"), c("skills"), config)
     parts = ["r", "j", "keyword", "tfidf", "semantic", "skills"]
@@ -58,12 +61,10 @@ def score_pairs(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame, config: M
         best = scored.withColumn("tfidf", F.coalesce(bound, c("tfidf")))
         best = materialize(best.where(total >= threshold - SLACK).select(*parts, "n_terms"),
                            "scored")
-        ranked = (
-            best.where(over)
-            .join(resumes.select(F.col("key").alias("r"), F.col("entries").alias("e1")), "r")
-            .join(jobs.select(F.col("key").alias("j"), F.col("entries").alias("e2")), "j")
-            .withColumn("tfidf", capped_tfidf(c("e1"), c("e2"), config.max_terms))
-        )
+        long = best.where(over)
+        ranked = long.drop("tfidf").join(
+            capped_tfidf(long, resumes, jobs, config.max_terms)
+            .withColumnRenamed("capped", "tfidf"), ["r", "j"])
         done = best.where(~over).select(*parts).unionByName(ranked.select(*parts))
     return done.withColumn("total", total).where(c("total") >= threshold)
 

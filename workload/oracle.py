@@ -128,7 +128,7 @@ FROM ranked WHERE rank <= 10"""
 
 def percent(value: str) -> str:
     """One decimal, halves up, taken from the shortest decimal text of the number."""
-    exact = f"cast(cast({value} AS varchar) AS decimal(30, 15))"
+    exact = f"cast(cast({value} AS varchar) AS decimal(38, 22))"
     return f"cast(cast(round({exact}, 1) AS decimal(20, 1)) AS varchar) || '%'"
 
 
