@@ -21,10 +21,15 @@ def tag_pattern(terms: Sequence[str]) -> str:
     return r"\b(" + "|".join(escape_term(t) for t in terms) + r")\b"
 
 
+def _guarded(terms: Sequence[str]) -> str:
+    """The same pattern behind a look at the first letter, which fails fast."""
+    return "(?=[" + "".join(escape_term(c) for c in sorted({t[0] for t in terms})) + "])" + tag_pattern(terms)
+
+
 def skill_tags(text: Column, groups: Sequence[Sequence[str]] = lexicon.SKILL_TAG_GROUPS) -> Column:
     """Listed terms that stand as whole words in the text, each once."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    hits = [F.regexp_extract_all(lowered, F.lit(tag_pattern(g)), F.lit(1)) for g in groups]
+    hits = [F.regexp_extract_all(lowered, F.lit(_guarded(g)), F.lit(1)) for g in groups]
     return F.array_distinct(F.concat(*hits))
 
 

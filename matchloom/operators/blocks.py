@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from matchloom.config import MatchConfig
 from matchloom.operators.scoring import K2, SLACK, SUMS
+from matchloom.operators.shared import cell_partitions
 from matchloom.operators.sides import KEYWORD, TERM
 
 RESUMES_PER_CELL = 512
-JOBS_PER_CELL = 1024
+JOBS_PER_CELL = 2048
 STEP = 1 << 21  # joined entries held at a time inside a cell
 SCHEMA = "r string, j string, " + ", ".join(f"{c} long" for c in SUMS)
 
@@ -172,7 +173,6 @@ def block_sums(resumes: DataFrame, jobs: DataFrame, config: MatchConfig, thresho
     # Enough cells to keep every core busy, but none above the size limit.
     wanted = math.ceil(3 * spark.sparkContext.defaultParallelism / r_groups)
     j_groups = max(1, math.ceil(n_jobs / JOBS_PER_CELL), min(wanted, math.ceil(n_jobs / 64)))
-    cells = r_groups * j_groups
 
     def group(n: int):
         return F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
@@ -183,8 +183,7 @@ def block_sums(resumes: DataFrame, jobs: DataFrame, config: MatchConfig, thresho
     columns = ["key", "entries", "skills", "vec", "n_kw", "n_terms", "mass"]
     left = resumes.select(*columns, group(r_groups).alias("rg"), spread(j_groups).alias("jg"))
     right = jobs.select(*columns, group(j_groups).alias("jg"), spread(r_groups).alias("rg"))
-    # An explicit partition count is not coalesced by adaptive execution, which
-    # would judge these tasks by their bytes rather than by their work.
-    left, right = (d.repartition(cells, "rg", "jg") for d in (left, right))
+    partitions = cell_partitions(spark, r_groups * j_groups)
+    left, right = (d.repartition(partitions, "rg", "jg") for d in (left, right))
     score = cell_scorer(config, threshold, top_n)
     return left.groupBy("rg", "jg").cogroup(right.groupBy("rg", "jg")).applyInArrow(score, SCHEMA)

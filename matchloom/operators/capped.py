@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from matchloom.operators.blocks import list_items
 from matchloom.operators.scoring import K2
+from matchloom.operators.shared import cell_partitions
 from matchloom.operators.sides import TERM
 
 PAIRS_PER_CELL = 512
@@ -104,6 +105,7 @@ def capped_tfidf(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame,
             F.col("cell").alias("home"), F.lit(n).alias("side"), "key", "entries")
 
     docs = documents(resumes, "r", 0).unionByName(documents(jobs, "j", 1))
-    left, right = dealt.repartition(cells, "cell"), docs.repartition(cells, "home")
+    partitions = cell_partitions(pairs.sparkSession, cells)
+    left, right = dealt.repartition(partitions, "cell"), docs.repartition(partitions, "home")
     return left.groupBy("cell").cogroup(right.groupBy("home")).applyInArrow(
         _cell(max_terms), "r string, j string, capped double")

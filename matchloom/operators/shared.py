@@ -7,21 +7,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folder: str | None = None
+_local_folder: tempfile.TemporaryDirectory | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in a local test, a temporary folder stands in.
+    Only where that is unset, as in a local test, a temporary folder stands in; it
+    goes away with the process.
     """
     global _local_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="matchloom-")
-    return _local_folder
+        _local_folder = tempfile.TemporaryDirectory(prefix="matchloom-")
+    return _local_folder.name
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -38,3 +39,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cell_partitions(spark: SparkSession, cells: int) -> int:
+    """Partitions for a number of equal cells.
+
+    Twice as many as cells, so that few cells share a partition, but never more than
+    the cluster is set up for; a partition may well hold many cells. The number is
+    explicit because adaptive execution would merge tasks that are small in bytes
+    and large in work.
+    """
+    limit = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                8 * spark.sparkContext.defaultParallelism)
+    return max(1, min(2 * cells, limit))
