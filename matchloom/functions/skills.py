@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from matchloom import lexicon
-from matchloom.functions.text import or_empty, string_array
+from matchloom.functions.text import bind, or_empty, string_array
 
 
 def escape_term(term: str) -> str:
@@ -28,16 +28,15 @@ def _guarded(terms: Sequence[str]) -> str:
 
 def skill_tags(text: Column, groups: Sequence[Sequence[str]] = lexicon.SKILL_TAG_GROUPS) -> Column:
     """Listed terms that stand as whole words in the text, each once."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    hits = [F.regexp_extract_all(lowered, F.lit(_guarded(g)), F.lit(1)) for g in groups]
-    return F.array_distinct(F.concat(*hits))
+    return bind(F.lower(F.coalesce(text, F.lit(""))), lambda lowered: F.array_distinct(F.concat(
+        *[F.regexp_extract_all(lowered, F.lit(_guarded(g)), F.lit(1)) for g in groups])))
 
 
 def skill_substrings(text: Column, terms: Sequence[str] = lexicon.SKILL_SUBSTRINGS) -> Column:
     """Listed terms that occur anywhere in the text, inside words too."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    # One codegen'd test per term; a lambda over the list would be interpreted.
-    hits = F.array(*[F.when(F.contains(lowered, F.lit(t)), F.lit(t)) for t in dict.fromkeys(terms)])
+    unique = list(dict.fromkeys(terms))
+    hits = bind(F.lower(F.coalesce(text, F.lit(""))), lambda lowered: F.array(
+        *[F.when(F.contains(lowered, F.lit(t)), F.lit(t)) for t in unique]))
     return F.array_compact(hits)
 
 
@@ -57,7 +56,7 @@ def skill_phrases(
 def resume_skills(text: Column, terms: Sequence[str] = lexicon.SKILL_SUBSTRINGS) -> Column:
     """All skills of a profile text, sorted so that results repeat."""
     both = F.array_union(skill_substrings(text, terms), skill_phrases(text))
-    return F.array_sort(both)
+    return F.sort_array(both)
 
 
 def lower_set(skills: Column) -> Column:
@@ -74,7 +73,7 @@ def skill_coverage(resume_skills: Column, job_skills: Column) -> Column:
 
 def matched_skills(resume_skills: Column, job_skills: Column) -> Column:
     """Skills listed on both sides as written (letter case counts), sorted."""
-    return F.array_sort(F.array_intersect(or_empty(resume_skills), or_empty(job_skills)))
+    return F.sort_array(F.array_intersect(or_empty(resume_skills), or_empty(job_skills)))
 
 
 def all_skills(listed: Column, extracted: Column, *more: Column) -> Column:

@@ -17,7 +17,7 @@ vec          sentence vector or NULL
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ from matchloom import lexicon
 from matchloom.config import MatchConfig
 from matchloom.functions import skills as sk
 from matchloom.functions.text import (
-    join_text, keyword_set, or_empty, term_counts, tokens, unigrams_and_bigrams,
+    join_text, keyword_set, or_empty, string_array, term_counts, tokens, unigrams_and_bigrams,
 )
 
 KEYWORD, TERM = 0, 1
@@ -35,15 +35,18 @@ Encoder = Callable[[Column], Column]
 
 def job_key(job_id: Column | str) -> Column:
     """Key without NULL that sorts as the job id does, NULL first."""
-    return F.coalesce(F.concat(F.lit("="), F.col(job_id) if isinstance(job_id, str) else job_id), F.lit(""))
+    column = F.col(job_id) if isinstance(job_id, str) else job_id
+    return F.coalesce(F.concat(F.lit("="), column), F.lit(""))
 
 
-def _with_words(docs: DataFrame, text: str, config: MatchConfig) -> DataFrame:
+def _with_words(docs: DataFrame, text: str, config: MatchConfig,
+                kinds: Collection[int] = (KEYWORD, TERM)) -> DataFrame:
     """Replace the text by its keywords and counted terms."""
+    words = tokens(F.col(text), config.tfidf_stop_words) if TERM in kinds else string_array([])
     return docs.withColumns({
-        "kw": keyword_set(F.col(text), config.stop_words),
-        "terms": term_counts(
-            unigrams_and_bigrams(tokens(F.col(text), config.tfidf_stop_words))),
+        "kw": (keyword_set(F.col(text), config.stop_words) if KEYWORD in kinds
+               else string_array([])),
+        "terms": term_counts(unigrams_and_bigrams(words)),
     }).drop(text)
 
 
@@ -71,7 +74,7 @@ def entity_skills(entities: DataFrame, labels=lexicon.ENTITY_LABELS) -> DataFram
     return (
         entities.where(F.col("label").isin(list(labels)))
         .where((F.length(name) > 2) & ~name.rlike(r"^\p{Nd}+$"))
-        .groupBy("doc_id").agg(F.array_sort(F.collect_set(name)).alias("skills"))
+        .groupBy("doc_id").agg(F.sort_array(F.collect_set(name)).alias("skills"))
     )
 
 
@@ -130,7 +133,8 @@ def _side(docs: DataFrame, config: MatchConfig) -> DataFrame:
     return _with_entries(_with_words(docs, "match_text", config))
 
 
-def text_side(docs: DataFrame, key: str, text: str, config: MatchConfig) -> DataFrame:
-    """Side of bare texts, for the text scores alone."""
+def text_side(docs: DataFrame, key: str, text: str, config: MatchConfig,
+              kinds: Collection[int] = (KEYWORD, TERM)) -> DataFrame:
+    """Side of bare texts, for the text scores alone or one of them."""
     docs = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    return _with_entries(_with_words(docs, "text", config))
+    return _with_entries(_with_words(docs, "text", config, kinds))

@@ -61,7 +61,7 @@ def match_totals(jobs: DataFrame, matches: DataFrame) -> DataFrame:
 def statistics(jobs: DataFrame, matches: DataFrame, n: int = 5) -> DataFrame:
     """Totals and the top companies ``array<struct<name, count>>`` in one row."""
     companies = top_companies(jobs, matches, n).agg(
-        F.array_sort(F.collect_list(F.struct(
+        F.sort_array(F.collect_list(F.struct(
             (-F.col("match_count")).alias("order"), F.col("company").alias("name")))).alias("c")
     ).select(F.lit(1).alias("_one"), F.transform(
         "c", lambda x: F.struct(x["name"].alias("name"), (-x["order"]).alias("count")))
@@ -110,7 +110,7 @@ def resume_groups(matches: DataFrame, n: int = 10, order=None) -> DataFrame:
     best = top_matches(matches, n, order)
     fields = [c for c in best.columns if c not in ("resume_file", "rank")]
     arrays = best.groupBy("resume_file").agg(
-        F.array_sort(F.collect_list(F.struct("rank", *fields))).alias("matches"))
+        F.sort_array(F.collect_list(F.struct("rank", *fields))).alias("matches"))
     return matches_per_resume(matches).join(arrays, "resume_file")
 
 
@@ -158,7 +158,7 @@ def digest_cards(matches: DataFrame, n: int = 10, n_skills: int = 10) -> DataFra
     """The ``n`` best matches of each resume, each as an HTML card."""
     best = top_matches(matches, n)
     scores = [labelled_percent(p, F.col(f"score_breakdown.{p}")) for p in SCORE_PARTS]
-    skills = F.slice(F.array_sort(or_empty(F.col("matched_skills"))), 1, n_skills)
+    skills = F.slice(F.sort_array(or_empty(F.col("matched_skills"))), 1, n_skills)
     tags = F.array_join(
         F.transform(skills, lambda s: F.concat(F.lit("<li>"), _escaped(s), F.lit("</li>"))), "")
     card = F.concat(
@@ -175,7 +175,7 @@ def digest_cards(matches: DataFrame, n: int = 10, n_skills: int = 10) -> DataFra
 def digest(matches: DataFrame, n: int = 10) -> DataFrame:
     """One HTML section per resume: its number of matches and its best cards."""
     cards = digest_cards(matches, n).groupBy("resume_file").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "card"))), lambda x: x["card"]), "")
+        F.sort_array(F.collect_list(F.struct("rank", "card"))), lambda x: x["card"]), "")
         .alias("cards"))
     return matches_per_resume(matches).join(cards, "resume_file").select(
         "resume_file", "n_matches",

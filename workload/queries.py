@@ -15,7 +15,7 @@ from matchloom.functions.text import keyword_set, normalize_text
 from matchloom.functions.web import job_id_from_url
 from matchloom.operators import text_pairs
 from matchloom.operators.shared import materialize, new_folder
-from matchloom.operators.sides import entity_skills, job_key, text_side
+from matchloom.operators.sides import KEYWORD, TERM, entity_skills, job_key, text_side
 from matchloom.operators.store import Store, latest_status, matched_jobs, unmatched_jobs, with_applied
 from matchloom.plans import matching, reporting, runs
 from matchloom.sources.pages import job_cards, job_details, union_batches
@@ -50,7 +50,7 @@ def score(value: Column | str) -> Column:
 
 
 def listed(values: Column | str) -> Column:
-    return F.array_join(F.array_sort(values), "|")
+    return F.array_join(F.sort_array(values), "|")
 
 
 def clock(ts: Column | str) -> Column:
@@ -324,11 +324,10 @@ def entity_skill_sets(spark, sf):
 # Similarity ----------------------------------------------------------------------------
 
 
-def sides(spark, sf, config=FLAGSHIP):
-    return (
-        materialize(text_side(views.texts(spark, sf, "benchmark"), "item_id", "text", config), "left"),
-        materialize(text_side(views.texts(spark, sf, "documents"), "doc_id", "text", config), "right"),
-    )
+def sides(spark, sf, kind, config=FLAGSHIP):
+    return [
+        materialize(text_side(views.texts(spark, sf, name), key, "text", config, [kind]), name)
+        for name, key in (("benchmark", "item_id"), ("documents", "doc_id"))]
 
 
 def numbered(pairs: DataFrame, *columns: Column) -> DataFrame:
@@ -338,20 +337,20 @@ def numbered(pairs: DataFrame, *columns: Column) -> DataFrame:
 
 @query
 def keyword_jaccard(spark, sf):
-    pairs = text_pairs.keyword_pairs(*sides(spark, sf), FLAGSHIP, LEAST["keyword"])
+    pairs = text_pairs.keyword_pairs(*sides(spark, sf, KEYWORD), FLAGSHIP, LEAST["keyword"])
     return numbered(pairs, "shared", score("score").alias("score"))
 
 
 @query
 def tfidf_pairs(spark, sf):
     config = MatchConfig(max_terms=None)
-    pairs = text_pairs.tfidf_pairs(*sides(spark, sf, config), config, LEAST["tfidf"])
+    pairs = text_pairs.tfidf_pairs(*sides(spark, sf, TERM, config), config, LEAST["tfidf"])
     return numbered(pairs, score("score").alias("score"))
 
 
 @query
 def tfidf_pairs_capped(spark, sf):
-    pairs = text_pairs.tfidf_pairs(*sides(spark, sf), FLAGSHIP, LEAST["tfidf"])
+    pairs = text_pairs.tfidf_pairs(*sides(spark, sf, TERM), FLAGSHIP, LEAST["tfidf"])
     return numbered(pairs, score("score").alias("score"))
 
 
