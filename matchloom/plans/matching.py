@@ -69,6 +69,20 @@ def score_pairs(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame, config: M
     return done.withColumn("total", total).where(c("total") >= threshold)
 
 
+def prepare_resumes(
+    resumes: DataFrame,
+    config: MatchConfig,
+    *,
+    resume_vectors: DataFrame | None = None,
+    resume_entities: DataFrame | None = None,
+    encoder: Encoder | None = None,
+) -> DataFrame:
+    """The resume side of a match as a stored table."""
+    return materialize(
+        resume_side(resumes, config, resume_vectors if config.semantic else None, resume_entities,
+                    encoder if config.semantic else None), "resume-side")
+
+
 def score_matches(
     resumes: DataFrame,
     jobs: DataFrame,
@@ -81,21 +95,23 @@ def score_matches(
     resume_entities: DataFrame | None = None,
     job_entities: DataFrame | None = None,
     encoder: Encoder | None = None,
+    prepared_resumes: DataFrame | None = None,
 ) -> DataFrame:
     """``(job_id, resume_file, match_score, score_breakdown, matched_skills)``.
 
     ``resumes`` are parsed records, ``jobs`` have unique ids. Vectors come as tables
     ``(resume_file | job_id, embedding)`` or from ``encoder``, a function from a text
-    column to an ``array<float>`` column (a pandas UDF, say).
+    column to an ``array<float>`` column (a pandas UDF, say). Runs that repeat with the
+    same resumes pass them as ``prepared_resumes`` (see :func:`prepare_resumes`).
     """
     threshold = config.threshold if threshold is None else threshold
-    encoder = encoder if config.semantic else None
-    left = materialize(
-        resume_side(resumes, config, resume_vectors if config.semantic else None, resume_entities,
-                    encoder), "resume-side")
+    left = prepared_resumes
+    if left is None:
+        left = prepare_resumes(resumes, config, resume_vectors=resume_vectors,
+                               resume_entities=resume_entities, encoder=encoder)
     right = materialize(
-        job_side(jobs, config, job_vectors if config.semantic else None, job_entities, encoder),
-        "job-side")
+        job_side(jobs, config, job_vectors if config.semantic else None, job_entities,
+                 encoder if config.semantic else None), "job-side")
     need = text_need(config, threshold)
     if need > 0:
         pairs = pruned_sums(left, right, config, need)

@@ -40,6 +40,11 @@ def match_new(
         raise ValueError(f"unknown mode {mode!r}")
     if jobs is None:
         jobs = store.unmatched_jobs() if mode == "job" else store.jobs()
+    if "job_vectors" not in options and "job_entities" not in options:
+        # A store of small batches reads as few tasks, too few for the text work. (The
+        # joins with vectors or entities bring their own partitioning.)
+        partitions = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
+        jobs = jobs.repartition(partitions, "job_id")
     found = score_matches(resumes, jobs, config, **options)
     if mode == "pair":
         found = null_safe_anti(found, store.matches(), MATCH_KEY)

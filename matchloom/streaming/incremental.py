@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from matchloom.config import MatchConfig
 from matchloom.operators.store import Store
 from matchloom.plans import runs
+from matchloom.plans.matching import prepare_resumes
 
 
 def read_files(spark: SparkSession, path: str, schema: StructType, *, file_format: str = "parquet",
@@ -48,11 +49,17 @@ def match_stream(rows: DataFrame, store: Store, resumes: DataFrame, config: Matc
                  now: Column, order: Sequence[Column], checkpoint: str,
                  to_jobs: Callable[[DataFrame], DataFrame] | None = None, **options,
                  ) -> StreamingQuery:
-    """Ingest each batch and match what was new with a static table of resumes."""
+    """Ingest each batch and match what was new with a static table of resumes.
+
+    The resumes are prepared once, not once per batch.
+    """
+    mine = {k: options.pop(k) for k in ("resume_vectors", "resume_entities") if k in options}
+    prepared = prepare_resumes(resumes, config, encoder=options.get("encoder"), **mine)
 
     def handle(batch: DataFrame, number: int) -> None:
         jobs = to_jobs(batch) if to_jobs else batch
-        runs.full_run(store, jobs, resumes, config, str(number), now, order, **options)
+        runs.full_run(store, jobs, resumes, config, str(number), now, order,
+                      prepared_resumes=prepared, **options)
 
     return _start(rows, handle, checkpoint)
 
@@ -70,3 +77,15 @@ def window_counts(matches: DataFrame, length: str = "7 days", late: str = "1 day
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                 "n_matches", "avg_match_score")
     )
+
+
+def window_count_stream(matches: DataFrame, path: str, checkpoint: str, length: str = "7 days",
+                        late: str = "1 day") -> StreamingQuery:
+    """Keep a table of the window counts; every batch replaces it as a whole."""
+
+    def handle(counts: DataFrame, number: int) -> None:
+        counts.write.mode("overwrite").parquet(path)
+
+    return (window_counts(matches, length, late).writeStream.outputMode("complete")
+            .foreachBatch(handle).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())

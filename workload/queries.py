@@ -66,23 +66,23 @@ def now() -> Column:
 
 @query
 def top_companies(spark, sf):
-    return reporting.top_companies(views.jobs(spark, sf), views.matches(spark, sf))
+    return reporting.top_companies(views.plain_jobs(spark, sf), views.matches(spark, sf))
 
 
 @query
 def company_counts(spark, sf):
-    return reporting.company_counts(views.jobs(spark, sf), views.matches(spark, sf))
+    return reporting.company_counts(views.plain_jobs(spark, sf), views.matches(spark, sf))
 
 
 @query
 def match_statistics(spark, sf):
-    totals = reporting.match_totals(views.jobs(spark, sf), views.matches(spark, sf))
+    totals = reporting.match_totals(views.plain_jobs(spark, sf), views.matches(spark, sf))
     return totals.withColumn("avg_match_score", score("avg_match_score"))
 
 
 @query
 def statistics_record(spark, sf):
-    stats = reporting.statistics(views.jobs(spark, sf), views.matches(spark, sf))
+    stats = reporting.statistics(views.plain_jobs(spark, sf), views.matches(spark, sf))
     names = F.transform("top_companies", lambda x: F.concat(
         x["name"], F.lit(":"), x["count"].cast("string")))
     return stats.select("total_jobs", "total_matches", score("avg_match_score").alias("avg_match_score"),
@@ -91,7 +91,7 @@ def statistics_record(spark, sf):
 
 @query
 def recent_matches(spark, sf):
-    found = reporting.recent_matches(views.matches(spark, sf), views.jobs(spark, sf),
+    found = reporting.recent_matches(views.matches(spark, sf), views.plain_jobs(spark, sf),
                                      F.lit(views.CUTOFF).cast("timestamp"))
     return found.select("seq", "job_id", "resume_file", "match_score",
                         clock("created_at").alias("created_at"), "job_title", "company",
@@ -142,12 +142,12 @@ def resume_groups(spark, sf):
 
 @query
 def unmatched(spark, sf):
-    return unmatched_jobs(views.jobs(spark, sf), views.matches(spark, sf)).select("job_id", "title")
+    return unmatched_jobs(views.plain_jobs(spark, sf), views.matches(spark, sf)).select("job_id", "title")
 
 
 @query
 def matched(spark, sf):
-    return matched_jobs(views.jobs(spark, sf), views.matches(spark, sf)).select("job_id", "title")
+    return matched_jobs(views.plain_jobs(spark, sf), views.matches(spark, sf)).select("job_id", "title")
 
 
 def status_log(spark, sf):
@@ -462,7 +462,7 @@ def match_report(spark, sf):
 
 @query
 def statistics_report(spark, sf):
-    stats = reporting.statistics(views.jobs(spark, sf), views.matches(spark, sf))
+    stats = reporting.statistics(views.plain_jobs(spark, sf), views.matches(spark, sf))
     return reporting.statistics_text(stats, now())
 
 
@@ -498,11 +498,10 @@ def stream_match(spark, sf):
 
 @query
 def stream_window_counts(spark, sf):
-    name = "window_counts_" + new_folder(spark, "x")[-32:]
-    counts = incremental.window_counts(views.as_matches(stream_of(spark, sf, "events")))
-    (counts.writeStream.format("memory").queryName(name).outputMode("complete")
-     .option("checkpointLocation", new_folder(spark, "stream"))
-     .trigger(availableNow=True).start().awaitTermination())
-    return spark.table(name).select(clock("window_start").alias("window_start"),
-                                    clock("window_end").alias("window_end"), "n_matches",
-                                    score("avg_match_score").alias("avg_match_score"))
+    path = new_folder(spark, "window-counts")
+    incremental.window_count_stream(
+        views.as_matches(stream_of(spark, sf, "events")), path,
+        new_folder(spark, "stream")).awaitTermination()
+    return spark.read.parquet(path).select(
+        clock("window_start").alias("window_start"), clock("window_end").alias("window_end"),
+        "n_matches", score("avg_match_score").alias("avg_match_score"))

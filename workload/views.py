@@ -60,6 +60,11 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_jobs(table(spark, sf_dir, "documents")).join(seen, "job_id", "left")
 
 
+def plain_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs without the time, for queries that do not read it."""
+    return as_jobs(table(spark, sf_dir, "documents"))
+
+
 def job_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_jobs(texts(spark, sf_dir, "documents"))
 
@@ -93,7 +98,7 @@ def as_matches(events: DataFrame) -> DataFrame:
 def scored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches with their job, a breakdown and skills, for the text reports."""
     share = F.col("match_score") / 100
-    job = jobs(spark, sf_dir).select("job_id", F.col("title").alias("job_title"), "company",
+    job = plain_jobs(spark, sf_dir).select("job_id", F.col("title").alias("job_title"), "company",
                                      "location", F.col("url").alias("job_url"))
     return matches(spark, sf_dir).join(job, "job_id").withColumns({
         "score_breakdown": F.struct(
