@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from matchloom import schemas
 from matchloom.config import MatchConfig
 from matchloom.functions import profile, skills as sk
-from matchloom.functions.formats import iso_text
 from matchloom.functions.text import keyword_set, normalize_text
 from matchloom.functions.web import job_id_from_url
 from matchloom.operators import text_pairs
