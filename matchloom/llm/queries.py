@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
-from matchloom.llm import huffman, language, packing, vector_search
+from pyspark.sql import functions as F
+
+from matchloom.llm import huffman, language, packing, pii, vector_search
 from matchloom.llm.common import read
 from matchloom.operators.shared import new_folder
 
@@ -42,3 +44,17 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = new_folder(spark, "token-files")
     huffman.write(read(spark, folder, "documents"), files, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return huffman.read(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(read(spark, folder, "documents").select("doc_id", "text"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(kind) for kind in pii.BASE],
+        F.sha2(pii.described(F.col("pii"), *pii.BASE), 256).alias("base_sha256"),
+        pii.described(F.col("pii")).alias("spans"),
+        F.array_join(F.transform("pii", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"))
