@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from matchloom.llm import huffman, language, packing, pii, vector_search
+from matchloom.llm import decontamination, huffman, language, lines, packing, pii, vector_search
 from matchloom.llm.common import read
 from matchloom.operators.shared import new_folder
 
@@ -58,3 +58,15 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(pii.described(F.col("pii"), *pii.BASE), 256).alias("base_sha256"),
         pii.described(F.col("pii")).alias("spans"),
         F.array_join(F.transform("pii", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"))
+
+
+@query
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.decontaminate(
+        read(spark, folder, "documents"), read(spark, folder, "benchmark"), size=10)
+
+
+@query
+def op9_line_spread(spark: SparkSession, folder: str) -> DataFrame:
+    kept = lines.remove_boilerplate(read(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
