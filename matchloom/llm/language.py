@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from matchloom.llm.common import materialize, slices
 
@@ -33,7 +32,7 @@ UNKNOWN = "und"
 class LanguageConfig:
     """Parameters; languages are the declared ones with at least ``least_rows`` rows.
 
-    ``sample``: rows per language that train the trigrams, the first by hash of the text.
+    ``sample``: about so many rows per language, picked by hash, train the trigrams.
     ``weight``: trigrams of one text count as at most so many independent ones.
     ``declared``: trust in a declared language. ``host``, ``suffix``: rows that a host needs
     to outweigh its suffix, and a suffix to outweigh the corpus. ``keep``: least posterior of
@@ -105,17 +104,20 @@ def primary(tag: Column) -> Column:
 
 def fit_text(docs: DataFrame, config: LanguageConfig) -> TextModel:
     """Trigram counts per declared language over the bounded sample."""
-    named = docs.select(primary(F.col("_declared")).alias("language"), F.col("_text").alias("text")).filter(
+    named = docs.select(primary(F.col("_declared")).alias("language"), F.col("_text").alias("text"),
+                        F.xxhash64(*docs.columns).alias("_h")).filter(
         "language != '' and text is not null and trim(text) != ''")
     rows = {r["language"]: r["n"] for r in named.groupBy("language").agg(F.count("*").alias("n"))
             .filter(F.col("n") >= config.least_rows).orderBy(F.desc("n"), "language").limit(200).collect()}
     languages = sorted(rows)
     if not languages:
         return TextModel([], np.zeros((0, BUCKETS)))
-    order = Window.partitionBy("language").orderBy("_h", "text")
-    sample = (named.filter(F.col("language").isin(languages)).withColumn("_h", F.xxhash64("text"))
-              .withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= config.sample)
-              .select("language", "text"))
+    # A share of each language's rows, by a hash of the row: narrow, and the same on every run.
+    share = F.create_map(*[x for name in languages for x in (
+        F.lit(name), F.lit(int(min(1.0, config.sample / rows[name]) * (1 << 30))))])
+    sample = (named.filter(F.col("language").isin(languages))
+              .filter(F.pmod("_h", F.lit(1 << 30)) <= F.element_at(share, F.col("language")))
+              .select("language", "text").distinct())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from matchloom.llm import decontamination, huffman, language, lines, packing, pii, vector_search
+from matchloom.llm import decontamination, huffman, language, lines, packing, pii, secrets, vector_search
 from matchloom.llm.common import read
 from matchloom.operators.shared import new_folder
 
@@ -70,3 +70,16 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op9_line_spread(spark: SparkSession, folder: str) -> DataFrame:
     kept = lines.remove_boilerplate(read(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op1_secret_tags(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find(read(spark, folder, "documents").select("doc_id", "text"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("secrets", lambda s: s["kind"] != secrets.ADDED)
+    return found.select("doc_id", *[count(kind) for kind in secrets.KINDS],
+                        F.sha2(pii.described(base), 256).alias("base_sha256"),
+                        pii.described(F.col("secrets")).alias("spans"))

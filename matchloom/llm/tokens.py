@@ -9,6 +9,7 @@ always the library's.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -29,7 +30,8 @@ SPECIAL = "<|"  # texts with it go to the library whole: special tokens are its
 class _Seen(dict):
     """Numbers pre-tokens in the order they turn up."""
 
-    def __init__(self):
+    def __init__(self, *known):
+        super().__init__(*known)
         self.fresh: list[str] = []
 
     def __missing__(self, piece: str) -> int:
@@ -39,36 +41,45 @@ class _Seen(dict):
 
 
 class Encoder:
-    """Ids of texts; keeps at most about ``limit`` pre-tokens between calls."""
+    """Ids of texts; keeps about ``limit`` pre-tokens at most, the more frequent half when full."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 240_000):
         self.library = Tokenizer.from_file(path)
         pre = str(self.library.pre_tokenizer)
         self.cut = WORD_LEVEL if "Split" in pre else BYTE_LEVEL
         self.limit = limit
-        self._forget()
-
-    def _forget(self) -> None:
         self.seen = _Seen()
         self.pool = np.zeros(0, np.uint32)
         self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int32)
+        self.uses = np.zeros(0, np.int32)
+
+    def _shrink(self) -> None:
+        names = list(self.seen)
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: self.limit // 2])
+        count = self.count[kept].astype(np.int64)
+        upto = np.cumsum(count)
+        self.pool = self.pool[np.repeat(self.first[kept] - upto + count, count) + np.arange(upto[-1])]
+        self.first, self.count, self.uses = upto - count, self.count[kept], self.uses[kept] // 2
+        self.seen = _Seen((names[i], k) for k, i in enumerate(kept.tolist()))
 
     def _learn(self) -> None:
         fresh, self.seen.fresh = self.seen.fresh, []
         if not fresh:
             return
-        found = [e.ids for e in self.library.encode_batch_fast(fresh, add_special_tokens=False)]
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(count.sum()))
-        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(count) - count])
+        found = [e.ids for k in range(0, len(fresh), 20_000) for e in
+                 self.library.encode_batch_fast(fresh[k:k + 20_000], add_special_tokens=False)]
+        count = np.fromiter(map(len, found), np.int32, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(count.sum()))
+        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(count, dtype=np.int64) - count])
         self.count = np.concatenate([self.count, count])
+        self.uses = np.concatenate([self.uses, np.zeros(len(count), np.int32)])
         self.pool = np.concatenate([self.pool, flat])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One uint32 array of ids per text."""
         if len(self.seen) > self.limit:
-            self._forget()
+            self._shrink()
         plain = [not (UNUSUAL.search(t) or SPECIAL in t) for t in texts]
         pieces: list[str] = []
         ends = []
@@ -78,8 +89,9 @@ class Encoder:
             ends.append(len(pieces))
         which = np.fromiter(map(self.seen.__getitem__, pieces), np.int64, len(pieces))
         self._learn()
+        self.uses += np.bincount(which, minlength=len(self.uses)).astype(np.int32)
         count, first = self.count[which], self.first[which]
-        upto = np.concatenate([[0], np.cumsum(count)])
+        upto = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
         flat = self.pool[np.repeat(first - upto[:-1], count) + np.arange(upto[-1])]
         bounds = upto[np.asarray([0, *ends])]
         out = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
