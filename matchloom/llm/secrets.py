@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from matchloom.llm.common import slices, text_or_empty
 
@@ -338,5 +339,5 @@ def find(docs: DataFrame, config: SecretConfig = SecretConfig(), model: Field |
                 [*[part.column(part.schema.get_field_index(c)) for c in names], pa.array(rows, kind)],
                 [*names, "secrets"])
 
-    schema = docs.select(*names).schema.add("secrets", SPANS)
+    schema = docs.select(*names).schema.add("secrets", DataType.fromDDL(SPANS))
     return data.mapInArrow(run, schema)
