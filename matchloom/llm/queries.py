@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from matchloom.llm import decontamination, huffman, language, lines, packing, pii, secrets, vector_search
+from matchloom.llm import decontamination, huffman, language, lines, near_duplicates, packing, pii, secrets, vector_search
 from matchloom.llm.common import read
 from matchloom.operators.shared import new_folder
 
@@ -83,3 +83,8 @@ def op1_secret_tags(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *[count(kind) for kind in secrets.KINDS],
                         F.sha2(pii.described(base), 256).alias("base_sha256"),
                         pii.described(F.col("secrets")).alias("spans"))
+
+
+@query
+def op6_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read(spark, folder, "documents"))
