@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from matchloom.llm import decontamination, huffman, language, lines, near_duplicates, packing, pii, secrets, vector_search
+from matchloom.llm import decontamination, huffman, language, lines, long_matches, near_duplicates, packing, pii, secrets, vector_search
 from matchloom.llm.common import read
 from matchloom.operators.shared import new_folder
 
@@ -88,3 +88,8 @@ def op1_secret_tags(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(read(spark, folder, "documents"))
+
+
+@query
+def op3_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return long_matches.remove_repeats(read(spark, folder, "documents"), length=400).drop("kept")
