@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from matchloom.llm import language, packing
+from matchloom.llm import decontamination, language, lines, near_duplicates, packing
 from matchloom.llm.common import materialize, read
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -18,6 +19,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.identify(docs).filter("accepted").select(*docs.columns)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many sites share stay once; documents left without text go."""
+    kept = lines.remove_boilerplate(docs)
+    kept = kept.filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(
+            F.col("n_chars")))
+    return kept.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id, goes on."""
+    kept = near_duplicates.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"), size=10)
+    hit = found.filter("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, placed in sequences of 2048 ids."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), size=2048, end_id=0)
@@ -25,6 +49,9 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
     ("best_fit_packing", best_fit_packing),
 ]
 
