@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from matchloom.operators.shared import materialize
 
-__all__ = ["materialize", "read", "slices", "text_or_empty"]
+__all__ = ["materialize", "packed", "read", "slices", "text_or_empty"]
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -21,6 +21,12 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def packed(docs: DataFrame, *without: str) -> Column:
+    """All columns but those named in one struct, so that working columns can't clash with them."""
+    gone = {w.lower() for w in without}
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in gone]).alias("_row")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
            budget: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about ``budget`` bytes of text.
@@ -37,3 +43,5 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
             held += size or 0
         if batch.num_rows > start:
             yield batch.slice(start)
+        del batch, sizes
+        pa.default_memory_pool().release_unused()

@@ -10,6 +10,7 @@ always the library's.
 from __future__ import annotations
 
 import itertools
+import os
 import re
 
 import numpy as np
@@ -19,11 +20,11 @@ from tokenizers import Tokenizer
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 NUMBER = "0-9²³¹¼-¾"
 # Characters whose class every library agrees on, and the only white space among them.
-UNUSUAL = re.compile("[^\n\x20-\x7e¡-ɏ‐-‧]")
+UNUSUAL = re.compile("[^\n\x20-\x7e¡-įı-ɏ‐-‧]")
 BYTE_LEVEL = re.compile(
     rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
 WORD_LEVEL = re.compile(
-    rf"'(?:[sS]|[tT]|[rR][eE]|[vV][eE]|[mM]|[lL][lL]|[dD])|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
+    rf"'(?:s|t|re|ve|m|ll|d)|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
 SPECIAL = "<|"  # texts with it go to the library whole: special tokens are its matter
 
 
@@ -43,11 +44,14 @@ class _Seen(dict):
 class Encoder:
     """Ids of texts; keeps about ``limit`` pre-tokens at most, the more frequent half when full."""
 
-    def __init__(self, path: str, limit: int = 240_000):
+    def __init__(self, path: str, limit: int = 400_000):
         self.library = Tokenizer.from_file(path)
         pre = str(self.library.pre_tokenizer)
         self.cut = WORD_LEVEL if "Split" in pre else BYTE_LEVEL
         self.limit = limit
+        # How byte-level vocabularies write bytes: visible Latin-1 characters as they are, the rest from U+0100 on.
+        hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+        self.shown = {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.seen = _Seen()
         self.pool = np.zeros(0, np.uint32)
         self.first = np.zeros(0, np.int64)
@@ -67,8 +71,9 @@ class Encoder:
         fresh, self.seen.fresh = self.seen.fresh, []
         if not fresh:
             return
-        found = [e.ids for k in range(0, len(fresh), 20_000) for e in
-                 self.library.encode_batch_fast(fresh[k:k + 20_000], add_special_tokens=False)]
+        # A pre-token needs no cutting any more: its bytes, written as characters, go to the merges.
+        merge, shown = self.library.model.tokenize, self.shown
+        found = [[t.id for t in merge(p.encode().decode("latin-1").translate(shown))] for p in fresh]
         count = np.fromiter(map(len, found), np.int32, len(found))
         flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(count.sum()))
         self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(count, dtype=np.int64) - count])
@@ -85,7 +90,8 @@ class Encoder:
         ends = []
         for text, easy in zip(texts, plain):
             if easy:
-                pieces += self.cut.findall(text)
+                # Lower case first, as that vocabulary does, leaves fewer distinct pre-tokens.
+                pieces += self.cut.findall(text.lower() if self.cut is WORD_LEVEL else text)
             ends.append(len(pieces))
         which = np.fromiter(map(self.seen.__getitem__, pieces), np.int64, len(pieces))
         self._learn()
@@ -108,6 +114,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """The encoder of this Python worker, kept from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
