@@ -55,7 +55,7 @@ def windows(items: DataFrame, size: int) -> DataFrame:
 
 
 def _prefixes(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(window, words, n, shift, key)``: each window's rarest shingle and where it stands.
+    """``(window, joined, n, shift, key)``: each window's rarest shingle and where it stands.
 
     Shingles are counted over all documents; only those of the benchmark are counted.
     A window of one word has itself and no second word.
@@ -69,7 +69,7 @@ def _prefixes(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     seen = reduce(DataFrame.unionByName, counts)
     order = Window.partitionBy("window").orderBy(F.coalesce("seen", F.lit(0)), "key", "shift")
     return (parts.join(seen, "key", "left").withColumn("_r", F.row_number().over(order))
-            .filter("_r = 1").select("window", "words", "n", "shift", "key"))
+            .filter("_r = 1").select("window", F.array_join("words", " ").alias("joined"), "n", "shift", "key"))
 
 
 def _blocks(table: DataFrame, key: str) -> list[DataFrame]:
@@ -83,7 +83,8 @@ def _blocks(table: DataFrame, key: str) -> list[DataFrame]:
 def _stream(docs: DataFrame) -> DataFrame:
     """Every shingle of every document with its place; the words stay in the row."""
     held = docs.withColumn("_w", words(F.col("_text")))
-    each = held.select("_doc", "_w", F.posexplode("_w").alias("at", "_first"))
+    # The outer form, as the plain one would cut every text twice, for a filter of its own.
+    each = held.select("_doc", "_w", F.posexplode_outer("_w").alias("at", "_first"))
     return each.withColumn("key", F.when(F.col("at") + 1 < F.size("_w"), _shingle(
         F.col("_first"), F.get("_w", F.col("at") + 1))))
 
@@ -93,14 +94,15 @@ def _hits(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
     found = []
     start = F.col("at") - F.col("shift")
     fits = (start >= 0) & (start + F.col("n") <= F.size("_w"))
-    equal = F.transform(F.slice("_w", start + 1, F.col("n")), _small) == F.col("words")
+    # No lambda here: it would end the generated code, and every row would carry its text's words.
+    equal = _small(F.array_join(F.slice("_w", start + 1, F.col("n")), " ")) == F.col("joined")
     several, single = prefixes.filter("n > 1"), prefixes.filter("n = 1")
     for block in _blocks(several, "window"):
         met = _stream(docs).join(F.broadcast(block), "key")
         found.append(met.filter(F.when(fits, equal).otherwise(False)).select("_doc", start.alias("start"), "n", "window"))
     if single.take(1):
         alone = docs.withColumn("_w", words(F.col("_text"))).select("_doc", F.posexplode("_w").alias("start", "_first"))
-        for block in _blocks(single.select(F.get("words", F.lit(0)).alias("_first"), "n", "window"), "window"):
+        for block in _blocks(single.select(F.col("joined").alias("_first"), "n", "window"), "window"):
             found.append(alone.withColumn("_first", _small(F.col("_first"))).join(F.broadcast(block), "_first")
                          .select("_doc", "start", "n", "window"))
     return reduce(DataFrame.unionByName, found)
