@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import materialize, slices
+from matchloom.llm.common import materialize, packed, slices
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -105,7 +105,7 @@ def primary(tag: Column) -> Column:
 def fit_text(docs: DataFrame, config: LanguageConfig) -> TextModel:
     """Trigram counts per declared language over the bounded sample."""
     named = docs.select(primary(F.col("_declared")).alias("language"), F.col("_text").alias("text"),
-                        F.xxhash64(*docs.columns).alias("_h")).filter(
+                        F.xxhash64("_row", "_text").alias("_h")).filter(
         "language != '' and text is not null and trim(text) != ''")
     rows = {r["language"]: r["n"] for r in named.groupBy("language").agg(F.count("*").alias("n"))
             .filter(F.col("n") >= config.least_rows).orderBy(F.desc("n"), "language").limit(200).collect()}
@@ -173,8 +173,8 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     """
     none = F.lit(None).cast("string")
     host = host_of(F.col(address)) if address else F.lit("")
-    data = docs.drop("language", "posterior", "accepted").withColumns({
-        "_text": F.col(text), "_declared": primary(F.col(declared) if declared else none), "_host": host})
+    data = docs.select(packed(docs, "language", "posterior", "accepted"), F.col(text).alias("_text"),
+                       primary(F.col(declared) if declared else none).alias("_declared"), host.alias("_host"))
     model = fit_text(data, config)
     k = len(model.languages)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -192,7 +192,6 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     scored = data.select("_host", "_text").mapInArrow(score, "_host string, _best int")
     priors = materialize(host_priors(scored, model.languages, config), "host-priors")
     trust, unknown = config.declared, config.unknown
-    columns = [c for c in data.columns if c not in ("_text", "_declared", "_host")]
     kept = data.join(priors, "_host", "left")
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,13 +218,13 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
                 language.append(model.languages[best] if best < k else UNKNOWN)
                 sure.append(float(p[best]))
                 good.append(best < k and float(p[best]) >= keep)
-            out = [part.column(part.schema.get_field_index(c)) for c in columns]
             yield pa.RecordBatch.from_arrays(
-                [*out, pa.array(language, pa.string()), pa.array(sure, pa.float64()), pa.array(good, pa.bool_())],
-                [*columns, "language", "posterior", "accepted"])
+                [part.column(part.schema.get_field_index("_row")), pa.array(language, pa.string()),
+                 pa.array(sure, pa.float64()), pa.array(good, pa.bool_())],
+                ["_row", "language", "posterior", "accepted"])
 
     keep = config.keep
-    schema = docs.drop("language", "posterior", "accepted").schema
+    schema = data.select("_row").schema
     for name, kind in (("language", "string"), ("posterior", "double"), ("accepted", "boolean")):
-        schema = type(schema)([*schema.fields]).add(name, kind)
-    return kept.mapInArrow(fuse, schema)
+        schema = schema.add(name, kind)
+    return kept.mapInArrow(fuse, schema).select("_row.*", "language", "posterior", "accepted")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import materialize, text_or_empty
+from matchloom.llm.common import materialize, packed, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -38,10 +38,10 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(bare, F.lit(1)).alias("b"))
 
 
-def each_line(docs: DataFrame, site: str, config: LineConfig) -> DataFrame:
+def each_line(docs: DataFrame, config: LineConfig) -> DataFrame:
     """``(_doc, at, a, b, site)`` of every line that counts."""
     line = F.col("_line")
-    return (docs.select("_doc", F.col(site).alias("site"), F.posexplode(_lines(F.col("_text"))).alias("at", "_line"))
+    return (docs.select("_doc", F.col("_site").alias("site"), F.posexplode(_lines(F.col("_text"))).alias("at", "_line"))
             .filter(F.length(F.trim(line)) >= config.least_chars)
             .select("_doc", "at", _key(line).alias("_k"), "site").select("_doc", "at", "_k.a", "_k.b", "site"))
 
@@ -70,24 +70,24 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", config: LineConfig
     ``doc_id`` and text; repeated rows get equal results. A null ``doc_id`` comes first. All other columns stay;
     existing n_lines and n_removed go. An empty table gives no rows.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    data = docs.select(*names, text_or_empty().alias("_text")).withColumn("_doc", F.struct(
-        F.col("doc_id").cast("long").alias("id"), F.xxhash64("_text").alias("h")))
-    lines = each_line(data, site, config)
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    data = docs.select(packed(docs, "n_lines", "n_removed"), F.col("doc_id").cast("long").alias("_id"),
+                       F.col(site).alias("_site"), text_or_empty().alias("_text")).withColumn("_doc", F.struct(
+        F.col("_id").alias("id"), F.xxhash64("_text").alias("h")))
+    lines = each_line(data, config)
     shared = materialize(boilerplate(lines, config), "boilerplate")
     met = materialize(lines.join(shared, ["a", "b"]).select("a", "b", "_doc", "at"), "boilerplate-places")
     first = met.groupBy("a", "b").agg(F.min(F.struct("_doc", "at")).alias("_first"))
     gone = (met.join(first, ["a", "b"]).filter(F.struct("_doc", "at") != F.col("_first"))
             .select("_doc", "at").distinct()
             .groupBy("_doc").agg(F.collect_list("at").alias("_gone")))
-    kept = data.join(gone.select(F.struct(F.coalesce("_doc.id", F.lit(0)).alias("id"), F.col("_doc.id").isNull().alias("no"),
-                                          F.col("_doc.h").alias("h")).alias("_key"), "_gone"),
-                     F.struct(F.coalesce("_doc.id", F.lit(0)).alias("id"), F.col("_doc.id").isNull().alias("no"),
-                              F.col("_doc.h").alias("h")) == F.col("_key"), "left")
+    same = [F.coalesce("_doc.id", F.lit(0)).alias("_a"), F.col("_doc.id").isNull().alias("_b"), F.col("_doc.h").alias("_c")]
+    kept = data.select("*", *same).join(gone.select(*same, "_gone"), ["_a", "_b", "_c"], "left")
     # A map looks up every line in constant time.
     places = F.map_from_arrays("_gone", "_gone")
     rest = F.filter(_lines(F.col("_text")), lambda line, i: ~F.map_contains_key(places, i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("_text"))))
-    return kept.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], n.cast("long").alias("n_lines"),
-                       F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join(rest, "\n"))
+    n = F.when(F.col("_row.text").isNull(), 0).otherwise(F.size(_lines(F.col("_text"))))
+    return kept.select(*[text.alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in names],
+                       n.cast("long").alias("n_lines"),
+                       F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"))

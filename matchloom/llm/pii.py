@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import text_or_empty
+from matchloom.llm.common import packed, text_or_empty
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "short_card")
@@ -134,7 +134,7 @@ def find(docs: DataFrame, config: PiiConfig = PiiConfig()) -> DataFrame:
     repeated ones get equal results, an empty table gives no rows, all other columns stay.
     """
     kinds = [k for k in (*BASE, *config.added) if k in PATTERNS]
-    work = docs.drop("pii").withColumn("_text", text_or_empty())
+    work = docs.select(packed(docs, "pii"), text_or_empty().alias("_text"))
     work = work.withColumns({f"_m_{k}": _matches(F.col("_text"), k) for k in kinds})
     work = work.withColumns({f"_g_{k}": _gaps(F.col("_text"), k, F.col(f"_m_{k}")) for k in kinds})
     work = work.withColumns({f"_p_{k}": _placed(F.col(f"_m_{k}"), F.col(f"_g_{k}")) for k in kinds})
@@ -142,7 +142,7 @@ def find(docs: DataFrame, config: PiiConfig = PiiConfig()) -> DataFrame:
     for k in config.added:
         source = F.col("_p_card" if k == "short_card" else f"_p_{k}")
         lists.append(F.filter(_scored(k, source), lambda s: s["score"] >= config.least))
-    return work.select(*[c for c in docs.columns if c != "pii"], F.concat(*lists).alias("pii"))
+    return work.select("_row.*", F.concat(*lists).alias("pii"))
 
 
 def described(spans: Column, *kinds: str) -> Column:

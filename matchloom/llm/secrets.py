@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from matchloom.llm.common import slices, text_or_empty
+from matchloom.llm.common import packed, slices, text_or_empty
 
 KINDS = ("assign", "access", "hex")
 ADDED = "crf"
@@ -318,8 +318,7 @@ def find(docs: DataFrame, config: SecretConfig = SecretConfig(), model: Field |
     columns stay. Without a match in the sample there is nothing to learn, and only patterns
     find. A text of any length is decoded whole.
     """
-    names = [c for c in docs.columns if c != "secrets"]
-    data = docs.select(*names, text_or_empty().alias("_text"))
+    data = docs.select(packed(docs, "secrets"), text_or_empty().alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, config))  # weights: fixed size
     least = config.least
 
@@ -335,9 +334,7 @@ def find(docs: DataFrame, config: SecretConfig = SecretConfig(), model: Field |
                 rows.append([dict(kind=k, start=a, end=b) for k, a, b in sorted(
                     base + new, key=lambda s: (s[1], (*KINDS, ADDED).index(s[0])))])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [*[part.column(part.schema.get_field_index(c)) for c in names], pa.array(rows, kind)],
-                [*names, "secrets"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, kind)], ["_row", "secrets"])
 
-    schema = docs.select(*names).schema.add("secrets", DataType.fromDDL(SPANS))
-    return data.mapInArrow(run, schema)
+    schema = data.select("_row").schema.add("secrets", DataType.fromDDL(SPANS))
+    return data.mapInArrow(run, schema).select("_row.*", "secrets")
