@@ -22,8 +22,8 @@ def person_name(text: Column) -> Column:
     names = F.filter(lines, lambda x: (
         (F.length(x) >= 3)
         & ~x.rlike(r"[@#$%&*()0-9]")
-        & x.rlike(r"^[A-Za-z\s.]+$")
-        & (F.size(F.split(x, r"\s+")) <= 4)
+        & x.rlike(r"(?U)^[A-Za-z\s\x1c-\x1f.]+$")
+        & (F.size(F.split(x, r"(?U)[\s\x1c-\x1f]+")) <= 4)
     ))
     return F.coalesce(F.get(names, F.lit(0)), F.lit(lexicon.UNKNOWN))
 

@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANK_ENDS = r"^\s+|\s+$"
+# White space as Unicode has it, and the four separators among the control characters.
+BLANK_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 WORD = r"[\p{L}\p{N}_]{2,}"
 # What normalising and splitting leave of a text, words of three or more only.
 KEYWORD = r"[a-z0-9+#]{3,}"

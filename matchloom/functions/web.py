@@ -1,4 +1,4 @@
-"""URLs and captured markup."""
+"""URLs, and which parts of captured pages hold what."""
 
 from __future__ import annotations
 
@@ -7,14 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from matchloom.functions.text import strip
-
-# Entities replaced in element text; the ampersand has to come last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-            ("&amp;", "&"))
-# Markup that holds no element text.
-DEAD_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
-HREF = r'(?i)\bhref="([^"]*)"'
 # Percent codes on which the two encodings differ.
 QUOTE_FIXES = (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A"))
 
@@ -47,69 +39,28 @@ def search_url(base_url: str, keywords: Column, location: Column, exp_min: Colum
     return F.concat(F.lit(f"{base_url.rstrip('/')}/jobs?"), query)
 
 
-def live_markup(html: Column) -> Column:
-    """The page without comments, scripts and styles."""
-    return F.regexp_replace(F.coalesce(html, F.lit("")), DEAD_MARKUP, "")
-
-
-def element_text(fragment: Column) -> Column:
-    """Text of a markup fragment: tags dropped, entities replaced, ends stripped."""
-    text = F.regexp_replace(fragment, r"<[^>]*>", "")
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return strip(text)
-
-
-def class_pattern(name: str, tag: str = r"\w+") -> str:
-    """Pattern of an element that carries a class; group 1 is its content.
-
-    The element must not hold a nested element of the same tag.
-    """
-    return (rf'(?is)<(?:{tag})\b[^>]*\bclass="(?:[^"]*\s)?{name}(?:\s[^"]*)?"[^>]*>'
-            r"(.*?)</(?:" + tag + r")\s*>")
-
-
-def first_text(fragment: Column, pattern: str) -> Column:
-    """Text of the first element that matches; NULL when there is none."""
-    return F.when(fragment.rlike(pattern), element_text(F.regexp_extract(fragment, pattern, 1)))
-
-
-def all_texts(fragment: Column, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all(fragment, F.lit(pattern), F.lit(1)), element_text)
-
-
-def first_href(fragment: Column, tag_pattern: str) -> Column:
-    """``href`` of the first tag that matches; NULL when the tag or attribute is missing."""
-    tag = F.regexp_extract(fragment, tag_pattern, 0)
-    return F.when(tag.rlike(HREF), element_text(F.regexp_extract(tag, HREF, 1)))
-
-
 @dataclass(frozen=True)
 class CardSelectors:
-    """Patterns of a listing page; group 1 of each is the content or attribute."""
+    """Selectors of a listing page; all but ``card`` apply below a card."""
 
-    card: str = r"(?is)<article\b[^>]*>(.*?)</article\s*>"
-    title: str = class_pattern("title")
-    link_tag: str = r'(?is)<\w+\b[^>]*\bclass="(?:[^"]*\s)?title(?:\s[^"]*)?"[^>]*>'
-    company: str = class_pattern("comp-name")
-    location: str = class_pattern("loc-wrap")
-    experience: str = class_pattern("exp-wrap")
-    salary: str = class_pattern("sal-wrap")
-    skills_block: str | None = r'(?is)<ul\b[^>]*\bclass="(?:[^"]*\s)?tags-gt(?:\s[^"]*)?"[^>]*>(.*?)</ul\s*>'
-    skill: str = r"(?is)<li\b[^>]*>(.*?)</li\s*>"
-    posted_date: str = class_pattern("job-post-day")
+    card: str = ".list article"
+    title: str = ".title"
+    link: str = ".title"
+    company: str = ".comp-name"
+    location: str = ".loc-wrap span"
+    experience: str = ".exp-wrap span"
+    salary: str = ".sal-wrap span"
+    skill: str = ".tags-gt li"
+    posted_date: str = ".job-post-day"
 
 
 @dataclass(frozen=True)
 class DetailSelectors:
-    """Patterns of a detail page. A ``None`` block means the whole page."""
-
-    title: str = r"(?is)<h1\b[^>]*>(.*?)</h1\s*>"
-    company: str = class_pattern("comp-name")
-    description: str = class_pattern("job-desc", "section|article|div")
-    header_block: str | None = class_pattern("exp-sal-loc", "div|section")
-    header_span: str = r"(?is)<span\b[^>]*>(.*?)</span\s*>"
-    skills_block: str | None = class_pattern("key-skill", "div|section")
-    skill: str = r"(?is)<a\b[^>]*>(.*?)</a\s*>"
-    detail_block: str | None = class_pattern("detail", "div|section")
-    detail_span: str = r"(?is)<span\b[^>]*>(.*?)</span\s*>"
+    """Selectors of a detail page."""
+
+    title: str = ".jd-header h1"
+    company: str = ".jd-header .comp-name"
+    description: str = ".job-desc"
+    header_span: str = ".jd-header .exp-sal-loc span"
+    skill: str = ".key-skill a"
+    detail_span: str = ".detail span"

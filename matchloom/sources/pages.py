@@ -2,18 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import fields
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom import lexicon
 from matchloom.functions.text import bind, strip
-from matchloom.functions.web import (
-    CardSelectors, DetailSelectors, all_texts, first_href, first_text, job_id_from_url, live_markup,
-)
+from matchloom.functions.markup import Page, Selector
+from matchloom.functions.web import CardSelectors, DetailSelectors, job_id_from_url
 
 DETAIL_FIELDS = ("title", "company", "experience", "salary", "location", "description")
+CARD_FIELDS = ("title", "company", "location", "experience", "salary", "posted_date")
+CARDS = ("array<struct<card_no:int,url:string,skills:array<string>,"
+         + ",".join(f"{name}:string" for name in CARD_FIELDS) + ">>")
+DETAILS = ("struct<title:string,company:string,description:string,spans:array<string>,"
+           "skills:array<string>,pairs:array<string>>")
+
+
+def _cards(selectors: CardSelectors) -> Callable[[pd.Series], pd.Series]:
+    parts = {f.name: Selector(getattr(selectors, f.name)) for f in fields(selectors)}
+
+    @F.pandas_udf(CARDS)
+    def cards(pages: pd.Series) -> pd.Series:
+        def of(source: str | None) -> list[dict]:
+            page, out = Page(source), []
+            for number, card in enumerate(page.select(parts["card"])):
+                row = {name: page.first_text(parts[name], card) for name in CARD_FIELDS}
+                link = page.select(parts["link"], card)
+                row |= {"card_no": number, "url": link[0].attributes.get("href") if link else None,
+                        "skills": page.all_texts(parts["skill"], card)}
+                out.append(row)
+            return out
+
+        return pages.map(of, na_action=None)
+
+    return cards
 
 
 def job_cards(
@@ -26,34 +53,18 @@ def job_cards(
 
     ``keep`` names page columns to carry along; ``card_no`` is the position on the page.
     """
-    sel = selectors or CardSelectors()
-    cards = pages.select(
-        *keep,
-        F.posexplode(F.regexp_extract_all(live_markup(F.col("html")), F.lit(sel.card), F.lit(1)))
-        .alias("card_no", "card"),
-    )
+    found = pages.select(*keep, F.explode(_cards(selectors or CardSelectors())(F.col("html"))).alias("card"))
     card = F.col("card")
 
-    def field(pattern: str, missing: str) -> Column:
-        return F.coalesce(first_text(card, pattern), F.lit(missing))
-
-    block = card if sel.skills_block is None else F.regexp_extract(card, sel.skills_block, 1)
-    return (
-        cards.withColumn("title", first_text(card, sel.title))
-        .where(F.col("title") != "")
-        .withColumn("url", first_href(card, sel.link_tag))
-        .select(
-            *keep, "card_no", "title", "url",
-            field(sel.company, lexicon.NOT_SPECIFIED).alias("company"),
-            field(sel.location, lexicon.NOT_SPECIFIED).alias("location"),
-            field(sel.experience, lexicon.NOT_SPECIFIED).alias("experience"),
-            field(sel.salary, lexicon.NOT_DISCLOSED).alias("salary"),
-            all_texts(block, sel.skill).alias("skills"),
-            field(sel.posted_date, lexicon.NOT_SPECIFIED).alias("posted_date"),
-            job_id_from_url(F.col("url")).alias("job_id"),
-            scraped_at.alias("scraped_at"),
-        )
-    )
+    def part(name: str, missing: str) -> Column:
+        return F.coalesce(card[name], F.lit(missing)).alias(name)
+
+    return found.where(card["title"] != "").select(
+        *keep, card["card_no"].alias("card_no"), card["title"].alias("title"), card["url"].alias("url"),
+        part("company", lexicon.NOT_SPECIFIED), part("location", lexicon.NOT_SPECIFIED),
+        part("experience", lexicon.NOT_SPECIFIED), part("salary", lexicon.NOT_DISCLOSED),
+        card["skills"].alias("skills"), part("posted_date", lexicon.NOT_SPECIFIED),
+        job_id_from_url(card["url"]).alias("job_id"), scraped_at.alias("scraped_at"))
 
 
 def union_batches(batches: list[DataFrame]) -> DataFrame:
@@ -96,6 +107,22 @@ def key_values(spans: Column) -> Column:
     return bind(spans, build)
 
 
+def _details(selectors: DetailSelectors) -> Callable[[pd.Series], pd.Series]:
+    parts = {f.name: Selector(getattr(selectors, f.name)) for f in fields(selectors)}
+
+    @F.pandas_udf(DETAILS)
+    def details(pages: pd.Series) -> pd.Series:
+        def of(source: str | None) -> dict:
+            page = Page(source)
+            row = {name: page.first_text(parts[name]) for name in ("title", "company", "description")}
+            return row | {"spans": page.all_texts(parts["header_span"]), "skills": page.all_texts(parts["skill"]),
+                          "pairs": page.all_texts(parts["detail_span"])}
+
+        return pd.DataFrame(list(map(of, pages)), columns=["title", "company", "description", "spans", "skills", "pairs"])
+
+    return details
+
+
 def job_details(
     pages: DataFrame, selectors: DetailSelectors | None = None, keep: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -104,29 +131,13 @@ def job_details(
     An open key that equals a base field overwrites it. ``skills`` stays the list;
     an open key of that name is found in ``details`` only.
     """
-    sel = selectors or DetailSelectors()
-    page = F.col("page")
-
-    def block(pattern: str | None) -> Column:
-        return page if pattern is None else F.regexp_extract(page, pattern, 1)
-
-    base = (
-        pages.select(*keep, live_markup(F.col("html")).alias("page"))
-        .select(
-            *keep,
-            first_text(page, sel.title).alias("title"),
-            first_text(page, sel.company).alias("company"),
-            first_text(page, sel.description).alias("description"),
-            all_texts(block(sel.header_block), sel.header_span).alias("spans"),
-            all_texts(block(sel.skills_block), sel.skill).alias("skills"),
-            key_values(all_texts(block(sel.detail_block), sel.detail_span)).alias("details"),
-        )
-    )
+    base = pages.select(*keep, _details(selectors or DetailSelectors())(F.col("html")).alias("page")).select(
+        *keep, "page.*").withColumn("details", key_values(F.col("pairs")))
     spans, full_header = F.col("spans"), F.size("spans") >= 3
     for n, name in enumerate(("experience", "salary", "location")):
         base = base.withColumn(name, F.when(full_header, F.get(spans, F.lit(n))))
-    fields = [
+    found = [
         F.coalesce(F.try_element_at(F.col("details"), F.lit(name)), F.col(name)).alias(name)
         for name in DETAIL_FIELDS
     ]
-    return base.select(*keep, *fields, "skills", "details")
+    return base.select(*keep, *found, "skills", "details")

@@ -184,7 +184,7 @@ def test_cards(spark):
 
 
 def test_details(spark):
-    html = """<h1>Dev</h1><div class="exp-sal-loc"><span>1-2</span><span>9</span><span>Pune</span></div>
+    html = """<div class="jd-header"><h1>Dev</h1><div class="exp-sal-loc"><span>1-2</span><span>9</span><span>Pune</span></div></div>
     <div class="key-skill"><a>Java</a></div><div class="detail"><span>Location:</span><span>Goa</span>
     <span>Role:</span><span>Lead</span></div>"""
     pages = spark.createDataFrame([(html,), ("<h1>X</h1><div class='exp-sal-loc'></div>",)], "html string")
@@ -205,3 +205,35 @@ def test_iso_text(spark):
 
 def test_percent_text(spark):
     assert value(spark, formats.labelled_percent("keyword", F.lit(0.4561))) == "Keyword: 45.6%"
+
+
+PAGE = """<html><body><article class="advert"><a class="title" href="/x">Advert</a></article>
+<div class='list big'><article><div class="head"><a class='title t2' href='https://j/dev-a-b-17?src=x&amp;y=1'>Dev &amp; <b>Ops</b></a></div>
+<a class=comp-name>A&#8377;B</a><div class="loc-wrap"><i class="icon"></i><span>Pune<span> East</span></span></div>
+<ul class="tags-gt"><li>Go<ul><li>SQL</li></ul></li></ul><!-- <span class="sal-wrap">no</span> --></article></div>"""
+DETAIL = """<h1>Site</h1><section class="jd-header"><h1>Dev</h1><div class="comp-name">Acme</div><div class="exp-sal-loc">
+<div><span>1-2 Yrs</span></div><div><span>&#x20B9; 5</span></div><span>Pune</span></div></section>
+<div class="job-desc"><div>First..</div><div>Second with python</div></div>
+<div class="key-skill"><div><a>Go</a></div><div><a>SQL</a></div></div>
+<div class="detail"><span>Role:</span><span>Dev</span></div><div class='detail'><span>Open To</span><span>all</span></div>"""
+
+
+def test_cards_of_nested_markup(spark):
+    pages = spark.createDataFrame([(PAGE,), (None,), ("<div class=list><article>",)], "html string")
+    row, = job_cards(pages, F.current_timestamp()).collect()
+    assert (row["title"], row["url"], row["job_id"]) == ("Dev & Ops", "https://j/dev-a-b-17?src=x&y=1", "17")
+    assert (row["company"], row["location"], row["salary"]) == ("A₹B", "Pune East", "Not disclosed")
+    assert row["skills"] == ["GoSQL", "SQL"]
+
+
+def test_details_of_nested_markup(spark):
+    row = job_details(spark.createDataFrame([(DETAIL,)], "html string")).first()
+    assert (row["title"], row["company"], row["description"]) == ("Dev", "Acme", "First..Second with python")
+    assert (row["experience"], row["salary"], row["location"]) == ("1-2 Yrs", "₹ 5", "Pune")
+    assert row["skills"] == ["Go", "SQL"] and row["details"] == {"role": "Dev", "open_to": "all"}
+
+
+def test_unicode_blanks(spark):
+    text = "\u00a0 \u2003Ann\u00a0Lee\u3000\nx"
+    row = spark.createDataFrame([(text,)], "t string").select(profile.person_name(F.col("t")), tx.strip(F.lit("\u00a0a\x1c"))).first()
+    assert list(row) == ["Ann\u00a0Lee", "a"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.functions.web import CardSelectors, DetailSelectors
@@ -16,14 +16,35 @@ NOW = "2024-02-01 00:00:00"
 
 # The pages have no class names: navigation items serve as cards, and their
 # links as spans, skills and open keys.
-LINK_TEXT = r"(?is)<a\b[^>]*>(.*?)</a\s*>"
-CARDS = CardSelectors(card=r"(?is)<li\b[^>]*>(.*?)</li\s*>", title=LINK_TEXT,
-                      link_tag=r"(?is)<a\b[^>]*>", skills_block=None, skill=r"(?is)<b\b[^>]*>(.*?)</b\s*>")
-ARTICLES = CardSelectors(title=r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", link_tag=r"(?is)<a\b[^>]*>",
-                         skills_block=None, skill=r"(?is)<b\b[^>]*>(.*?)<br\b[^>]*>")
-DETAILS = DetailSelectors(description=r"(?is)<article\b[^>]*>(.*?)</article\s*>",
-                          header_block=None, header_span=LINK_TEXT, skills_block=None,
-                          skill=LINK_TEXT, detail_block=None, detail_span=LINK_TEXT)
+CARDS = CardSelectors(card="li", title="a", link="a", skill="b")
+ARTICLES = CardSelectors(card="article", title="h1", link="a", skill="h1")
+DETAILS = DetailSelectors(title="h1", description="article", header_span="a", skill="a", detail_span="a")
+
+
+# Markup with the classes of the default selectors around values of a page. Card 0 is whole, card 1 has
+# no more than a title; the advert is outside the list.
+def listing() -> Column:
+    return F.concat(
+        F.lit("<article><a class='title' href='/advert'>Advert</a></article><div class='list wide'>"
+              "<article class=\"tuple\"><div><a class='title cut' href='https://j.example.org/dev-x-"), "page_id",
+        F.lit("?src=a&amp;k=1'>Dev &amp; <b>Ops</b> "), "page_id",
+        F.lit("</a></div><div class=\"row\"><div class=comp-name>A&#8377;B <div>Ltd</div></div></div>"
+              "<div class=\"loc-wrap\"><i class='icon'></i><span title='>'>Pune"), (F.col("page_id") % 7).cast("string"),
+        F.lit("<span> East</span></span></div><span class='exp-wrap'><span>1-2 Yrs</span></span>"
+              "<!-- <span class='sal-wrap'><span>no</span></span> --><ul class='tags-gt'><li>Go<ul><li>SQL</li></ul></li>"
+              "</ul><span class='job-post-day'>&#x32; days</span></article>"
+              "<article><span class=\"title\">Bare</span></article><article><p>none</p></article></div>"), "html")
+
+
+def detail() -> Column:
+    return F.concat(
+        F.lit("<h1>Site</h1><section class='jd-header'><div><h1>Dev <i>"), "page_id",
+        F.lit("</i></h1></div><div class=\"comp-name\">Acme</div><div class='exp-sal-loc'><div><span>1-2 Yrs</span></div>"
+              "<div><span>&#8377; 5</span></div><div><span>Pune</span></div></div></section><div class='job-desc'>"
+              "<div>First.. </div><div>Second with python "), "page_id",
+        F.lit("</div></div><div class='key-skill'><div><a>Go</a></div><div><a>SQL</a></div></div>"
+              "<div class='detail'><span>Role:</span><span>Lead</span></div>"
+              "<div class=\"detail\"><span>Open To</span><span>n"), "page_id", F.lit("</span><span>odd</span></div>"), "html")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
