@@ -4,22 +4,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: tempfile.TemporaryDirectory | None = None
+_written: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder the cluster names in ``spark.checkpoint.dir`` or by ``setCheckpointDir``.
 
-    Only where that is unset, as in a local test, a temporary folder stands in; it
-    goes away with the process.
+    Only where neither is set and the master is local, as in a test, a temporary folder stands
+    in; it goes away with the process. On a cluster that would leave each executor's files on
+    its own disk, so it is an error there.
     """
     global _local_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    context = spark.sparkContext
+    chosen = context.getCheckpointDir()
+    if chosen:
+        return chosen.rstrip("/")
+    if context.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_folder is None:
         _local_folder = tempfile.TemporaryDirectory(prefix="matchloom-")
     return _local_folder.name
@@ -37,10 +47,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
+    if _written:
+        _written[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Remove what ``materialize`` writes inside, once the result is stored elsewhere."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cell_partitions(spark: SparkSession, cells: int) -> int:
     """Partitions for a number of equal cells.
 

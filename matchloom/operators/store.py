@@ -77,7 +77,8 @@ def matched_jobs(jobs: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def latest_status(log: DataFrame) -> DataFrame:
-    return log.groupBy(*MATCH_KEY).agg(F.max_by("status", "ts").alias("status"))
+    """The latest state per key; of states at one time the last in the alphabet."""
+    return log.groupBy(*MATCH_KEY).agg(F.max_by("status", F.struct("ts", "status")).alias("status"))
 
 
 def with_applied(matches: DataFrame, log: DataFrame) -> DataFrame:
@@ -90,21 +91,18 @@ def with_applied(matches: DataFrame, log: DataFrame) -> DataFrame:
 class Store:
     """Jobs, matches and the status log as parquet folders with one writer.
 
-    Every insert writes its own sub-folder ``batch=<id>`` and never touches the
-    rows that are there. Repeating a batch id replaces that sub-folder only, so a
-    retried write (a streaming batch after a failure) gives the same table.
+    Every insert adds files to the sub-folder ``batch=<id>`` and never touches rows
+    that are there, whoever wrote them under that id. Only unseen keys are added, so a
+    repeated write (a streaming batch after a failure) adds nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
         self.path = (path or new_folder(spark, "store")).rstrip("/")
 
-    def _read(self, table: str, schema: StructType, without: str | None = None) -> DataFrame:
+    def _read(self, table: str, schema: StructType) -> DataFrame:
         with_batch = StructType(list(schema)).add("batch", "string")
-        rows = read_table(self.spark, f"{self.path}/{table}", with_batch)
-        if without is not None:
-            rows = rows.where(F.col("batch") != without)
-        return rows.select(*schema.names)
+        return read_table(self.spark, f"{self.path}/{table}", with_batch).select(*schema.names)
 
     def jobs(self) -> DataFrame:
         return self._read("jobs", schemas.JOBS)
@@ -117,21 +115,19 @@ class Store:
 
     def _write(self, table: str, rows: DataFrame, schema: StructType, batch: str) -> DataFrame:
         path = f"{self.path}/{table}/batch={batch}"
-        rows.write.mode("overwrite").parquet(path)
+        rows.write.mode("append").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def save_jobs(self, incoming: DataFrame, batch: str, order: Sequence[Column],
                   now: Column) -> DataFrame:
-        """Insert jobs with unseen ``job_id``; returns what was written."""
-        existing = self._read("jobs", schemas.JOBS, without=batch)
-        return self._write("jobs", new_jobs(incoming, existing, order, now), schemas.JOBS, batch)
+        """Insert jobs with unseen ``job_id``; returns the rows of the batch."""
+        return self._write("jobs", new_jobs(incoming, self.jobs(), order, now), schemas.JOBS, batch)
 
     def save_matches(self, incoming: DataFrame, batch: str, order: Sequence[Column],
                      now: Column) -> DataFrame:
         """Insert matches with an unseen (job, resume) pair; scores are never refreshed."""
-        existing = self._read("matches", schemas.MATCHES, without=batch)
         return self._write(
-            "matches", new_matches(incoming, existing, order, now), schemas.MATCHES, batch)
+            "matches", new_matches(incoming, self.matches(), order, now), schemas.MATCHES, batch)
 
     def unmatched_jobs(self) -> DataFrame:
         return unmatched_jobs(self.jobs(), self.matches())
@@ -141,6 +137,7 @@ class Store:
         known = null_safe_semi(pairs.select(*MATCH_KEY).distinct(), self.matches(), MATCH_KEY)
         rows = known.select(*MATCH_KEY, F.lit("applied").alias("status"),
                             ts.cast("timestamp").alias("ts"))
+        rows = null_safe_anti(rows, self.status_log(), [*MATCH_KEY, "status", "ts"])
         return self._write("match_status", rows, schemas.MATCH_STATUS, batch)
 
     def matches_with_status(self) -> DataFrame:

@@ -49,8 +49,3 @@ MATCH_STATUS = T.StructType([
     T.StructField("status", T.StringType()),
     T.StructField("ts", T.TimestampType()),
 ])
-
-RESUME_FILES = T.StructType([
-    T.StructField("resume_file", T.StringType()),
-    T.StructField("text", T.StringType()),
-])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from matchloom.config import MatchConfig
+from matchloom.operators.shared import temporary
 from matchloom.operators.store import Store
 from matchloom.plans import runs
 from matchloom.plans.matching import prepare_resumes
@@ -29,18 +31,29 @@ def _start(rows: DataFrame, handle: Callable[[DataFrame, int], None],
             .trigger(availableNow=True).start())
 
 
+def _writer(spark: SparkSession, checkpoint: str) -> str:
+    """A name for this stream's batches that lives and dies with its checkpoint.
+
+    Batch numbers start again under a new checkpoint, so they alone name nothing.
+    """
+    path = f"{checkpoint.rstrip('/')}/writer"
+    spark.createDataFrame([(uuid.uuid4().hex,)], "name string").coalesce(1).write.mode("ignore").json(path)
+    return spark.read.schema("name string").json(path).first()["name"]
+
+
 def ingest_stream(rows: DataFrame, store: Store, now: Column, order: Sequence[Column],
                   checkpoint: str, to_jobs: Callable[[DataFrame], DataFrame] | None = None,
                   ) -> StreamingQuery:
     """Insert unseen jobs from a stream, batch by batch.
 
     Seen ids live in the store, not in operator state that grows without bound. A
-    batch that is repeated after a failure replaces its own rows.
+    batch that is repeated after a failure adds nothing.
     """
+    writer = _writer(store.spark, checkpoint)
 
     def handle(batch: DataFrame, number: int) -> None:
         jobs = to_jobs(batch) if to_jobs else batch
-        store.save_jobs(jobs, str(number), order, now)
+        store.save_jobs(jobs, f"{writer}-{number}", order, now)
 
     return _start(rows, handle, checkpoint)
 
@@ -56,10 +69,13 @@ def match_stream(rows: DataFrame, store: Store, resumes: DataFrame, config: Matc
     mine = {k: options.pop(k) for k in ("resume_vectors", "resume_entities") if k in options}
     prepared = prepare_resumes(resumes, config, encoder=options.get("encoder"), **mine)
 
+    writer = _writer(store.spark, checkpoint)
+
     def handle(batch: DataFrame, number: int) -> None:
         jobs = to_jobs(batch) if to_jobs else batch
-        runs.full_run(store, jobs, resumes, config, str(number), now, order,
-                      prepared_resumes=prepared, **options)
+        with temporary(store.spark):
+            runs.full_run(store, jobs, resumes, config, f"{writer}-{number}", now, order,
+                          prepared_resumes=prepared, **options)
 
     return _start(rows, handle, checkpoint)
 
@@ -81,11 +97,18 @@ def window_counts(matches: DataFrame, length: str = "7 days", late: str = "1 day
 
 def window_count_stream(matches: DataFrame, path: str, checkpoint: str, length: str = "7 days",
                         late: str = "1 day") -> StreamingQuery:
-    """Keep a table of the window counts; every batch replaces it as a whole."""
+    """Keep a table of the window counts, one partition per window.
+
+    A batch brings the windows that it changed and replaces those partitions only, so readers
+    see each window before or after a batch, and a repeated batch writes the same. Rows later than
+    ``late`` behind the newest of the batches before are dropped, and their windows' state is freed.
+    """
 
     def handle(counts: DataFrame, number: int) -> None:
-        counts.write.mode("overwrite").parquet(path)
+        (counts.withColumn("window_key", F.date_format("window_start", "yyyyMMddHHmmss"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("window_key").parquet(path))
 
-    return (window_counts(matches, length, late).writeStream.outputMode("complete")
+    return (window_counts(matches, length, late).writeStream.outputMode("update")
             .foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

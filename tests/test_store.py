@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchloom import schemas
 from matchloom.config import MatchConfig
 from matchloom.operators.keys import rank_all, top_per_key
-from matchloom.operators.store import Store
+from matchloom.operators.store import Store, latest_status
 from matchloom.plans import reporting, runs
 from matchloom.sources.resumes import parse_resumes, read_resumes
 from matchloom.sources.tables import read_table
@@ -178,3 +178,35 @@ def test_stream_equals_batch_over_several_batches(spark, tmp_path):
     assert run() == ({str(i) for i in range(7)}, 7)
     spark.createDataFrame([(99, "new", "t"), (100, "1", "t")], schema).coalesce(1).write.mode("append").parquet(source)
     assert run() == ({*map(str, range(7)), "new"}, 8)
+
+
+def test_streams_and_manual_batches_keep_every_row(spark, tmp_path):
+    schema = "seq int, job_id string, title string"
+    store = Store(spark, str(tmp_path / "store"))
+    store.save_jobs(spark.createDataFrame([(1, "old", "t")], schema), "0", order(), now())
+    for n in range(2):
+        source = str(tmp_path / f"in{n}")
+        spark.createDataFrame([(1, f"s{n}", "t"), (2, "both", "t")], schema).coalesce(1).write.parquet(source)
+        for check in (f"check{n}", f"fresh{n}", f"check{n}"):
+            stream = incremental.read_files(spark, source, spark.createDataFrame([], schema).schema, files_per_batch=1)
+            incremental.ingest_stream(stream, store, now(), order(), str(tmp_path / check)).awaitTermination()
+    store.save_jobs(spark.createDataFrame([(9, "other", "t")], schema), "0", order(), now())
+    assert sorted(r["job_id"] for r in store.jobs().collect()) == ["both", "old", "other", "s0", "s1"]
+
+
+def test_late_rows_are_dropped_and_other_windows_stay(spark, tmp_path):
+    source, path, schema = str(tmp_path / "in"), str(tmp_path / "counts"), "job_id string, resume_file string, match_score double, created_at timestamp"
+    days = [["2024-03-01", "2024-03-02"], ["2024-03-20"], ["2024-01-03", "2024-03-21"], ["2024-03-22"]]
+    for n, batch in enumerate(days):
+        rows = spark.createDataFrame([(str(n), "r", 10.0 * n, dt.datetime.fromisoformat(d)) for d in batch], schema)
+        rows.coalesce(1).write.mode("append").parquet(source)
+        stream = incremental.read_files(spark, source, rows.schema, files_per_batch=1)
+        incremental.window_count_stream(stream, path, str(tmp_path / "check")).awaitTermination()
+    got = {str(r["window_start"].date()): (r["n_matches"], r["avg_match_score"]) for r in spark.read.parquet(path).collect()}
+    assert "2024-01-03" not in got and sum(n for n, _ in got.values()) == 5
+    assert sorted(n for n, _ in got.values()) == [1, 2, 2]
+
+
+def test_status_ties_are_fixed(spark):
+    log = spark.sql("SELECT 'a' job_id, 'r' resume_file, s status, timestamp '2024-01-01' ts FROM VALUES ('x'), ('applied') t(s)")
+    assert latest_status(log).first()["status"] == "x"
