@@ -11,7 +11,6 @@ DEFAULT_WEIGHTS = {"keyword": 0.20, "tfidf": 0.25, "semantic": 0.25, "skills": 0
 MISSING_WEIGHT = 0.25
 DEFAULT_THRESHOLD = 70.0
 DEFAULT_EXPERIENCE = (0, 20)
-RECENT_DAYS = 7
 SCORE_PARTS = ("keyword", "tfidf", "semantic", "skills")
 
 
@@ -19,14 +18,14 @@ SCORE_PARTS = ("keyword", "tfidf", "semantic", "skills")
 class MatchConfig:
     """Weights, threshold and term rules.
 
-    ``max_terms`` is the number of TF-IDF terms a pair may use; ``None`` lifts it.
+    ``max_terms`` is the number of TF-IDF terms a pair may use; by default all of them.
     ``semantic`` off scores that part 0 and leaves the other weights as they are.
     """
 
     weights: Mapping[str, float] = field(default_factory=lambda: dict(DEFAULT_WEIGHTS))
     threshold: float = DEFAULT_THRESHOLD
     semantic: bool = True
-    max_terms: int | None = 1000
+    max_terms: int | None = None
     stop_words: Sequence[str] = tuple(lexicon.STOP_WORDS)
     tfidf_stop_words: Sequence[str] = tuple(lexicon.STOP_WORDS)
     skill_tag_groups: Sequence[Sequence[str]] = lexicon.SKILL_TAG_GROUPS

@@ -81,12 +81,16 @@ def _skills(table: pa.Table):
     return rows, items, np.ones(len(rows))
 
 
-def _unit_vectors(table: pa.Table) -> np.ndarray:
+def _widths(table: pa.Table) -> np.ndarray:
+    return np.bincount(list_items(table["vec"])[0], minlength=table.num_rows)
+
+
+def _unit_vectors(table: pa.Table, width: int) -> np.ndarray:
+    """One row per document, zeros where it has no vector."""
     rows, items = list_items(table["vec"])
-    if not len(rows):
-        return np.zeros((table.num_rows, 1))
-    width = int(np.bincount(rows).max())
     out = np.zeros((table.num_rows, width))
+    if not len(rows):
+        return out
     position = np.arange(len(rows)) - np.searchsorted(rows, rows)
     out[rows, position] = items.to_numpy(zero_copy_only=False)
     norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
@@ -130,7 +134,12 @@ def cell_scorer(config: MatchConfig, threshold: float, top_n: int | None):
         lengths = right["skills"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
         required = np.broadcast_to(lengths.astype(float)[None, :], shape)
         m4 = np.where(required > 0, divide(met, required), 1.0)
-        m3 = _unit_vectors(left) @ _unit_vectors(right).T if semantic else 0.0
+        m3 = 0.0
+        if semantic:  # vectors of different lengths have cosine 0, as missing ones do
+            widths = _widths(left), _widths(right)
+            width = int(max(widths[0].max(), widths[1].max(), 1))
+            m3 = np.where(widths[0][:, None] == widths[1][None, :],
+                          _unit_vectors(left, width) @ _unit_vectors(right, width).T, 0.0)
         rest = w["keyword"] * m1 + w["semantic"] * m3 + w["skills"] * m4
         low = np.minimum((rest + w["tfidf"] * m2_low) * 100, 100)
         high = np.minimum((rest + w["tfidf"] * m2_high) * 100, 100)

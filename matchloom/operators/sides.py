@@ -90,9 +90,9 @@ def _attach(docs: DataFrame, key: Callable[[str], Column], id_column: str,
         partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         docs = docs.repartition(partitions, "key")
     if vectors is not None:
+        # One vector per document; of several the smallest.
         docs = docs.join(
-            vectors.select(key(id_column).alias("key"), F.col("embedding").alias("vec")),
-            "key", "left")
+            vectors.groupBy(key(id_column).alias("key")).agg(F.min("embedding").alias("vec")), "key", "left")
     elif encoder is not None:
         docs = docs.withColumn("vec", encoder(F.col("match_text")))
     else:

@@ -1,6 +1,6 @@
 """Pairs that share terms, found and summed through the terms.
 
-:func:`shared_sums` is the plain inverted-index join. :func:`pruned_sums` finds
+:func:`pruned_sums` finds
 the pairs whose text score can reach a needed value without joining the terms
 that most documents have, and is exact. It is prefix filtering as published for
 set similarity joins, carried over to the two text scores used here:
@@ -57,15 +57,6 @@ def _sums(pairs: DataFrame) -> DataFrame:
     )
 
 
-def shared_sums(resumes: DataFrame, jobs: DataFrame, kind: int | None = None) -> DataFrame:
-    """Sums of every pair that shares an entry (of one kind, if given)."""
-    left = postings(resumes).withColumnsRenamed({"key": "r", "tf": "tf1"})
-    right = postings(jobs).withColumnsRenamed({"key": "j", "tf": "tf2"})
-    if kind is not None:
-        left, right = left.where(F.col("kind") == kind), right.where(F.col("kind") == kind)
-    return _sums(left.join(right, ENTRY_KEY))
-
-
 def _requirements(side: DataFrame, need: float, config: MatchConfig) -> DataFrame:
     """Add what a document has to share, in keywords and in term mass."""
     w_k, w_t = config.weight("keyword"), config.weight("tfidf")
@@ -135,6 +126,9 @@ def _within_reach(config: MatchConfig, need: float) -> Column:
 
 def pruned_sums(resumes: DataFrame, jobs: DataFrame, config: MatchConfig, need: float) -> DataFrame:
     """Sums of the pairs whose text part ``w_k M1 + w_t M2`` may reach ``need > 0``."""
+    if config.weight("keyword") + config.weight("tfidf") == 0:  # the text part is 0
+        return resumes.sparkSession.createDataFrame(
+            [], "r string, j string, " + ", ".join(f"{c} long" for c in SUMS))
     resumes, jobs = (_requirements(s, need, config) for s in (resumes, jobs))
     left, right = (postings(s, "req_kw", "req_mass") for s in (resumes, jobs))
     # Only entries that occur on both sides can be shared. The counts are small

@@ -118,7 +118,7 @@ def score_matches(
     else:
         pairs = block_sums(left, right, config, threshold, top_n)
     scored = score_pairs(pairs, left, right, config, threshold).select(
-        F.when(F.col("j") != "", F.substring("j", 2, 1 << 30)).alias("job_id"),
+        F.when(F.col("j") != "", F.expr("substring(j, 2)")).alias("job_id"),
         F.col("r").alias("resume_file"), "r", "j",
         F.round("total", 2).alias("match_score"),
         F.struct("keyword", "tfidf", "semantic", "skills").alias("score_breakdown"),

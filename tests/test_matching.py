@@ -240,3 +240,27 @@ def test_cells_spread_one_job_over_many(spark, monkeypatch):
     want = {(str(a), str(b)): tfidf(r[1], j[2], 10) for a, r in enumerate(resumes) for b, j in enumerate(jobs)}
     want = {k: v for k, v in want.items() if v >= 0.05}
     assert found == pytest.approx(want)
+
+
+@pytest.mark.parametrize("threshold", [30, 0])
+def test_missing_mixed_and_repeated_vectors(spark, threshold):
+    """No vectors on one side, vectors of two lengths, and two vectors of one document."""
+    config = config_of((0.2, 0.25, 0.25, 0.3), threshold=threshold)
+    resumes, jobs = sample(21)
+    r, j, options = frames(spark, resumes, jobs)
+    bare = [(*x[:4], None) for x in jobs]
+    check(matching.score_matches(r, j, config, resume_vectors=options["resume_vectors"]), direct(resumes, bare, config, threshold))
+    other = options["job_vectors"].select("job_id", F.slice("embedding", 1, 3).alias("embedding"))
+    check(matching.score_matches(r, j, config, resume_vectors=options["resume_vectors"], job_vectors=other),
+          direct(resumes, bare, config, threshold))
+    twice = options["job_vectors"].unionByName(options["job_vectors"])
+    check(matching.score_matches(r, j, config, resume_vectors=options["resume_vectors"], job_vectors=twice),
+          direct(resumes, jobs, config, threshold))
+
+
+def test_no_text_weight_and_a_high_threshold(spark):
+    config = config_of((0.0, 0.0, 0.5, 0.5), threshold=70, semantic=False)
+    resumes, jobs = sample(22)
+    r, j, options = frames(spark, resumes, jobs)
+    assert direct(resumes, jobs, config, 70) == {}
+    assert matching.score_matches(r, j, config, **options).count() == 0

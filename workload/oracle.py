@@ -105,13 +105,11 @@ LOG = """log AS (
          CASE WHEN match_score >= 50 THEN 'applied' ELSE 'withdrawn' END AS status FROM matches)"""
 ORACLE["match_status_latest"] = with_(MATCHES, LOG) + """
 SELECT job_id, resume_file, max_by(status, ts) AS status FROM log GROUP BY ALL"""
-ORACLE["applied_matches"] = with_(MATCHES, LOG, f"""latest AS (
-  SELECT job_id, resume_file, max_by(status, ts) AS status FROM log
-  WHERE ts >= timestamp '{MIDDLE}' GROUP BY ALL)""") + f"""
+ORACLE["applied_matches"] = with_(MATCHES, LOG, """latest AS (
+  SELECT job_id, resume_file, max_by(status, ROW(ts, status)) AS status FROM log GROUP BY ALL)""") + """
 SELECT seq, m.job_id, m.resume_file,
        cast(CASE WHEN status = 'applied' THEN 1 ELSE 0 END AS bigint) AS applied
-FROM matches m LEFT JOIN latest l ON m.job_id = l.job_id AND m.resume_file = l.resume_file
-WHERE created_at < timestamp '{MIDDLE}'"""
+FROM matches m LEFT JOIN latest l ON m.job_id = l.job_id AND m.resume_file = l.resume_file"""
 ORACLE["new_matches_insert"] = with_(MATCHES) + f"""
 SELECT job_id, resume_file, match_score, {clock('created_at')} AS created_at FROM (
   SELECT *, row_number() OVER (PARTITION BY job_id, resume_file ORDER BY seq) AS n FROM matches m
@@ -220,7 +218,7 @@ SELECT page_id, card_no, title, url, 'Not specified' AS company, 'Not specified'
        'Not specified' AS posted_date, job_id FROM cards"""
 ARTICLES = f"""articles AS (
   SELECT page_id, {element("regexp_extract(card, '(?is)<h1>(.*?)</h1>', 1)")} AS title,
-         list_transform(regexp_extract_all(card, '(?is)<b\\b[^>]*>(.*?)<br\\b[^>]*>', 1),
+         list_transform(regexp_extract_all(card, '(?is)<h1>(.*?)</h1>', 1),
                         lambda x: {element('x')}) AS skills
   FROM (SELECT page_id, unnest(regexp_extract_all(page, '(?is)<article>(.*?)</article>', 1)) AS card
         FROM live))"""
@@ -477,8 +475,9 @@ ORACLE["skills_match"] = with_(
     f"r AS (SELECT item_id, {tags('text', TAGS)} AS a FROM benchmark)",
     f"j AS (SELECT doc_id, {tags('text', TAGS)} AS b FROM documents)") + f"""
 SELECT item_id, doc_id, {score('s')} AS score FROM (
-  SELECT item_id, doc_id, len(list_intersect(a, b)) / cast(len(b) AS double) AS s
-  FROM r CROSS JOIN j WHERE len(b) > 0) WHERE s >= {LEAST['skills']}"""
+  SELECT item_id, doc_id, CASE WHEN len(b) = 0 THEN 1.0
+    ELSE len(list_intersect(a, b)) / cast(len(b) AS double) END AS s
+  FROM r CROSS JOIN j) WHERE s >= {LEAST['skills']}"""
 
 # The whole match: resume text with its skills, job text with its title.
 SIDES = [
@@ -539,3 +538,28 @@ SELECT t.job_id, t.resume_file, j.title AS job_title, j.company, j.location, j.u
        len(s.skills) AS skills_count
 FROM total t JOIN jobs j USING (job_id) JOIN resumes r USING (resume_file)
 JOIN r_side s ON s.k = t.resume_file WHERE total >= 35"""
+
+ORACLE["match_scores_some_vectors"] = with_(*SIDES, *totals(
+    {"keyword": 0.20, "tfidf": 0.25, "semantic": 0.25, "skills": 0.30}, True)).replace(
+    "JOIN embeddings ON vec_id = (SELECT", "JOIN embeddings ON doc_id % 3 <> 0 AND vec_id = (SELECT") + f"""
+SELECT job_id, resume_file, round(total, 2) AS match_score, {PARTS} FROM total WHERE total >= 35"""
+ORACLE["stored_applied"] = with_(MATCHES) + f"""
+SELECT job_id, resume_file, match_score, cast(coalesce((SELECT max(1) FROM matches o WHERE o.seq % 5 = 0
+       AND o.job_id = m.job_id AND o.resume_file = m.resume_file), 0) AS bigint) AS applied
+FROM (SELECT *, row_number() OVER (PARTITION BY job_id, resume_file ORDER BY seq) AS n FROM matches
+      WHERE created_at < timestamp '{MIDDLE}') m WHERE n = 1"""
+ORACLE["matches_in_order"] = with_(MATCHES) + """
+SELECT resume_file, job_id, match_score, row_number() OVER (
+  PARTITION BY resume_file ORDER BY match_score DESC, job_id) AS rank
+FROM (SELECT DISTINCT resume_file, job_id, match_score FROM matches)"""
+ORACLE["job_cards_classes"] = """
+SELECT page_id, cast(0 AS bigint) AS card_no, 'Dev & Ops ' || page_id AS title,
+       'https://j.example.org/dev-x-' || page_id || '?src=a&k=1' AS url, 'A₹B Ltd' AS company,
+       'Pune' || page_id % 7 || ' East' AS location, '1-2 Yrs' AS experience, 'Not disclosed' AS salary,
+       'GoSQL|SQL' AS skills, '2 days' AS posted_date, cast(page_id AS varchar) AS job_id FROM pages
+UNION ALL SELECT page_id, 1, 'Bare', NULL, 'Not specified', 'Not specified', 'Not specified', 'Not disclosed',
+       '', 'Not specified', '' FROM pages"""
+ORACLE["job_details_nested"] = """
+SELECT page_id, 'Dev ' || page_id AS title, 'Acme' AS company, '1-2 Yrs' AS experience, '₹ 5' AS salary,
+       'Pune' AS location, 'First.. Second with python ' || page_id AS description, 'Go|SQL' AS skills,
+       'open_to=n' || page_id || '|role=Lead' AS details FROM pages"""

@@ -14,6 +14,7 @@ from matchloom.functions.text import keyword_set, normalize_text
 from matchloom.functions.web import job_id_from_url
 from matchloom.operators import text_pairs
 from matchloom.operators.shared import materialize, new_folder
+from matchloom.operators.keys import rank_all as ranked
 from matchloom.operators.sides import KEYWORD, TERM, entity_skills, job_key, text_side
 from matchloom.operators.store import Store, latest_status, matched_jobs, unmatched_jobs, with_applied
 from matchloom.plans import matching, reporting, runs
@@ -33,9 +34,9 @@ SECTION_STARTS, SECTION_STOPS = ("license",), ("the",)
 LEAST = {"keyword": 0.1, "tfidf": 0.1, "semantic": 0.3, "skills": 0.5}
 TAGS = (*sk.lexicon.SKILL_TAG_GROUPS, EXTRA_TERMS)
 
-FLAGSHIP = MatchConfig(threshold=35.0)
+FLAGSHIP = MatchConfig(threshold=35.0, max_terms=1000)
 TEXT_ONLY = MatchConfig(weights={"keyword": 0.5, "tfidf": 0.5, "semantic": 0.0, "skills": 0.0},
-                        threshold=10.0, semantic=False)
+                        threshold=10.0, semantic=False, max_terms=1000)
 
 
 def query(function: Query) -> Query:
@@ -163,9 +164,7 @@ def match_status_latest(spark, sf):
 
 @query
 def applied_matches(spark, sf):
-    early = views.matches(spark, sf).where(F.col("created_at") < F.lit(views.MIDDLE).cast("timestamp"))
-    rest = status_log(spark, sf).where(F.col("ts") >= F.lit(views.MIDDLE).cast("timestamp"))
-    return with_applied(early, rest).select(
+    return with_applied(views.matches(spark, sf), status_log(spark, sf)).select(
         "seq", "job_id", "resume_file", F.col("applied").cast("long").alias("applied"))
 
 
@@ -236,6 +235,26 @@ def job_detail_keys(spark, sf):
     return found.select("page_id", F.explode("details").alias("name", "value"))
 
 
+@query
+def job_cards_classes(spark, sf):
+    """The default selectors on listing markup: scopes, nesting, quote styles, references."""
+    pages = views.table(spark, sf, "pages").select("page_id", views.listing().alias("html"))
+    cards = job_cards(pages, now(), keep=("page_id",))
+    return cards.select("page_id", F.col("card_no").cast("long").alias("card_no"), "title", "url", "company", "location",
+                        "experience", "salary", listed("skills").alias("skills"), "posted_date", "job_id")
+
+
+@query
+def job_details_nested(spark, sf):
+    """The default selectors on detail markup: nested blocks and several of them."""
+    pages = views.table(spark, sf, "pages").select("page_id", views.detail().alias("html"))
+    found = job_details(pages, keep=("page_id",))
+    return found.select("page_id", "title", "company", "experience", "salary", "location", "description",
+                        F.array_join("skills", "|").alias("skills"),
+                        F.array_join(F.sort_array(F.transform(F.map_entries("details"), lambda e: F.concat_ws(
+                            "=", e["key"], e["value"]))), "|").alias("details"))
+
+
 @query
 def page_job_ids(spark, sf):
     return views.table(spark, sf, "pages").select("page_id", job_id_from_url(F.col("url")).alias("job_id"))
@@ -354,7 +373,7 @@ def tfidf_pairs_capped(spark, sf):
 
 
 def named(pairs: DataFrame, *columns: Column) -> DataFrame:
-    return pairs.select(F.col("r").alias("resume_file"), F.substring("j", 2, 99).alias("job_id"), *columns)
+    return pairs.select(F.col("r").alias("resume_file"), F.expr("substring(j, 2)").alias("job_id"), *columns)
 
 
 @query
@@ -370,13 +389,13 @@ def semantic_pairs(spark, sf):
 
 @query
 def skills_match(spark, sf):
-    """Coverage of the skills that jobs ask for, over jobs that ask for any."""
+    """Coverage of the skills that jobs ask for; it is whole where a job asks for none."""
     no_vector = F.lit(None).cast("array<float>").alias("vec")
     tags = sk.skill_tags(body(), TAGS).alias("skills")
     left = views.texts(spark, sf, "benchmark").select(
         F.col("item_id").cast("string").alias("key"), no_vector, tags)
     right = views.texts(spark, sf, "documents").select(
-        F.col("doc_id").cast("string").alias("key"), no_vector, tags).where(F.size("skills") > 0)
+        F.col("doc_id").cast("string").alias("key"), no_vector, tags)
     left, right = (materialize(text_pairs.bare_side(s), "skills") for s in (left, right))
     pairs = text_pairs.skill_pairs(left, right, FLAGSHIP, LEAST["skills"])
     return numbered(pairs, score("score").alias("score"))
@@ -399,6 +418,36 @@ def match_scores(spark, sf):
     return found.select("job_id", "resume_file", "match_score", *parts())
 
 
+@query
+def match_scores_some_vectors(spark, sf):
+    """A third of the jobs has no vector yet; their semantic part is 0."""
+    resumes, jobs, options = flagship_inputs(spark, sf)
+    options["job_vectors"] = options["job_vectors"].where(F.col("job_id").cast("long") % 3 != 0)
+    found = matching.score_matches(resumes, jobs, FLAGSHIP, **options)
+    return found.select("job_id", "resume_file", "match_score", *parts())
+
+
+@query
+def stored_applied(spark, sf):
+    """Pairs marked as applied in a store; pairs that are no stored match are not logged."""
+    store = Store(spark)
+    found = materialize(views.matches(spark, sf), "matches")
+    early = found.where(F.col("created_at") < F.lit(views.MIDDLE).cast("timestamp"))
+    store.save_matches(early, "0", [F.asc("seq")], now())
+    for batch in ("0", "1"):
+        store.mark_applied(found.where(F.col("seq") % 5 == 0), batch, now())
+    return store.matches_with_status().select(
+        "job_id", "resume_file", "match_score", F.col("applied").cast("long").alias("applied"))
+
+
+@query
+def matches_in_order(spark, sf):
+    """Matches per resume, best first, with their place in that order."""
+    ordered = matching.sorted_matches(views.matches(spark, sf).dropDuplicates(["job_id", "resume_file", "match_score"]))
+    return ranked(ordered, "resume_file", [F.desc("match_score"), F.asc("job_id")]).select(
+        "resume_file", "job_id", "match_score", F.col("rank").cast("long").alias("rank"))
+
+
 @query
 def match_full_records(spark, sf):
     resumes, jobs, options = flagship_inputs(spark, sf)
