@@ -82,3 +82,31 @@ select d.doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines,
        case when d.text is null then null else sha256(coalesce(kept.text, '')) end as kept_sha256
 from documents d left join kept using (doc_id)
 """
+
+ORACLE["op3_repeated_passages"] = """
+with d as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents
+),
+w as (
+  select doc_id, s, md5(substr(h, 2 * s + 1, 800)) as k
+  from (select doc_id, h, unnest(range(0, n - 399)) as s from d where n >= 400)
+),
+dup as (select doc_id, s from (select *, count(*) over (partition by k) as c from w) where c > 1),
+marked as (
+  select doc_id, s, sum(fresh) over (partition by doc_id order by s) as island
+  from (select *, case when s - lag(s) over (partition by doc_id order by s) <= 400 then 0 else 1 end as fresh from dup)
+),
+spans as (
+  select *, lag(b, 1, 0) over (partition by doc_id order by a) as before
+  from (select doc_id, min(s) as a, max(s) + 400 as b from marked group by doc_id, island)
+),
+kept as (
+  select doc_id, count(*) as n_spans, sum(b - a) as n_removed, max(b) as last,
+         string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) as front
+  from spans join d using (doc_id) group by doc_id
+)
+select d.doc_id, cast(n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+       cast(coalesce(n_spans, 0) as bigint) as n_spans,
+       sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from d left join kept using (doc_id)
+"""
