@@ -22,7 +22,8 @@ HEADLINE = (
     "new_jobs_insert", "new_matches_insert", "match_status_latest", "job_cards_nav",
     "job_detail_keys", "resume_skills", "keyword_sets", "resume_education", "keyword_jaccard",
     "tfidf_pairs", "semantic_pairs", "match_scores", "best_matches", "match_scores_text_only",
-    "digest", "stream_ingest",
+    "digest", "stream_ingest", "job_cards_classes", "job_details_nested", "skills_match", "tfidf_pairs_capped",
+    "match_full_records", "match_run_second", "stream_match",
 )
 
 

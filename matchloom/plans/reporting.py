@@ -185,6 +185,12 @@ def digest(matches: DataFrame, n: int = 10) -> DataFrame:
         .alias("html"))
 
 
+def digest_header(matches: DataFrame, now: Column) -> DataFrame:
+    """One row for the run: its matches, the resumes that have any, and its time."""
+    return matches.agg(
+        F.count("*").alias("n_matches"), F.count_distinct("resume_file").alias("n_resumes"), F.first(now).alias("created_at"))
+
+
 def digest_subject(matches: DataFrame) -> DataFrame:
     return matches.agg(F.concat(
         F.count("*").cast("string"), F.lit(" new job matches found")).alias("subject"))

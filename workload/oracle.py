@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from matchloom import lexicon
 from matchloom.functions.skills import tag_pattern
-from matchloom.config import DEFAULT_WEIGHTS
 from workload.queries import EXTRA_TERMS, LEAST, SECTION_STARTS, SECTION_STOPS, TAGS
 from workload.views import CUTOFF, EARLY, MIDDLE, NOW
 
@@ -515,9 +514,10 @@ def totals(weights: dict[str, float], semantic: bool) -> list[str]:
             f"total AS (SELECT *, least(({total}) * 100, 100) AS total FROM part)"]
 
 
+WEIGHTS = {"keyword": 0.20, "tfidf": 0.25, "semantic": 0.25, "skills": 0.30}
 TEXT_WEIGHTS = {"keyword": 0.5, "tfidf": 0.5, "semantic": 0.0, "skills": 0.0}
 PARTS = ", ".join(f"{score(p)} AS {p}" for p in ("keyword", "tfidf", "semantic", "skills"))
-ORACLE["match_scores"] = with_(*SIDES, *totals(DEFAULT_WEIGHTS, True)) + f"""
+ORACLE["match_scores"] = with_(*SIDES, *totals(WEIGHTS, True)) + f"""
 SELECT job_id, resume_file, round(total, 2) AS match_score, {PARTS} FROM total WHERE total >= 35"""
 ORACLE["match_scores_text_only"] = with_(*SIDES, *totals(TEXT_WEIGHTS, False)) + f"""
 SELECT job_id, resume_file, round(total, 2) AS match_score, {PARTS} FROM total WHERE total >= 10"""
@@ -526,12 +526,12 @@ SELECT job_id, resume_file, round(total, 2) AS match_score FROM total WHERE tota
 ORACLE["match_run_second"] = with_(*SIDES, *totals(TEXT_WEIGHTS, False)) + f"""
 SELECT job_id, resume_file, round(total, 2) AS match_score, '{NOW}' AS created_at
 FROM total WHERE total >= 10 AND job_id NOT IN (SELECT job_id FROM total WHERE total >= 20)"""
-ORACLE["best_matches"] = with_(*SIDES, *totals(DEFAULT_WEIGHTS, True)) + """
+ORACLE["best_matches"] = with_(*SIDES, *totals(WEIGHTS, True)) + """
 SELECT job_id, resume_file, match_score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY resume_file ORDER BY match_score DESC, job_id) AS rank
   FROM (SELECT job_id, resume_file, round(total, 2) AS match_score FROM total WHERE total >= 0))
 WHERE rank <= 10"""
-ORACLE["match_full_records"] = with_(*SIDES, *totals(DEFAULT_WEIGHTS, True)) + f"""
+ORACLE["match_full_records"] = with_(*SIDES, *totals(WEIGHTS, True)) + f"""
 SELECT t.job_id, t.resume_file, j.title AS job_title, j.company, j.location, j.url AS job_url,
        round(total, 2) AS match_score, '' AS matched_skills,
        length(j.description) AS description_length, {name('r.text')} AS name,
@@ -539,8 +539,7 @@ SELECT t.job_id, t.resume_file, j.title AS job_title, j.company, j.location, j.u
 FROM total t JOIN jobs j USING (job_id) JOIN resumes r USING (resume_file)
 JOIN r_side s ON s.k = t.resume_file WHERE total >= 35"""
 
-ORACLE["match_scores_some_vectors"] = with_(*SIDES, *totals(
-    {"keyword": 0.20, "tfidf": 0.25, "semantic": 0.25, "skills": 0.30}, True)).replace(
+ORACLE["match_scores_some_vectors"] = with_(*SIDES, *totals(WEIGHTS, True)).replace(
     "JOIN embeddings ON vec_id = (SELECT", "JOIN embeddings ON doc_id % 3 <> 0 AND vec_id = (SELECT") + f"""
 SELECT job_id, resume_file, round(total, 2) AS match_score, {PARTS} FROM total WHERE total >= 35"""
 ORACLE["stored_applied"] = with_(MATCHES) + f"""
@@ -563,3 +562,5 @@ ORACLE["job_details_nested"] = """
 SELECT page_id, 'Dev ' || page_id AS title, 'Acme' AS company, '1-2 Yrs' AS experience, '₹ 5' AS salary,
        'Pune' AS location, 'First.. Second with python ' || page_id AS description, 'Go|SQL' AS skills,
        'open_to=n' || page_id || '|role=Lead' AS details FROM pages"""
+ORACLE["digest_header"] = with_(MATCHES, JOBS, SCORED) + f"""
+SELECT count(*) AS n_matches, count(DISTINCT resume_file) AS n_resumes, '{NOW}' AS created_at FROM scored"""

@@ -502,6 +502,12 @@ def digest(spark, sf):
     return reporting.digest(views.scored_matches(spark, sf))
 
 
+@query
+def digest_header(spark, sf):
+    header = reporting.digest_header(views.scored_matches(spark, sf), now())
+    return header.select("n_matches", "n_resumes", clock("created_at").alias("created_at"))
+
+
 @query
 def match_report(spark, sf):
     ranked = reporting.ranked_matches(views.scored_matches(spark, sf), order())
