@@ -7,8 +7,8 @@ agree on a sketch if the same shingles are smallest in both and stand in the sam
 agreement falls with edit distance and not only with the overlap of sets.
 
 Texts that agree on a sketch are candidates. In small groups each pair is one; in larger
-groups every text meets two pivots, the one with the most neighbours in all groups and a random one; texts
-that do not end up in the component of a pivot choose new pivots in the next round. A pair is a
+groups every text meets a few pivots, those with the most neighbours in parts of the group; texts that
+do not end up in the group's largest component meet more of them in the next round. A pair is a
 link if an alignment of the shingle sequences, banded by the edits that the threshold allows,
 matches enough of them, or if their shingle sets are that similar.
 
@@ -35,13 +35,15 @@ WORD = re.compile(r"\w+")
 
 @dataclass(frozen=True)
 class NearConfig:
-    """``small``: texts in a group up to which all its pairs are candidates."""
+    """``small``: texts in a group up to which all its pairs are candidates. ``pivots``: of a larger
+    group in the first round; later ones have four times as many."""
 
     shingle: int = 5
     similarity: float = 0.8
     sketches: int = 16
     picks: int = 3
     small: int = 8
+    pivots: int = 4
     rounds: int = 2
 
 
@@ -174,8 +176,11 @@ def sketches(docs: DataFrame, config: NearConfig) -> DataFrame:
         run, "doc_id long, key binary, n long, u long, keys array<long>")
 
 
-def candidates(groups: DataFrame, config: NearConfig) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, to verify from ``groups(bucket, id, n, u)``."""
+def candidates(groups: DataFrame, config: NearConfig, turn: int = 0) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, to verify from ``groups(bucket, id, n, u, rest)``.
+
+    Texts marked as rest look for partners; all texts of a group can be one.
+    """
     sizes = groups.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     held = groups.join(sizes, "bucket")
     left = held.filter(F.col("size") <= config.small).select("bucket", "id", "n", "u")
@@ -183,12 +188,13 @@ def candidates(groups: DataFrame, config: NearConfig) -> DataFrame:
     small = left.join(right, "bucket").filter("id < id2")
     large = held.filter(F.col("size") > config.small)
     weight = large.groupBy("id").agg(F.sum("size").alias("weight"))
-    chosen = large.join(weight, "id")
-    text = F.struct("id", "n", "u")
-    pivots = chosen.groupBy("bucket").agg(
-        F.max(F.struct("weight", text.alias("p"))).alias("x"),
-        F.max(F.struct(F.xxhash64("bucket", "id").alias("h"), text.alias("p"))).alias("y"))
-    stars = large.join(pivots.select("bucket", F.explode(F.array("x.p", "y.p")).alias("p")), "bucket").select(
+    # The texts of a group fall into slots anew in each group and round; each slot's pivot has the most neighbours.
+    slots = config.pivots * (4 if turn else 1)
+    slot = F.pmod(F.xxhash64("bucket", "id", F.lit(turn)), F.lit(slots))
+    pivots = large.join(weight, "id").groupBy("bucket", slot.alias("slot")).agg(
+        F.max(F.struct("weight", F.struct("id", "n", "u").alias("p"))).alias("x")).groupBy("bucket").agg(
+        F.collect_list("x.p").alias("ps"))
+    stars = large.filter("rest").join(pivots, "bucket").select("id", "n", "u", F.explode("ps").alias("p")).select(
         "id", "n", "u", F.col("p.id").alias("id2"), F.col("p.n").alias("n2"), F.col("p.u").alias("u2")).filter("id != id2")
 
     def close(x: str) -> Column:
@@ -241,27 +247,28 @@ def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataF
     bands = distinct.select("id", "n", "u", F.posexplode("keys").alias("band", "value")).select(
         F.xxhash64("band", "value").alias("bucket"), "id", "n", "u")
     shared = bands.groupBy("bucket").agg(F.count("*").alias("_c")).filter("_c > 1").select("bucket")
-    groups = materialize(bands.join(shared, "bucket"), "groups")
+    groups = materialize(bands.join(shared, "bucket").withColumn("rest", F.lit(True)), "groups")
     wanted = groups.select("id").distinct().join(distinct.select("id", "key"), "id")
     texts = materialize(
         data.join(wanted, "key").groupBy("id").agg(F.first("text").alias("text")), "candidate-texts")
     done = links = None
     for turn in range(config.rounds):
-        pairs = candidates(groups, config)
+        pairs = candidates(groups, config, turn)
         pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         found = materialize(verified(pairs, texts, config), "links")
         done = pairs if done is None else done.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         roots = materialize(components(links), "roots")
         if turn + 1 < config.rounds:
-            # What is left in a large group: all that the component with the most members there lacks.
+            # The rest of a large group is what the component with the most members there lacks.
             sizes = groups.groupBy("bucket").agg(F.count("*").alias("_c")).filter(F.col("_c") > config.small)
             tied = groups.join(sizes.select("bucket"), "bucket").join(
                 roots.withColumnRenamed("root", "_root"), "id", "left").withColumn("_root", F.coalesce("_root", "id"))
             most = tied.groupBy("bucket", "_root").agg(F.count("*").alias("_c")).groupBy("bucket").agg(
                 F.max(F.struct("_c", "_root")).alias("_top")).select("bucket", F.col("_top._root").alias("_main"))
-            groups = materialize(tied.join(most, "bucket").filter("_root != _main").select("bucket", "id", "n", "u"),
-                                 "rest")
+            told = tied.join(most, "bucket").select("bucket", "id", "n", "u", (F.col("_root") != F.col("_main")).alias("rest"))
+            still = told.filter("rest").select("bucket").distinct()
+            groups = materialize(told.join(still, "bucket"), "rest")
             if not groups.take(1):
                 break
     member = every.select("doc_id", "key").join(distinct.select("key", "id"), "key").join(
