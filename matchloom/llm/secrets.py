@@ -301,10 +301,16 @@ class Tagger:
 def fit(docs: DataFrame, config: SecretConfig) -> Field:
     """Train on a bounded sample: at most ``config.sample`` rows with matches and as many of any kind."""
     hint = F.lower("text").rlike("(passw|secret|token|api_?key)[\"']?\x20*[:=]|[0-9a-f]{24}") | F.col("text").contains("AKIA")
-    marked = docs.select(text_or_empty().alias("text")).filter(F.length("text").between(200, 20_000)).select(
-        "text", hint.alias("has"), F.xxhash64("text").alias("h"))
-    texts = [r["text"] for part in (marked.filter("has"), marked)
-             for r in part.orderBy("h", "text").limit(config.sample).select("text").collect()]
+    marked = docs.select(text_or_empty().alias("text")).filter(F.length("text").between(200, 20_000)).withColumn(
+        "h", F.xxhash64("text"))
+    texts = []
+    for part in (marked.filter(hint), marked):
+        # Hashes first: texts reach the driver for the sample only, not from every task.
+        lowest = [r["h"] for r in part.groupBy("h").count().orderBy("h").limit(config.sample).select("h").collect()]
+        if lowest:
+            chosen = marked.filter(F.col("h") <= lowest[-1])
+            chosen = chosen if part is marked else chosen.filter(hint)
+            texts += [r["text"] for r in chosen.select("text").distinct().collect()]
     features, tags = training(sorted(set(texts)), config)
     return Field().fit(features, tags, config) if (tags > 0).any() else Field()
 
