@@ -61,24 +61,36 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class TextModel:
-    """Mean log-likelihood per trigram of each language and of unknown text."""
+    """Mean log-likelihood per trigram of each language and of unknown text.
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
-        self.languages = languages
-        share = (counts + 0.05) / (counts.sum(axis=1, keepdims=True) + 0.05 * BUCKETS)
-        self.table = np.ascontiguousarray(np.log(share).T.astype(np.float32))
+    Only used buckets are stored, bucket by bucket; in all others a language has its ``base``,
+    so that the table grows with what its languages use and not with their number.
+    """
 
-    def score(self, texts: list[str | None], weight: float, floor: float) -> np.ndarray:
-        """One row per text: log-likelihoods per language, then of the unknown class."""
+    def __init__(self, languages: list[str], language: np.ndarray, bucket: np.ndarray, n: np.ndarray):
+        self.languages = languages
+        total = np.bincount(language, n, minlength=len(languages)) + 0.05 * BUCKETS
+        self.base = np.log(0.05 / total)
+        order = np.lexsort((language, bucket))
+        self.language = language[order].astype(np.int32)
+        self.gain = np.log1p(n[order] / 0.05).astype(np.float32)
+        self.start = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+
+    def scores(self, texts: list[str | None], weight: float, floor: float) -> Iterator[np.ndarray]:
+        """For each text: log-likelihoods per language, then of the unknown class."""
         code, edges = trigrams(texts)
         sizes = np.maximum(edges[1:] - edges[:-1] - 2, 0)  # without those that cross into the next text
         # Unknown text: what a trigram costs beyond ``floor`` times the mean of uniform buckets.
-        out = np.zeros((len(texts), len(self.languages) + 1))
-        for i in np.flatnonzero(sizes):
-            part = self.table[code[edges[i]:edges[i] + sizes[i]]]
-            out[i, :-1] = part.mean(axis=0, dtype=np.float64) * min(weight, sizes[i])
-            out[i, -1] = -floor_cost(floor) * min(weight, sizes[i])
-        return out
+        for a, size in zip(edges[:-1], sizes):
+            out = np.zeros(len(self.languages) + 1)
+            if size:
+                used, times = np.unique(code[a:a + size], return_counts=True)
+                first, held = self.start[used], self.start[used + 1] - self.start[used]
+                at = np.repeat(first - np.cumsum(held) + held, held) + np.arange(held.sum())
+                gain = np.bincount(self.language[at], self.gain[at] * np.repeat(times, held), minlength=len(self.languages))
+                out[:-1] = (self.base + gain / size) * min(weight, size)
+                out[-1] = -floor_cost(floor) * min(weight, size)
+            yield out
 
 
 def floor_cost(floor: float) -> float:
@@ -108,57 +120,64 @@ def fit_text(docs: DataFrame, config: LanguageConfig) -> TextModel:
                         F.xxhash64("_row", "_text").alias("_h")).filter(
         "language != '' and text is not null and trim(text) != ''")
     rows = {r["language"]: r["n"] for r in named.groupBy("language").agg(F.count("*").alias("n"))
-            .filter(F.col("n") >= config.least_rows).orderBy(F.desc("n"), "language").limit(200).collect()}
+            .filter(F.col("n") >= config.least_rows).collect()}
     languages = sorted(rows)
+    place = {name: i for i, name in enumerate(languages)}
     if not languages:
-        return TextModel([], np.zeros((0, BUCKETS)))
+        return TextModel([], *np.zeros((3, 0), np.int64))
     # A share of each language's rows, by a hash of the row: narrow, and the same on every run.
-    share = F.create_map(*[x for name in languages for x in (
-        F.lit(name), F.lit(int(min(1.0, config.sample / rows[name]) * (1 << 30))))])
-    sample = (named.filter(F.col("language").isin(languages))
-              .filter(F.pmod("_h", F.lit(1 << 30)) <= F.element_at(share, F.col("language")))
+    share = docs.sparkSession.createDataFrame(
+        [(name, int(min(1.0, config.sample / n) * (1 << 30))) for name, n in rows.items()], "language string, _share long")
+    sample = (named.join(share, "language").filter(F.pmod("_h", F.lit(1 << 30)) <= F.col("_share"))
               .select("language", "text").distinct())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
         for part in slices(batches):
             names = part.column(0).to_pylist()
             code, edges = trigrams(part.column(1).to_pylist())
+            total: dict[str, dict[int, float]] = {}
             for name, a, b in zip(names, edges[:-1], edges[1:]):
                 # A text weighs at most as much as 2,000 trigrams, so that none rules the table.
-                got = np.bincount(code[a:max(a, b - 2)], minlength=BUCKETS) * min(1.0, 2000 / max(1, b - a))
-                total[name] = total.get(name, 0) + got
-        for name, t in total.items():
-            used = np.flatnonzero(t)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(used)), pa.array(used, pa.int64()), pa.array(t[used])],
-                ["language", "bucket", "n"])
-
-    found = sample.mapInArrow(count, "language string, bucket long, n double").groupBy(
-        "language", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x BUCKETS at most
-    counts = np.zeros((len(languages), BUCKETS))
-    counts[[languages.index(x) for x in found["language"]], found["bucket"].to_numpy()] = found["n"].to_numpy()
-    return TextModel(languages, counts)
-
-
-def host_priors(scored: DataFrame, languages: list[str], config: LanguageConfig) -> DataFrame:
-    """``(_host, prior array)``: smoothed shares of the languages found by text alone."""
-    names = [f"_c{i}" for i in range(len(languages) + 1)]
-    ones = [F.sum((F.col("_best") == i).cast("double")).alias(n) for i, n in enumerate(names)]
-    hosts = scored.groupBy("_host").agg(*ones).withColumn("_suffix", suffix_of(F.col("_host")))
-    suffixes = hosts.groupBy("_suffix").agg(*[F.sum(n).alias(n) for n in names])
-    whole = hosts.agg(*[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names]).first()
-    k = len(names)
-    top = [(whole[n] + 1.0) / (sum(whole) + k) for n in names]
-
-    def share(columns: list[str], above: list[Column], strength: float) -> list[Column]:
-        n = reduce(lambda a, b: a + b, [F.col(c) for c in columns])
-        return [(F.col(c) + strength * p) / (n + strength) for c, p in zip(columns, above)]
-
-    middle = suffixes.select("_suffix", *[s.alias(f"_s{i}") for i, s in enumerate(
-        share(names, [F.lit(t) for t in top], config.suffix))])
-    return hosts.join(middle, "_suffix").select(
-        "_host", F.array(*share(names, [F.col(f"_s{i}") for i in range(k)], config.host)).alias("_prior"))
+                used, n = np.unique(code[a:max(a, b - 2)], return_counts=True)
+                own, scale = total.setdefault(name, {}), min(1.0, 2000 / max(1, b - a))
+                for bucket, times in zip(used.tolist(), n.tolist()):
+                    own[bucket] = own.get(bucket, 0.0) + times * scale
+            for name, own in total.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([place[name]] * len(own), pa.int32()), pa.array(list(own), pa.int32()),
+                     pa.array(list(own.values()), pa.float64())], ["language", "bucket", "n"])
+
+    # One row per language and bucket that its sample uses.
+    found = sample.mapInArrow(count, "language int, bucket int, n double").groupBy(
+        "language", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    return TextModel(languages, *(found.column(c).to_numpy() for c in ("language", "bucket", "n")))
+
+
+def host_counts(scored: DataFrame) -> DataFrame:
+    """``(_host, _near, _wide)``: how often text alone finds each language on the host and under
+    its suffix, as ``(_best, n)`` of those that occur."""
+    counts = scored.groupBy("_host", "_best").agg(F.count("*").alias("n"))
+    pair = F.struct("_best", "n")
+    suffixes = counts.groupBy(suffix_of(F.col("_host")).alias("_suffix"), "_best").agg(F.sum("n").alias("n")).groupBy(
+        "_suffix").agg(F.collect_list(pair).alias("_wide"))
+    hosts = counts.groupBy("_host").agg(F.collect_list(pair).alias("_near"))
+    return hosts.withColumn("_suffix", suffix_of(F.col("_host"))).join(suffixes, "_suffix").select("_host", "_near", "_wide")
+
+
+def corpus_prior(counts: DataFrame, k: int) -> np.ndarray:
+    """Smoothed shares of ``k`` languages and of unknown text in ``counts`` of host_counts."""
+    top = np.ones(k + 1)
+    for r in counts.select(F.explode("_near").alias("x")).groupBy("x._best").agg(F.sum("x.n").alias("n")).collect():
+        top[r["_best"]] += r["n"]
+    return top / top.sum()
+
+
+def smoothed(found: list[dict], above: np.ndarray, strength: float) -> np.ndarray:
+    """Shares of the languages in ``found``, as if ``strength`` more rows had those of ``above``."""
+    total = above * strength
+    for x in found:
+        total[x["_best"]] += x["n"]
+    return total / total.sum()
 
 
 def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", address: str | None = "source",
@@ -183,14 +202,15 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text"):
             texts = part.column(part.schema.get_field_index("_text")).to_pylist()
-            out = shared.value.score(texts, weight, floor)
+            out = shared.value.scores(texts, weight, floor)
             yield pa.RecordBatch.from_arrays(
                 [part.column(part.schema.get_field_index("_host")),
                  pa.array([int(o.argmax()) if t and t.strip() else k for o, t in zip(out, texts)], pa.int32())],
                 ["_host", "_best"])
 
     scored = data.select("_host", "_text").mapInArrow(score, "_host string, _best int")
-    priors = materialize(host_priors(scored, model.languages, config), "host-priors")
+    priors = materialize(host_counts(scored), "host-counts")
+    top = corpus_prior(priors, k)
     trust, unknown = config.declared, config.unknown
     kept = data.join(priors, "_host", "left")
 
@@ -200,14 +220,20 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
         for part in slices(batches, "_text"):
             get = lambda c: part.column(part.schema.get_field_index(c)).to_pylist()
             texts = get("_text")
-            log = model.score(texts, weight, floor)
-            log[:, -1] += np.log(unknown)
+            # Rows of a host stand next to each other, mostly.
+            last, prior = None, None
+            near, wide = (part.column(part.schema.get_field_index(c)) for c in ("_near", "_wide"))
             language, sure, good = [], [], []
-            for i, (t, tag, prior) in enumerate(zip(texts, get("_declared"), get("_prior"))):
+            for i, (t, row, tag, host) in enumerate(zip(texts, model.scores(texts, weight, floor), get("_declared"),
+                                                        get("_host"))):
                 if not t or not t.strip() or not k:
                     language.append(UNKNOWN), sure.append(None), good.append(False)
                     continue
-                row = log[i] + np.log(np.asarray(prior or [1.0 / (k + 1)] * (k + 1)))
+                if prior is None or host != last:
+                    last, prior = host, np.log(smoothed(
+                        near[i].as_py() or [], smoothed(wide[i].as_py() or [], top, config.suffix), config.host))
+                row[-1] += np.log(unknown)
+                row += prior
                 if tag in place:  # a declaration favours its language over each other one
                     row[:k] += np.log((1 - trust) / max(1, k - 1) if k > 1 else 1.0)
                     row[place[tag]] += np.log(trust) - (np.log((1 - trust) / (k - 1)) if k > 1 else 0.0)

@@ -54,6 +54,18 @@ def test_language(odd, none):
     assert bare.filter("accepted").count() == 0
 
 
+def test_language_of_more_than_200_declared_tags(spark):
+    tags = [a + b for a in "abcdefghijklmnop" for b in "abcdefghijklmnop"][:250]
+    rng = np.random.default_rng(5)
+    rows = []
+    for tag in tags:
+        own = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(25)]
+        rows += [(f"{tag}{i}", " ".join(rng.choice(own, 80)), tag, f"h{i}.example") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")
+    got = language.identify(docs).collect()
+    assert len(got) == 1000 and all(r["accepted"] and r["language"] == r["lang"] for r in got)
+
+
 def test_lines(odd, none, spark):
     assert lines.remove_boilerplate(none).count() == 0
     kept = lines.remove_boilerplate(odd)
