@@ -8,8 +8,10 @@ agreement falls with edit distance and not only with the overlap of sets.
 
 Texts that agree on a sketch are candidates. In small groups each pair is one; in larger
 groups every text meets a few pivots, those with the most neighbours in parts of the group; texts that
-do not end up in the group's largest component meet more of them in the next round. A pair is a
-link if an alignment of the shingle sequences, banded by the edits that the threshold allows,
+do not end up in the group's largest component meet more of them in the next round. Those that
+are outside it even then (the rest) meet every text of such groups that shares one of its rarest
+shingles and could be a link by length, place and symmetric difference: filters that lose no
+link, so that no pair between two components of a group stays untested. A pair is a link if an alignment of the shingle sequences, banded by the edits that the threshold allows,
 matches enough of them, or if their shingle sets are that similar.
 
 Equal texts are one text with several documents throughout.
@@ -18,9 +20,12 @@ Equal texts are one text with several documents throughout.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +36,14 @@ from matchloom.llm.common import materialize, slices, text_or_empty
 from matchloom.llm.components import components
 
 WORD = re.compile(r"\w+")
+SLOTS = 1 << 20
 
 
 @dataclass(frozen=True)
 class NearConfig:
     """``small``: texts in a group up to which all its pairs are candidates. ``pivots``: of a larger
-    group in the first round; later ones have four times as many."""
+    group in the first round; later ones have four times as many. After ``rounds``, all that is left is
+    compared by its rarest shingles."""
 
     shingle: int = 5
     similarity: float = 0.8
@@ -75,12 +82,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def labelled(hashes: np.ndarray, size: int) -> tuple[np.ndarray, int]:
-    """Hashes of the shingles with their occurrence numbers, and how many are distinct."""
+def hashed(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the shingles."""
     n = max(1, len(hashes) - size + 1)
     total = np.zeros(n, np.uint64)
     for i in range(min(size, len(hashes))):
         total = _mix(total * np.uint64(31) + hashes[i:i + n])
+    return total
+
+
+def labelled(hashes: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """Hashes of the shingles with their occurrence numbers, and how many are distinct."""
+    total = hashed(hashes, size)
+    n = len(total)
     order = np.argsort(total, kind="stable")
     ranked = total[order]
     fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
@@ -89,7 +103,8 @@ def labelled(hashes: np.ndarray, size: int) -> tuple[np.ndarray, int]:
         start = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
         nth = np.empty(n, np.uint64)
         nth[order] = (np.arange(n) - start).astype(np.uint64)
-        total = _mix(total + nth * np.uint64(0x9E3779B97F4A7C15))
+        # A first one is the plain shingle, so that texts with and without repeats can agree.
+        total = np.where(nth > 0, _mix(total + nth * np.uint64(0x9E3779B97F4A7C15)), total)
     return total, distinct
 
 
@@ -139,6 +154,17 @@ def aligned(a: list, b: list, band: int) -> int:
     return first + last + len(a) - row.bit_count()
 
 
+def linked(a: list, b: list, left: set, right: set, least: float) -> bool:
+    """Whether ``similarity`` is from ``least`` on; aligned only if what they share would do in any order."""
+    common = len(left & right)
+    if common / (len(left) + len(right) - common) >= least:
+        return True
+    if len(left) == len(a) or len(right) == len(b):  # without repeats on one side, no more can match
+        return False
+    same = (Counter(a) & Counter(b)).total()
+    return same / (len(a) + len(b) - same) >= least and similarity(a, b, least) >= least
+
+
 def similarity(a: list, b: list, least: float) -> float:
     """Matched share of two shingle sequences, or of their sets if that is more."""
     if not a or not b:
@@ -209,18 +235,22 @@ def verified(pairs: DataFrame, texts: DataFrame, config: NearConfig) -> DataFram
     size, least = config.shingle, config.similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: dict[int, list] = {}
+        recent: dict[int, tuple[list, set]] = {}
 
-        def of(name: int, text: str) -> list:
+        def of(name: int, text: str) -> tuple[list, set]:
             if name not in recent:
                 if len(recent) >= 64:
                     recent.clear()
-                recent[name] = shingles(words(text), size)
+                each = shingles(words(text), size)
+                recent[name] = each, set(each)
             return recent[name]
 
         for part in slices(batches, "text"):
-            good = [(a, b) for a, b, x, y in zip(*(c.to_pylist() for c in part.columns))
-                    if similarity(of(a, x), of(b, y), least) >= least]
+            good = []
+            for a, b, x, y in zip(*(c.to_pylist() for c in part.columns)):
+                (p, left), (q, right) = of(a, x), of(b, y)
+                if p and q and linked(p, q, left, right, least):
+                    good.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in good], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     other = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
@@ -229,17 +259,114 @@ def verified(pairs: DataFrame, texts: DataFrame, config: NearConfig) -> DataFram
             .mapInArrow(run, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
-    """One row per document: doc_id, class_id, class_size, kept.
+def order_counts(texts: DataFrame, config: NearConfig) -> np.ndarray:
+    """How many texts have a shingle in each of ``SLOTS`` slots: rare before common, whatever the corpus."""
 
-    ``class_id`` is the smallest ``doc_id`` of the class, and the document that has it is kept.
-    Links are pairs of texts with similarity from ``config.similarity`` on; classes are their connected components. Texts without words (null
-    and empty ones too) are no copies of each other: each is a class of its own. A row with a null ``doc_id``
-    belongs to its class, but names it only if all its rows lack one; it is kept only then. Repeated rows
-    are members each. An empty table gives no rows; other columns are not read.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = WordHashes(), np.zeros(SLOTS, np.int64)
+        for part in slices(batches):
+            for text in part.column(0).to_pylist():
+                for tokens in token_sets(text, known, config)[:1]:
+                    np.add.at(total, tokens & np.uint64(SLOTS - 1), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["slot", "n"])
+
+    found = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def token_sets(text: str, known: WordHashes, config: NearConfig) -> list[np.ndarray]:
+    """Distinct shingles, and if some repeat, those labelled with their occurrence as well."""
+    if len(known) > known.limit:
+        known.clear()
+    tokens = words(text)
+    each, distinct = labelled(np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens)), config.shingle)
+    plain = bare(tokens, known, config) if distinct < len(each) else each
+    return [plain, each] if distinct < len(each) else [plain]
+
+
+def bare(tokens: list[str], known: WordHashes, config: NearConfig) -> np.ndarray:
+    return np.unique(hashed(np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens)), config.shingle))
+
+
+def rare_shingles(texts: DataFrame, config: NearConfig) -> DataFrame:
+    """``(id, root, rest, kind, size, at, token)``: the rarest shingles of each of ``texts(id, text, root, rest)``.
+
+    Two sets of shares from ``config.similarity`` on have one of these in common, in any order of
+    shingles that all texts follow. Kind 0: distinct shingles; kind 1: labelled ones, of texts that
+    repeat some (if one of two texts repeats none, the distinct ones share no less).
     """
-    data = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn(
-        "key", F.unhex(F.md5(F.encode("text", "UTF-8"))))
+    counts = texts.sparkSession.sparkContext.broadcast(order_counts(texts, config))
+    least = config.similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for part in slices(batches, "text", 200_000):
+            out: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
+            for name, text, root, rest in zip(*(c.to_pylist() for c in part.columns)):
+                for kind, tokens in enumerate(token_sets(text, known, config)):
+                    size = len(tokens)
+                    n = size - math.ceil(least * size - 1e-6) + 1
+                    first = tokens[np.lexsort((tokens, counts.value[tokens & np.uint64(SLOTS - 1)]))[:n]]
+                    n = len(first)
+                    for column, x in zip(out, (np.full(n, name), np.full(n, root), np.full(n, rest), np.full(n, kind),
+                                               np.full(n, size), np.arange(n), first.view(np.int64))):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out],
+                                             ["id", "root", "rest", "kind", "size", "at", "token"])
+
+    return texts.select("id", "text", "root", "rest").mapInArrow(
+        run, "id long, root long, rest boolean, kind long, size long, at long, token long")
+
+
+def parities(texts: DataFrame, config: NearConfig) -> DataFrame:
+    """``(id, kind, size, bits)``: in 1,024 slots, whether the number of shingles is odd. Two texts differ in
+    at most as many bits as in shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for part in slices(batches, "text"):
+            rows = []
+            for name, text in zip(*(c.to_pylist() for c in part.columns)):
+                for kind, tokens in enumerate(token_sets(text, known, config)):
+                    odd = np.bincount((tokens >> np.uint64(40)).astype(np.int64) & 1023, minlength=1024) & 1
+                    rows.append((name, kind, len(tokens), np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
+                zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["id", "kind", "size", "bits"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, kind long, size long, bits array<long>")
+
+
+def rest_pairs(told: DataFrame, roots: DataFrame, texts: DataFrame, config: NearConfig) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of two components that could be links, one of them a rest in ``told(id, rest)``."""
+    least = config.similarity
+    asked = told.groupBy("id").agg(F.max("rest").alias("rest")).join(roots, "id", "left").select(
+        "id", "rest", F.coalesce("root", "id").alias("root"))
+    held = materialize(texts.join(asked, "id"), "rest-texts")
+    rare = materialize(rare_shingles(held, config), "rare-shingles")
+    other = rare.select("kind", "token", *[F.col(c).alias(f"{c}2") for c in ("id", "root", "size", "at")])
+
+    def enough(common: Column) -> Column:
+        return common * (1 + least) >= (F.col("size") + F.col("size2")) * least - 1e-6
+
+    # The first one in common stands so early on both sides that what follows suffices.
+    met = (rare.filter("rest").join(other, ["kind", "token"]).filter("root != root2")
+           .filter(enough(F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2"))))
+           .select("kind", F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
+    bits = materialize(parities(held, config), "parities")
+    one, two = (bits.select("kind", F.col("id").alias(x), F.col("size").alias(f"size{y}"), F.col("bits").alias(f"bits{y}"))
+                for x, y in (("a", ""), ("b", "2")))
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits2", F.lit(i))))
+                                        for i in range(16)])
+    both = materialize(met, "rest-met").join(one, ["kind", "a"]).join(two, ["kind", "b"])
+    return both.filter(enough((F.col("size") + F.col("size2") - apart) / 2)).select("a", "b").distinct()
+
+
+def members(data: DataFrame, config: NearConfig) -> DataFrame:
+    """``(doc_id, key, root)`` of each row of ``data(doc_id, text, key)``; rows of one root are a class, and
+    those without words have none."""
     every = materialize(sketches(data, config), "sketches")
     one = every.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("u").alias("u"), F.first("keys").alias("keys"))
     # Written once, so the numbers stay what they are.
@@ -259,22 +386,46 @@ def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataF
         done = pairs if done is None else done.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         roots = materialize(components(links), "roots")
-        if turn + 1 < config.rounds:
-            # The rest of a large group is what the component with the most members there lacks.
-            sizes = groups.groupBy("bucket").agg(F.count("*").alias("_c")).filter(F.col("_c") > config.small)
-            tied = groups.join(sizes.select("bucket"), "bucket").join(
-                roots.withColumnRenamed("root", "_root"), "id", "left").withColumn("_root", F.coalesce("_root", "id"))
-            most = tied.groupBy("bucket", "_root").agg(F.count("*").alias("_c")).groupBy("bucket").agg(
-                F.max(F.struct("_c", "_root")).alias("_top")).select("bucket", F.col("_top._root").alias("_main"))
-            told = tied.join(most, "bucket").select("bucket", "id", "n", "u", (F.col("_root") != F.col("_main")).alias("rest"))
-            still = told.filter("rest").select("bucket").distinct()
-            groups = materialize(told.join(still, "bucket"), "rest")
-            if not groups.take(1):
-                break
-    member = every.select("doc_id", "key").join(distinct.select("key", "id"), "key").join(
-        roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root"))
+        # The rest of a large group is what the component with the most members there lacks.
+        sizes = groups.groupBy("bucket").agg(F.count("*").alias("_c")).filter(F.col("_c") > config.small)
+        tied = groups.join(sizes.select("bucket"), "bucket").join(
+            roots.withColumnRenamed("root", "_root"), "id", "left").withColumn("_root", F.coalesce("_root", "id"))
+        most = tied.groupBy("bucket", "_root").agg(F.count("*").alias("_c")).groupBy("bucket").agg(
+            F.max(F.struct("_c", "_root")).alias("_top")).select("bucket", F.col("_top._root").alias("_main"))
+        told = tied.join(most, "bucket").select("bucket", "id", "n", "u", (F.col("_root") != F.col("_main")).alias("rest"))
+        still = told.filter("rest").select("bucket").distinct()
+        groups = materialize(told.join(still, "bucket"), "rest")
+        if not groups.take(1):
+            break
+    else:
+        pairs = rest_pairs(groups, roots, texts, config).join(done, ["a", "b"], "left_anti")
+        found = materialize(verified(materialize(pairs, "pairs"), texts, config), "links")
+        roots = materialize(components(links.unionByName(found)), "roots")
+    return every.join(distinct.select("key", "id"), "key", "left").join(roots, "id", "left").select(
+        "doc_id", "key", F.coalesce("root", "id").alias("root"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), _text_key().alias("key"))
+
+
+def _text_key() -> Column:
+    return F.unhex(F.md5(F.encode(text_or_empty(), "UTF-8")))
+
+
+def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
+    """One row per document: doc_id, class_id, class_size, kept.
+
+    ``class_id`` is the smallest ``doc_id`` of the class, and the document that has it is kept.
+    Links are pairs of texts with similarity from ``config.similarity`` on; classes are their connected components. Texts without words (null
+    and empty ones too) are no copies of each other: each is a class of its own. A row with a null ``doc_id``
+    belongs to its class, but names it only if all its rows lack one; it is kept only then. Repeated rows
+    are members each. An empty table gives no rows; other columns are not read.
+    """
+    every = materialize(members(keyed(docs), config), "members")
+    member = every.filter("root is not null")
     classes = member.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     grouped = member.join(classes, "root").select("doc_id", "class_id", "class_size")
-    alone = every.filter("n = 0").select(
+    alone = every.filter("root is null").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return grouped.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from brute import near_classes
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -132,6 +133,32 @@ def test_near_duplicates(odd, none):
     assert sum(r["class_size"] == 1 for r in rows) == len(rows) - 5
 
 
+def test_families_inside_a_large_group_next_to_brute_force(spark):
+    rng = np.random.default_rng(11)
+
+    def some(n):
+        return ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n)]
+
+    passage, texts = some(150), {}
+    for family in range(60):  # each shares the passage with all others, and half of its own part in the family
+        half = some(28)
+        for _ in range(2 + family % 2):
+            texts[len(texts)] = " ".join(passage + half + some(17))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = near_classes(texts)
+    assert len(set(want.values())) == 60
+    config = near_duplicates.NearConfig(sketches=8)
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicates(docs, config).collect()} == want
+
+
+def test_repeats_do_not_change_the_other_keys():
+    config, rng = near_duplicates.NearConfig(), np.random.default_rng(2)
+    one = rng.integers(1, 1 << 62, 400).astype(np.uint64)
+    two = np.concatenate([one, one[:6]])  # repeats two shingles
+    keys = [near_duplicates.sketch(near_duplicates.labelled(x, 5)[0], config)[:16] for x in (one, two)]
+    assert (keys[0] == keys[1]).sum() >= 8
+
+
 @pytest.mark.parametrize("group", [256, 2, 0])
 def test_long_matches(odd, none, group):
     length = 40
