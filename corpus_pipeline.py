@@ -30,16 +30,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id, goes on."""
-    kept = near_duplicates.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """One row of each group of near copies, the one with the smallest id, goes on."""
+    return near_duplicates.one_of_each(docs).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    found = decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"), size=10)
+    """Documents that hold a window of a benchmark item go. The text alone decides, whatever the id."""
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    found = decontamination.decontaminate(docs.select(key.alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"), size=10)
     hit = found.filter("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+    return docs.join(hit, key == hit["_hit"], "left_anti")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

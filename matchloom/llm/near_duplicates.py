@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import materialize, slices, text_or_empty
+from matchloom.llm.common import materialize, packed, slices, text_or_empty
 from matchloom.llm.components import components
 
 WORD = re.compile(r"\w+")
@@ -413,6 +413,29 @@ def _text_key() -> Column:
     return F.unhex(F.md5(F.encode(text_or_empty(), "UTF-8")))
 
 
+def one_of_each(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
+    """Rows of ``docs``: one of each class, and all without words.
+
+    The row with the smallest ``doc_id`` stays (null last, then by a hash of the text); of
+    rows that are equal in both, the first by its columns.
+    """
+    every = materialize(members(keyed(docs), config), "members")
+    # Copies are counted before classes, so that no task holds a class.
+    pairs = every.groupBy("root", "doc_id", "key").agg(F.count("*").alias("copies"))
+    first = pairs.filter("root is not null").groupBy("root").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("none"), "doc_id", "key", "copies")).alias("x")).select("x.doc_id", "x.key", "x.copies")
+    alone = pairs.filter("root is null").select("doc_id", "key", F.lit(1).cast("long").alias("copies"))
+    stay = materialize(first.unionByName(alone).select(F.col("doc_id").alias("_i"), F.col("key").alias("_k"), "copies"), "stay")
+    rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("_id"), _text_key().alias("_key"))
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k"))
+    kept = rows.join(stay.filter("copies = 1"), same, "left_semi").select("_row")
+    if stay.filter("copies > 1").take(1):
+        several = rows.join(stay.filter("copies > 1"), same, "left_semi").groupBy("_id", "_key").agg(
+            F.min_by("_row", F.to_json("_row")).alias("_row"))
+        kept = kept.unionByName(several.select("_row"))
+    return kept.select("_row.*")
+
+
 def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, kept.
 

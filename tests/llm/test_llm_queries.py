@@ -157,3 +157,24 @@ def test_pipeline_of_odd_rows(spark, small, odd):
         docs = stage(spark, docs, small)
         assert docs.columns == odd.columns, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() >= 0
+
+
+def test_pipeline_decides_per_row(spark, small):
+    item = max((r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()), key=len)
+    rng = np.random.default_rng(4)
+
+    def words(n=60):
+        return " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
+
+    a, b, c, d, e = (words() for _ in range(5))
+    rows = [(7, a, 1), (7, a, 1), (7, a, 2), (8, a + " end", 3), (7, b, 4), (None, c, 5), (None, c, 5), (None, c + " end", 6),
+            (None, d, 7), (None, "", 8), (None, "", 8), (9, e, 9), (None, e, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag int")
+    left = Counter(map(tuple, corpus_pipeline.near_dedup(spark, docs, small).collect()))
+    pair = [x for x in left if x[2] in (5, 6)]
+    assert len(pair) == 1 and left[pair[0]] == 1
+    del left[pair[0]]
+    assert left == Counter([(7, a, 1), (7, b, 4), (None, d, 7), (None, "", 8), (None, "", 8), (9, e, 9)])
+    rows = [(None, a, 1), (None, f"{b} {item}", 2), (None, None, 3), (5, c, 4), (5, item, 5), (5, c, 4), (6, item, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag int")
+    assert sorted(r["tag"] for r in corpus_pipeline.decontaminate(spark, docs, small).collect()) == [1, 3, 4, 4]
