@@ -4,7 +4,9 @@ A document is its sequence of shingles of five words. Each of ``sketches`` hash
 picks the ``picks`` smallest shingles, where a repeated shingle counts as another one each
 time (it is labelled with its occurrence), and keeps them in the order of the text: two texts
 agree on a sketch if the same shingles are smallest in both and stand in the same order, so
-agreement falls with edit distance and not only with the overlap of sets.
+agreement falls with edit distance and not only with the overlap of sets. As many sketches of the
+plain set of shingles, without order and labels, find copies in another order or with other
+numbers of repeats.
 
 Texts that agree on a sketch are candidates. In small groups each pair is one; in larger
 groups every text meets a few pivots, those with the most neighbours in parts of the group; texts that
@@ -192,7 +194,9 @@ def sketches(docs: DataFrame, config: NearConfig) -> DataFrame:
                 else:
                     hashes = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
                     each, distinct = labelled(hashes, config.shingle)
-                    rows.append((doc, key, len(each), distinct, sketch(each, config)))
+                    # Sorted distinct shingles have one order for all texts, so these keys depend on the set alone.
+                    plain = np.unique(hashed(hashes, config.shingle))
+                    rows.append((doc, key, len(each), distinct, np.concatenate([sketch(each, config), sketch(plain, config)])))
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],

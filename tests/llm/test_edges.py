@@ -151,6 +151,20 @@ def test_families_inside_a_large_group_next_to_brute_force(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicates(docs, config).collect()} == want
 
 
+def test_copies_in_another_order_or_with_more_repeats(spark):
+    rng, texts = np.random.default_rng(8), {}
+    for i in range(12):
+        some = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(400)]
+        blocks = [some[k:k + 40] for k in range(0, 400, 40)]
+        texts[4 * i], texts[4 * i + 1] = " ".join(some), " ".join(w for k in rng.permutation(10) for w in blocks[k])
+        few = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(7)]
+        texts[4 * i + 2], texts[4 * i + 3] = " ".join(few * 10), " ".join(few * 100)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = near_classes(texts)
+    assert len(set(want.values())) == 24
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicates(docs).collect()} == want
+
+
 def test_repeats_do_not_change_the_other_keys():
     config, rng = near_duplicates.NearConfig(), np.random.default_rng(2)
     one = rng.integers(1, 1 << 62, 400).astype(np.uint64)
