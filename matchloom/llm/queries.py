@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from matchloom.llm import decontamination, huffman, language, lines, long_matches, near_duplicates, packing, pii, secrets, vector_search
+from matchloom.llm import (decontamination, huffman, language, lines, long_matches, near_duplicates, packing,
+                           periodic_runs, pii, secrets, sharding, vector_search, whitening)
 from matchloom.llm.common import read
 from matchloom.operators.shared import new_folder
 
@@ -93,3 +95,44 @@ def op6_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return long_matches.remove_repeats(read(spark, folder, "documents"), length=400).drop("kept")
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read(spark, folder, "embeddings"), components=8, scale=1024.0, shift=100_000)
+
+
+def repeated_words(doc_id: object, words: list[bytes]) -> list[bytes]:
+    """Words of a tenth of the documents, chosen by id, repeat with a period from some word on."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    found = periodic_runs.periodic_runs(docs, words=repeated_words)
+    # Exponents are compared exactly, and of equal ones the first stays.
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(
+        r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    digest = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.withColumn("_best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "_best.start", "_best.length", "_best.period",
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+        F.sha2(digest, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op13_two_pass_shuffle(spark: SparkSession, folder: str) -> DataFrame:
+    docs, shards = read(spark, folder, "documents"), new_folder(spark, "shards")
+    sharding.write(docs, shards, shards=8)
+    text = F.coalesce("text", F.lit(""))
+    return sharding.read(spark, shards, docs).select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
