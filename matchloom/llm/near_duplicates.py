@@ -8,13 +8,14 @@ agreement falls with edit distance and not only with the overlap of sets. As man
 plain set of shingles, without order and labels, find copies in another order or with other
 numbers of repeats.
 
-Texts that agree on a sketch are candidates. In small groups each pair is one; in larger
-groups every text meets a few pivots, those with the most neighbours in parts of the group; texts that
-do not end up in the group's largest component meet more of them in the next round. Those that
-are outside it even then (the rest) meet every text of such groups that shares one of its rarest
+Texts that agree on a sketch are candidates. In small groups each pair is one. In larger groups
+a text meets leaders only, round by round: one order of all texts, by their number of neighbours, makes the same few
+texts lead all groups of a family, and texts that are linked already meet nobody. Those that are outside
+their group's main component after the last round (the rest) meet every text of such groups that shares one of their rarest
 shingles and could be a link by length, place and symmetric difference: filters that lose no
-link, so that no pair between two components of a group stays untested. A pair is a link if an alignment of the shingle sequences, banded by the edits that the threshold allows,
-matches enough of them, or if their shingle sets are that similar.
+link, so that no pair between two components of a group stays untested. A pair is a link if an alignment of the
+shingle sequences, banded by the edits that the threshold allows, matches enough of them, or if their shingle
+sets are that similar.
 
 Equal texts are one text with several documents throughout.
 """
@@ -43,17 +44,15 @@ SLOTS = 1 << 20
 
 @dataclass(frozen=True)
 class NearConfig:
-    """``small``: texts in a group up to which all its pairs are candidates. ``pivots``: of a larger
-    group in the first round; later ones have four times as many. After ``rounds``, all that is left is
-    compared by its rarest shingles."""
+    """``small``: texts in a group up to which all its pairs are candidates. ``rounds``: how often the texts of
+    larger groups meet leaders; then all that is left is compared by its rarest shingles."""
 
     shingle: int = 5
     similarity: float = 0.8
     sketches: int = 16
     picks: int = 3
     small: int = 8
-    pivots: int = 4
-    rounds: int = 2
+    rounds: int = 3
 
 
 def words(text: str) -> list[str]:
@@ -206,32 +205,59 @@ def sketches(docs: DataFrame, config: NearConfig) -> DataFrame:
         run, "doc_id long, key binary, n long, u long, keys array<long>")
 
 
-def candidates(groups: DataFrame, config: NearConfig, turn: int = 0) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, to verify from ``groups(bucket, id, n, u, rest)``.
+def close(config: NearConfig) -> Column:
+    """Whether the numbers of shingles or of distinct shingles of two texts allow a link."""
+    ratio = [F.least(x, f"{x}2") >= config.similarity * F.greatest(x, f"{x}2") for x in ("n", "u")]
+    return ratio[0] | ratio[1]
 
-    Texts marked as rest look for partners; all texts of a group can be one.
-    """
-    sizes = groups.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    held = groups.join(sizes, "bucket")
-    left = held.filter(F.col("size") <= config.small).select("bucket", "id", "n", "u")
+
+def small_pairs(groups: DataFrame, config: NearConfig) -> DataFrame:
+    """All pairs ``(a, b)``, a < b, of groups of up to ``config.small`` texts in ``groups(bucket, size, id, n, u)``."""
+    left = groups.filter(F.col("size") <= config.small)
     right = left.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "u")])
-    small = left.join(right, "bucket").filter("id < id2")
-    large = held.filter(F.col("size") > config.small)
-    weight = large.groupBy("id").agg(F.sum("size").alias("weight"))
-    # The texts of a group fall into slots anew in each group and round; each slot's pivot has the most neighbours.
-    slots = config.pivots * (4 if turn else 1)
-    slot = F.pmod(F.xxhash64("bucket", "id", F.lit(turn)), F.lit(slots))
-    pivots = large.join(weight, "id").groupBy("bucket", slot.alias("slot")).agg(
-        F.max(F.struct("weight", F.struct("id", "n", "u").alias("p"))).alias("x")).groupBy("bucket").agg(
-        F.collect_list("x.p").alias("ps"))
-    stars = large.filter("rest").join(pivots, "bucket").select("id", "n", "u", F.explode("ps").alias("p")).select(
-        "id", "n", "u", F.col("p.id").alias("id2"), F.col("p.n").alias("n2"), F.col("p.u").alias("u2")).filter("id != id2")
+    return left.join(right, "bucket").filter("id < id2").filter(close(config)).select(
+        F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+
+
+def rest_of(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """``large(bucket, id, n, u, weight)`` with the root of each text and whether it is outside its group's main component.
+
+    That is the one with the most texts there, then the one with the heaviest text; groups that are one component
+    go. All groups follow one order of texts, so related groups agree on their leaders.
+    """
+    tied = large.join(roots, "id")
+    most = tied.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.max("weight").alias("w")).groupBy("bucket").agg(
+        F.max(F.struct("c", "w", "root")).alias("m"), F.count("*").alias("parts")).filter("parts > 1").select(
+        "bucket", F.col("m.root").alias("main"))
+    return tied.join(most, "bucket").select(*tied.columns, (F.col("root") != F.col("main")).alias("rest"))
+
 
-    def close(x: str) -> Column:
-        return F.least(x, f"{x}2") >= config.similarity * F.greatest(x, f"{x}2")
+def leader_pairs(told: DataFrame, done: DataFrame | None, config: NearConfig) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of texts outside the main component with a leader.
 
-    return (small.drop("bucket").unionByName(stars).filter(close("n") | close("u"))
-            .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
+    In each group of ``told`` (by ``rest_of``) the heaviest text of the main component leads, and so does
+    the heaviest outside. Of all leaders of its groups that it has not met, a text meets the heaviest of
+    either kind: two pairs a text at most, however many groups it is in.
+    """
+    leaders = told.groupBy("bucket", "rest").agg(F.max(F.struct("weight", "id", "n", "u", "root")).alias("l")).select(
+        "bucket", F.col("rest").alias("kind"), F.col("l.weight").alias("weight2"), *[
+            F.col(f"l.{c}").alias(f"{c}2") for c in ("id", "n", "u", "root")])
+    met = told.filter("rest").join(leaders, "bucket").filter("root != root2").filter(close(config)).select(
+        "id", "kind", "weight2", "id2", F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+    if done is not None:
+        met = met.join(done, ["a", "b"], "left_anti")
+    best = met.groupBy("id", "kind").agg(F.max(F.struct("weight2", "id2", "a", "b")).alias("p"))
+    return best.select("p.a", "p.b").distinct()
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots(id, root)`` after more ``links(a, b)``; only links between two components count."""
+    one = roots.select(F.col("id").alias("a"), F.col("root").alias("x"))
+    two = roots.select(F.col("id").alias("b"), F.col("root").alias("y"))
+    between = links.join(one, "a").join(two, "b").filter("x != y").select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    moved = components(between).select(F.col("id").alias("root"), F.col("root").alias("_to"))
+    return materialize(roots.join(moved, "root", "left").select("id", F.coalesce("_to", "root").alias("root")), "roots")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, config: NearConfig) -> DataFrame:
@@ -264,14 +290,16 @@ def verified(pairs: DataFrame, texts: DataFrame, config: NearConfig) -> DataFram
 
 
 def order_counts(texts: DataFrame, config: NearConfig) -> np.ndarray:
-    """How many texts have a shingle in each of ``SLOTS`` slots: rare before common, whatever the corpus."""
+    """How many texts have a shingle in each of ``SLOTS`` slots: rare before common, whatever the corpus.
+
+    Repeated shingles count with their labels, first ones without: so the order holds for both kinds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total = WordHashes(), np.zeros(SLOTS, np.int64)
         for part in slices(batches):
             for text in part.column(0).to_pylist():
-                for tokens in token_sets(text, known, config)[:1]:
-                    np.add.at(total, tokens & np.uint64(SLOTS - 1), 1)
+                np.add.at(total, token_sets(text, known, config)[-1] & np.uint64(SLOTS - 1), 1)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["slot", "n"])
 
@@ -346,8 +374,7 @@ def parities(texts: DataFrame, config: NearConfig) -> DataFrame:
 def rest_pairs(told: DataFrame, roots: DataFrame, texts: DataFrame, config: NearConfig) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of two components that could be links, one of them a rest in ``told(id, rest)``."""
     least = config.similarity
-    asked = told.groupBy("id").agg(F.max("rest").alias("rest")).join(roots, "id", "left").select(
-        "id", "rest", F.coalesce("root", "id").alias("root"))
+    asked = told.groupBy("id").agg(F.max("rest").alias("rest")).join(roots, "id")
     held = materialize(texts.join(asked, "id"), "rest-texts")
     rare = materialize(rare_shingles(held, config), "rare-shingles")
     other = rare.select("kind", "token", *[F.col(c).alias(f"{c}2") for c in ("id", "root", "size", "at")])
@@ -377,34 +404,27 @@ def members(data: DataFrame, config: NearConfig) -> DataFrame:
     distinct = materialize(one.withColumn("id", F.monotonically_increasing_id()), "texts")
     bands = distinct.select("id", "n", "u", F.posexplode("keys").alias("band", "value")).select(
         F.xxhash64("band", "value").alias("bucket"), "id", "n", "u")
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("_c")).filter("_c > 1").select("bucket")
-    groups = materialize(bands.join(shared, "bucket").withColumn("rest", F.lit(True)), "groups")
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    groups = materialize(bands.join(shared, "bucket"), "groups")
     wanted = groups.select("id").distinct().join(distinct.select("id", "key"), "id")
     texts = materialize(
         data.join(wanted, "key").groupBy("id").agg(F.first("text").alias("text")), "candidate-texts")
-    done = links = None
-    for turn in range(config.rounds):
-        pairs = candidates(groups, config, turn)
-        pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(verified(pairs, texts, config), "links")
-        done = pairs if done is None else done.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        roots = materialize(components(links), "roots")
-        # The rest of a large group is what the component with the most members there lacks.
-        sizes = groups.groupBy("bucket").agg(F.count("*").alias("_c")).filter(F.col("_c") > config.small)
-        tied = groups.join(sizes.select("bucket"), "bucket").join(
-            roots.withColumnRenamed("root", "_root"), "id", "left").withColumn("_root", F.coalesce("_root", "id"))
-        most = tied.groupBy("bucket", "_root").agg(F.count("*").alias("_c")).groupBy("bucket").agg(
-            F.max(F.struct("_c", "_root")).alias("_top")).select("bucket", F.col("_top._root").alias("_main"))
-        told = tied.join(most, "bucket").select("bucket", "id", "n", "u", (F.col("_root") != F.col("_main")).alias("rest"))
-        still = told.filter("rest").select("bucket").distinct()
-        groups = materialize(told.join(still, "bucket"), "rest")
-        if not groups.take(1):
+    roots = joined(texts.select("id", F.col("id").alias("root")),
+                   verified(materialize(small_pairs(groups, config), "pairs"), texts, config))
+    weighed = groups.groupBy("id").agg(F.sum("size").alias("weight"))
+    large = materialize(groups.filter(F.col("size") > config.small).join(weighed, "id").select(
+        "bucket", "id", "n", "u", "weight"), "large-groups")
+    done = None
+    for turn in range(config.rounds + 1):
+        told = materialize(rest_of(large, roots), "rest")
+        if not told.take(1):
             break
-    else:
-        pairs = rest_pairs(groups, roots, texts, config).join(done, ["a", "b"], "left_anti")
-        found = materialize(verified(materialize(pairs, "pairs"), texts, config), "links")
-        roots = materialize(components(links.unionByName(found)), "roots")
+        if turn < config.rounds:
+            pairs = materialize(leader_pairs(told, done, config), "pairs")
+            done = pairs if done is None else done.unionByName(pairs)
+        else:
+            pairs = materialize(rest_pairs(told, roots, texts, config).join(done, ["a", "b"], "left_anti"), "pairs")
+        roots = joined(roots, verified(pairs, texts, config))
     return every.join(distinct.select("key", "id"), "key", "left").join(roots, "id", "left").select(
         "doc_id", "key", F.coalesce("root", "id").alias("root"))
 
