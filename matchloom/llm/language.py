@@ -110,8 +110,11 @@ def suffix_of(host: Column) -> Column:
 
 
 def primary(tag: Column) -> Column:
-    """Primary part of a language tag in lower case; empty for none."""
-    return F.lower(F.regexp_extract(F.trim(F.coalesce(tag.cast("string"), F.lit(""))), r"^([A-Za-z]*)", 1))
+    """Primary part of a language tag in lower case; empty for none.
+
+    Language codes have two or three letters, so there are 26^2 + 26^3 at most, whatever a table declares.
+    """
+    return F.lower(F.regexp_extract(F.trim(F.coalesce(tag.cast("string"), F.lit(""))), r"^([A-Za-z]{2,3})(?![A-Za-z])", 1))
 
 
 def fit_text(docs: DataFrame, config: LanguageConfig) -> TextModel:
@@ -125,10 +128,11 @@ def fit_text(docs: DataFrame, config: LanguageConfig) -> TextModel:
     place = {name: i for i, name in enumerate(languages)}
     if not languages:
         return TextModel([], *np.zeros((3, 0), np.int64))
-    # A share of each language's rows, by a hash of the row: narrow, and the same on every run.
+    # A share of each language's rows, by a hash of the row: narrow, and the same on every run. The table of
+    # shares has a row per language code; the texts are never what is sent.
     share = docs.sparkSession.createDataFrame(
         [(name, int(min(1.0, config.sample / n) * (1 << 30))) for name, n in rows.items()], "language string, _share long")
-    sample = (named.join(share, "language").filter(F.pmod("_h", F.lit(1 << 30)) <= F.col("_share"))
+    sample = (named.join(F.broadcast(share), "language").filter(F.pmod("_h", F.lit(1 << 30)) <= F.col("_share"))
               .select("language", "text").distinct())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
