@@ -24,17 +24,17 @@ from matchloom.llm.tokens import encoder
 
 STEP = 64            # ids between two checkpoints
 BLOCK_IDS = 1 << 18  # a block ends with the document that reaches this many ids
-LIMIT = 20           # longest code in bits; 2 ** LIMIT entries in the decoding table
+LIMIT = 20           # longest code in bits, or more if there are more ids than codes of that length
 BLOCKS = ("part long, block int, doc_ids array<long>, counts array<long>, first long, "
           "n_ids long, checkpoints array<long>, bits binary")
 
 
 def code_lengths(counts: dict[int, int], limit: int = LIMIT) -> dict[int, int]:
-    """Optimal code lengths of at most ``limit`` bits, by package-merge."""
+    """Optimal code lengths of at most ``limit`` bits, by package-merge; more than ``2 ** limit`` ids get
+    the least limit that all of them fit."""
     if len(counts) < 2:
         return {i: 1 for i in counts}
-    if len(counts) > 1 << limit:
-        raise ValueError(f"{len(counts)} ids do not fit into codes of {limit} bits")
+    limit = max(limit, (len(counts) - 1).bit_length())
     order = sorted(counts, key=lambda i: (counts[i], i))
     weight = np.array([counts[i] for i in order], np.float64)
     n = len(order)

@@ -85,13 +85,15 @@ class Encoder:
         """One uint32 array of ids per text."""
         if len(self.seen) > self.limit:
             self._shrink()
-        plain = [not (UNUSUAL.search(t) or SPECIAL in t) for t in texts]
+        # Lower case first, as that vocabulary does, leaves fewer distinct pre-tokens. Some lower-case letters
+        # stand far from their capitals, so it is the text to be cut that must have usual characters.
+        shaped = [t.lower() for t in texts] if self.cut is WORD_LEVEL else texts
+        plain = [not (UNUSUAL.search(t) or SPECIAL in t) for t in shaped]
         pieces: list[str] = []
         ends = []
-        for text, easy in zip(texts, plain):
+        for text, easy in zip(shaped, plain):
             if easy:
-                # Lower case first, as that vocabulary does, leaves fewer distinct pre-tokens.
-                pieces += self.cut.findall(text.lower() if self.cut is WORD_LEVEL else text)
+                pieces += self.cut.findall(text)
             ends.append(len(pieces))
         which = np.fromiter(map(self.seen.__getitem__, pieces), np.int64, len(pieces))
         self._learn()
