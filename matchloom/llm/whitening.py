@@ -202,7 +202,9 @@ def spectrum(x: DataFrame, n: int, width: int) -> Spectrum:
     found = materialize(x.select("x").repartition(parts).mapInArrow(fit, SPECTRUM), "spectra")
     while parts > 1:
         parts = -(-parts // FAN_IN)
-        found = materialize(found.groupBy(F.expr(f"part div {FAN_IN}")).applyInArrow(combine, SPECTRUM), "spectra")
+        # A number of partitions of its own: groups are small in bytes, and adaptive execution would merge them.
+        grouped = found.withColumn("_group", F.expr(f"part div {FAN_IN}")).repartition(parts, "_group")
+        found = materialize(grouped.groupBy("_group").applyInArrow(combine, SPECTRUM), "spectra")
     return Spectrum.of(found.first().asDict())
 
 
