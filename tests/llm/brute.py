@@ -129,3 +129,70 @@ def crc(ids):
 
 
 _LIBRARY: dict = {}
+
+
+def language_rows(rows, config, buckets=1 << 16):
+    """(language, posterior, accepted) of each (text, tag, address): likelihood, priors and fusion, term by term.
+
+    For tables of which every row is in the sample.
+    """
+    def grams(text):
+        raw = (" " + text.lower() + " ").encode()
+        return [(((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761) & 0xFFFFFFFF) >> 16 for i in range(len(raw) - 2)]
+
+    def host_of(url):
+        rest = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://", "", url or "").lower()
+        return re.match(r"(?:[^/?#]*@)?([^/?#:]*)", rest)[1]
+
+    full = [bool(t and t.strip()) for t, _, _ in rows]
+    tags = [m[0].lower() if (m := re.match("[A-Za-z]{2,3}(?![A-Za-z])", (g or "").strip())) else "" for _, g, _ in rows]
+    seen = Counter(g for g, f in zip(tags, full) if g and f)
+    names = sorted(g for g, n in seen.items() if n >= config.least_rows)
+    tables = {g: Counter() for g in names}
+    for text, tag in {(t, g) for (t, _, _), g, f in zip(rows, tags, full) if f and g in tables}:
+        size = len((" " + text.lower() + " ").encode())
+        for b in grams(text):
+            tables[tag][b] += min(1.0, 2000 / size)
+    unknown = -np.log(buckets) * (0.5 + config.floor / 2)
+
+    def text_score(text):
+        found = grams(text)
+        n = min(config.weight, len(found))
+        score = []
+        for g in names:
+            total = sum(tables[g].values()) + 0.05 * buckets
+            score.append(sum(np.log((tables[g][b] + 0.05) / total) for b in found) / len(found) * n)
+        return np.array([*score, unknown * n])
+
+    scores = [text_score(t) if f else None for (t, _, _), f in zip(rows, full)]
+    k = len(names)
+    best = [int(s.argmax()) if s is not None else k for s in scores]
+    hosts = [host_of(a) for _, _, a in rows]
+    suffix = lambda h: h.rpartition(".")[2] if "." in h else ""
+
+    def shares(which, above, strength):
+        counts = np.bincount([b for b, w in zip(best, which) if w], minlength=k + 1)
+        return (above * strength + counts) / (strength + counts.sum())
+
+    top = (np.bincount(best, minlength=k + 1) + 1) / (len(rows) + k + 1)
+    prior = {}
+    for h in set(hosts):
+        wide = shares([suffix(x) == suffix(h) for x in hosts], top, config.suffix)
+        prior[h] = shares([x == h for x in hosts], wide, config.host)
+    out = []
+    for score, tag, host in zip(scores, tags, hosts):
+        if score is None or not k:
+            out.append(("und", None, False))
+            continue
+        chance = np.exp(score - score.max()) * prior[host]
+        chance[k] *= config.unknown
+        if tag in names:
+            told = np.full(k + 1, (1 - config.declared) / max(1, k - 1))
+            told[names.index(tag)], told[k] = config.declared, (1.0 if k == 1 else 1 / k)
+            if k == 1:
+                told[0] = config.declared
+            chance = chance * told
+        chance = chance / chance.sum()
+        at = int(chance.argmax())
+        out.append((names[at] if at < k else "und", float(chance[at]), at < k and chance[at] >= config.keep))
+    return out

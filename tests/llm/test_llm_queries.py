@@ -4,13 +4,17 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import public_tokenizers
 import pytest
-from brute import (boilerplate, crc, hit_words, near_classes, pii as pii_spans, removed, secrets as secret_spans, sha,
-                   token_ids)
+from brute import (boilerplate, crc, hit_words, language_rows, near_classes, pii as pii_spans, removed,
+                   secrets as secret_spans, sha, token_ids)
 from check import compare
-from matchloom.llm import secrets
+from matchloom.llm import huffman, language, near_duplicates, secrets
 from matchloom.llm.oracle import ORACLE
 from matchloom.llm.queries import QUERIES
+from matchloom.llm.tokens import Encoder
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 
 @pytest.fixture(scope="module")
@@ -178,3 +182,69 @@ def test_pipeline_decides_per_row(spark, small):
     rows = [(None, a, 1), (None, f"{b} {item}", 2), (None, None, 3), (5, c, 4), (5, item, 5), (5, c, 4), (6, item, 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, tag int")
     assert sorted(r["tag"] for r in corpus_pipeline.decontaminate(spark, docs, small).collect()) == [1, 3, 4, 4]
+
+
+def check_languages(rows, want):
+    assert len(rows) == len(want)
+    for r, (language, posterior, accepted) in zip(rows, want):
+        assert (r["language"], r["accepted"]) == (language, accepted)
+        assert r["posterior"] == pytest.approx(posterior, abs=2e-4) if posterior is not None else r["posterior"] is None
+
+
+def test_languages_of_documents(spark, small, documents):
+    got = rows_of(spark, small, "op8_language_fusion")
+    check_languages([got[d["doc_id"]] for d in documents], language_rows(
+        [(d["text"], d["lang"], d["source"]) for d in documents], language.LanguageConfig()))
+
+
+def test_languages_of_pages(spark, small):
+    """Addresses with suffixes, and the language that the markup declares."""
+    pages = spark.read.parquet(f"{small}/pages.parquet").select(
+        "page_id", "url", F.regexp_extract("html", '<html[^>]* lang="?([A-Za-z-]+)', 1).alias("lang"),
+        F.trim(F.regexp_replace("html", r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ")).alias("text"))
+    config = language.LanguageConfig(host=5.0)
+    rows = language.identify(pages, address="url", config=config).orderBy("page_id").collect()
+    assert sum(r["lang"] != "" for r in rows) > 10
+    check_languages(rows, language_rows([(r["text"], r["lang"], r["url"]) for r in rows], config))
+
+
+def test_no_text_is_shuffled_or_broadcast_for_languages(spark, small, capsys):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    language.identify(docs).explain("simple")
+    plan = capsys.readouterr().out
+    assert "Exchange hashpartitioning(language" not in plan and "BuildLeft" not in plan
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_ids_of_every_usual_letter(file):
+    path = public_tokenizers.path(file)
+    letters = [chr(c) for c in range(0x20, 0x250)] + [chr(c) for c in range(0x2010, 0x2028)] + list("\u212a\u212b\u1e9e\u0130\n\t\u00a0")
+    texts = [f"{a}{x}{b} {x}. {x.lower()}{x.upper()}" for x in letters for a, b in (("A", "B"), ("q", "n"), ("", "9"))]
+    texts += ["BAKI, AZ\u018fRBAYCAN", "\u0181\u0186 It's", ""]
+    whole = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    for t, got, want in zip(texts, Encoder(path).encode(texts), whole):
+        assert got.tolist() == want.ids, t
+
+
+def test_codes_of_more_ids_than_the_limit_holds():
+    lengths = huffman.code_lengths({i: 1 + i % 3 for i in range(40)}, limit=3)
+    assert max(lengths.values()) == 6 and sum(2.0 ** -b for b in lengths.values()) <= 1
+
+
+def test_a_large_family_meets_few_leaders(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+    texts = {}
+    for i in range(1200):
+        own = list(base)
+        for at in rng.integers(0, 300, 2):
+            own[at] = f"x{rng.integers(0, 10 ** 9)}"
+        texts[i] = " ".join(own)
+    texts |= {5000 + i: " ".join(f"y{w}" for w in rng.integers(0, 10 ** 9, 200)) for i in range(50)}
+    met = []
+    pairs = near_duplicates.verified
+    monkeypatch.setattr(near_duplicates, "verified", lambda p, *a: met.append(p.count()) or pairs(p, *a))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicates(docs).collect()}
+    assert got == {k: 0 if k < 5000 else k for k in texts}
+    assert sum(met) <= 4 * len(texts)
