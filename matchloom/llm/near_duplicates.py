@@ -52,7 +52,7 @@ class NearConfig:
     sketches: int = 16
     picks: int = 3
     small: int = 8
-    rounds: int = 3
+    rounds: int = 2
 
 
 def words(text: str) -> list[str]:
@@ -239,10 +239,12 @@ def leader_pairs(told: DataFrame, done: DataFrame | None, config: NearConfig) ->
     the heaviest outside. Of all leaders of its groups that it has not met, a text meets the heaviest of
     either kind: two pairs a text at most, however many groups it is in.
     """
-    leaders = told.groupBy("bucket", "rest").agg(F.max(F.struct("weight", "id", "n", "u", "root")).alias("l")).select(
-        "bucket", F.col("rest").alias("kind"), F.col("l.weight").alias("weight2"), *[
-            F.col(f"l.{c}").alias(f"{c}2") for c in ("id", "n", "u", "root")])
-    met = told.filter("rest").join(leaders, "bucket").filter("root != root2").filter(close(config)).select(
+    text = F.struct("weight", "id", "n", "u", "root")
+    leaders = told.groupBy("bucket").agg(F.array(
+        F.max(F.when(~F.col("rest"), text)), F.max(F.when(F.col("rest"), text))).alias("ls"))
+    each = told.filter("rest").join(leaders, "bucket").select("id", "n", "u", "root", F.posexplode("ls").alias("kind", "l"))
+    met = each.select("*", F.col("l.weight").alias("weight2"), *[
+        F.col(f"l.{c}").alias(f"{c}2") for c in ("id", "n", "u", "root")]).filter("root != root2").filter(close(config)).select(
         "id", "kind", "weight2", "id2", F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
     if done is not None:
         met = met.join(done, ["a", "b"], "left_anti")
