@@ -32,8 +32,8 @@ def _cards(selectors: CardSelectors) -> Callable[[pd.Series], pd.Series]:
             page, out = Page(source), []
             for number, card in enumerate(page.select(parts["card"])):
                 row = {name: page.first_text(parts[name], card) for name in CARD_FIELDS}
-                link = page.select(parts["link"], card)
-                row |= {"card_no": number, "url": link[0].attributes.get("href") if link else None,
+                link = page.first(parts["link"], card)
+                row |= {"card_no": number, "url": link.attributes.get("href") if link else None,
                         "skills": page.all_texts(parts["skill"], card)}
                 out.append(row)
             return out

@@ -557,10 +557,14 @@ SELECT page_id, cast(0 AS bigint) AS card_no, 'Dev & Ops ' || page_id AS title,
        'Pune' || page_id % 7 || ' East' AS location, '1-2 Yrs' AS experience, 'Not disclosed' AS salary,
        'GoSQL|SQL' AS skills, '2 days' AS posted_date, cast(page_id AS varchar) AS job_id FROM pages
 UNION ALL SELECT page_id, 1, 'Bare', NULL, 'Not specified', 'Not specified', 'Not specified', 'Not disclosed',
+       '', 'Not specified', '' FROM pages
+UNION ALL SELECT page_id, 3, 'Don''t' || page_id, 'late-t', 'One', 'Not specified', 'Not specified', 'Not disclosed',
+       'go|java|sql', 'Not specified', 't' FROM pages
+UNION ALL SELECT page_id, 4, 'Last', NULL, 'Not specified', 'Not specified', 'Not specified', 'Not disclosed',
        '', 'Not specified', '' FROM pages"""
 ORACLE["job_details_nested"] = """
 SELECT page_id, 'Dev ' || page_id AS title, 'Acme' AS company, '1-2 Yrs' AS experience, '₹ 5' AS salary,
-       'Pune' AS location, 'First.. Second with python ' || page_id AS description, 'Go|SQL' AS skills,
-       'open_to=n' || page_id || '|role=Lead' AS details FROM pages"""
+       'Pune' AS location, 'First.. Second with python ' || page_id AS description, 'Go|SQL|C|D|E' AS skills,
+       'open_to=n' || page_id || '|role=Lead|team=Core' AS details FROM pages"""
 ORACLE["digest_header"] = with_(MATCHES, JOBS, SCORED) + f"""
 SELECT count(*) AS n_matches, count(DISTINCT resume_file) AS n_resumes, '{NOW}' AS created_at FROM scored"""

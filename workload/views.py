@@ -22,7 +22,7 @@ DETAILS = DetailSelectors(title="h1", description="article", header_span="a", sk
 
 
 # Markup with the classes of the default selectors around values of a page. Card 0 is whole, card 1 has
-# no more than a title; the advert is outside the list.
+# no more than a title, cards 3 and 4 lack end tags; the advert is outside the list.
 def listing() -> Column:
     return F.concat(
         F.lit("<article><a class='title' href='/advert'>Advert</a></article><div class='list wide'>"
@@ -33,7 +33,10 @@ def listing() -> Column:
         F.lit("<span> East</span></span></div><span class='exp-wrap'><span>1-2 Yrs</span></span>"
               "<!-- <span class='sal-wrap'><span>no</span></span> --><ul class='tags-gt'><li>Go<ul><li>SQL</li></ul></li>"
               "</ul><span class='job-post-day'>&#x32; days</span></article>"
-              "<article><span class=\"title\">Bare</span></article><article><p>none</p></article></div>"), "html")
+              "<article><span class=\"title\">Bare</span></article><article><p>none</p></article>"
+              "<article><a class=title href=late-t title=it's>Don't"), "page_id",
+        F.lit("</a><ul class=tags-gt><li>java<li>sql<li>go</ul><p class=comp-name>One<p>Two"
+              "<article><b class='title'>Last</b><p>5 > 4 & it's</div>"), "html")
 
 
 def detail() -> Column:
@@ -42,8 +45,8 @@ def detail() -> Column:
         F.lit("</i></h1></div><div class=\"comp-name\">Acme</div><div class='exp-sal-loc'><div><span>1-2 Yrs</span></div>"
               "<div><span>&#8377; 5</span></div><div><span>Pune</span></div></div></section><div class='job-desc'>"
               "<div>First.. </div><div>Second with python "), "page_id",
-        F.lit("</div></div><div class='key-skill'><div><a>Go</a></div><div><a>SQL</a></div></div>"
-              "<div class='detail'><span>Role:</span><span>Lead</span></div>"
+        F.lit("</div></div><div class='key-skill'><div><a>Go</a></div><div><a>SQL</a></div><ul><li><a title=it's>C</a><li><a>D<a>E</ul></div>"
+              "<table class='detail'><tr><td><span>Team</span><td><span>Core</table><div class='detail'><span>Role:</span><span>Lead</span></div>"
               "<div class=\"detail\"><span>Open To</span><span>n"), "page_id", F.lit("</span><span>odd</span></div>"), "html")
 
 
