@@ -70,6 +70,22 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob pattern, in whatever store they are; sorted."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    return sorted(f.getPath().toString() for f in found or ())
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Move a folder within its store; the parent of the target is made if it is missing."""
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = new(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(new(to).getParent())
+    if not store.rename(new(path), new(to)):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 def cell_partitions(spark: SparkSession, cells: int) -> int:
     """Partitions for a number of equal cells.
 

@@ -11,13 +11,13 @@ from matchloom.operators.store import MATCH_KEY, Store
 from matchloom.plans.matching import by_score, score_matches
 
 
-def ingest(store: Store, incoming: DataFrame, batch: str, now: Column, order=None) -> DataFrame:
-    """Insert the unseen jobs; returns them."""
+def ingest(store: Store, incoming: DataFrame, batch: str, now: Column, order=None, again: bool = False) -> DataFrame:
+    """Insert the unseen jobs; returns them, and with ``again`` those of a broken attempt at the batch too."""
     order = order or [F.asc(c) for c in ("batch_no", "page_id", "card_no", "seq")
                       if c in incoming.columns]
     if not order:
         raise ValueError("name the columns that order the incoming rows")
-    return store.save_jobs(incoming, batch, order, now)
+    return store.save_jobs(incoming, batch, order, now, again)
 
 
 def match_new(
@@ -52,7 +52,10 @@ def match_new(
 
 
 def full_run(store: Store, incoming: DataFrame, resumes: DataFrame, config: MatchConfig,
-             batch: str, now: Column, order=None, **options) -> DataFrame:
-    """Ingest, then match what was new; returns the new matches."""
-    fresh = ingest(store, incoming, batch, now, order)
+             batch: str, now: Column, order=None, again: bool = False, **options) -> DataFrame:
+    """Ingest, then match what was new; returns the new matches.
+
+    ``again``: the batch may be a repeated one, of which jobs were stored but not matched yet.
+    """
+    fresh = ingest(store, incoming, batch, now, order, again)
     return match_new(store, resumes, config, batch, now, jobs=fresh, **options)

@@ -74,7 +74,7 @@ def match_stream(rows: DataFrame, store: Store, resumes: DataFrame, config: Matc
     def handle(batch: DataFrame, number: int) -> None:
         jobs = to_jobs(batch) if to_jobs else batch
         with temporary(store.spark):
-            runs.full_run(store, jobs, resumes, config, f"{writer}-{number}", now, order,
+            runs.full_run(store, jobs, resumes, config, f"{writer}-{number}", now, order, again=True,
                           prepared_resumes=prepared, **options)
 
     return _start(rows, handle, checkpoint)

@@ -46,10 +46,93 @@ def test_second_insert_adds_nothing_and_a_retry_changes_nothing(spark, jobs, tmp
     store = Store(spark, str(tmp_path))
     store.save_jobs(jobs, "0", order(), now())
     assert store.save_jobs(jobs, "1", order(), now()).count() == 0
-    assert store.save_jobs(jobs, "0", order(), now()).count() == 4
+    assert store.save_jobs(jobs, "0", order(), now()).count() == 0
+    assert store.save_jobs(jobs, "0", order(), now(), again=True).count() == 4
     assert store.jobs().count() == 4
 
 
+def test_only_inserted_rows_come_back(spark, jobs, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.save_jobs(jobs.where("job_id = 'a'"), "0", order(), now())
+    got = store.save_jobs(jobs, "0", order(), now())
+    assert {r["job_id"] for r in got.collect()} == {None, "", "b"}
+    both = store.save_jobs(jobs, "0", order(), now(), again=True)
+    assert {r["job_id"] for r in both.collect()} == {"a", None, "", "b"}
+
+
+def test_a_look_up_reads_the_buckets_of_its_keys(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=32)
+    many = spark.range(5000).selectExpr("cast(id as int) seq", "concat('k', id) job_id", "'t' title")
+    assert store.save_jobs(many, "0", order(), now()).count() == 5000
+    ten = spark.range(4995, 5005).selectExpr("cast(id as int) seq", "concat('k', id) job_id", "'t' title")
+    stored, buckets = store.among("jobs", ten)
+    files = stored.inputFiles()
+    assert len(buckets) <= 10 and {f.split("bucket=")[1].split("/")[0] for f in files} <= {str(b) for b in buckets}
+    plan = stored.select("job_id")._jdf.queryExecution().executedPlan().toString()
+    assert "In(job_id" in plan and "ReadSchema: struct<job_id:string>" in plan
+    assert stored.count() == 5
+    assert {r["job_id"] for r in store.save_jobs(ten, "1", order(), now()).collect()} == {f"k{i}" for i in range(5000, 5005)}
+    assert Store(spark, str(tmp_path), buckets=7).buckets == 32  # what it was made with
+    more = spark.range(4000, 7000).selectExpr("cast(id as int) seq", "concat('k', id) job_id", "'t' title")
+    assert store.save_jobs(more, "2", order(), now()).count() == 1995
+
+
+def test_compaction_keeps_every_row(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path), buckets=4)
+    rows = lambda a, b: spark.range(a, b).selectExpr(
+        "cast(id as int) seq", "if(id = 3, null, concat('k', id)) job_id", "'t' title")
+    for n in range(6):
+        store.save_jobs(rows(n * 20, n * 20 + 25), str(n), order(), now())
+    before = sorted(map(str, store.jobs().collect()))
+    files = lambda: len(list(tmp_path.glob("jobs/bucket=*/write=*/part-*")))
+    many = files()
+    assert store.compact("jobs", files=100) == 0 and store.compact("jobs", files=3) == 4
+    assert files() == 4 < many and sorted(map(str, store.jobs().collect())) == before
+    assert store.save_jobs(rows(0, 126), "6", order(), now()).count() == 1
+    # A failure in the middle of the exchange, and one before it.
+    store.save_jobs(rows(200, 260), "7", order(), now())
+    before = sorted(map(str, store.jobs().collect()))
+    import matchloom.operators.store as module
+    real, left = module.remove, [2]
+
+    def broken(spark, path):
+        left[0] -= 1
+        if left[0] < 0:
+            raise OSError("lost")
+        real(spark, path)
+
+    monkeypatch.setattr(module, "remove", broken)
+    with pytest.raises(OSError):
+        store.compact("jobs", files=1)
+    monkeypatch.setattr(module, "remove", real)
+    (tmp_path / "jobs" / "_new-stale").mkdir()
+    again = Store(spark, str(tmp_path))
+    assert again.save_jobs(rows(0, 10), "8", order(), now()).count() == 0
+    assert sorted(map(str, again.jobs().collect())) == before
+    assert not list(tmp_path.glob("jobs/_*-*"))
+
+
+def test_a_broken_batch_is_matched_when_it_is_repeated(spark, tmp_path, monkeypatch):
+    config = MatchConfig(weights={"keyword": 1.0, "tfidf": 0.0, "semantic": 0.0, "skills": 0.0}, threshold=30.0, semantic=False)
+    source, schema = str(tmp_path / "in"), "seq int, job_id string, title string"
+    spark.createDataFrame([(1, "1", "alpha beta")], schema).coalesce(1).write.parquet(source)
+    resumes = spark.createDataFrame([("a", "alpha beta")], "resume_file string, text string").withColumn(
+        "skills", F.array().cast("array<string>"))
+    store = Store(spark, str(tmp_path / "store"))
+
+    def run():
+        stream = incremental.read_files(spark, source, spark.createDataFrame([], schema).schema)
+        incremental.match_stream(stream, store, resumes, config, now(), order(), str(tmp_path / "check")).awaitTermination()
+
+    with monkeypatch.context() as patch:
+        patch.setattr(runs, "match_new", lambda *a, **k: 1 / 0)
+        with pytest.raises(Exception):
+            run()
+    assert store.jobs().count() == 1 and store.matches().count() == 0
+    run()
+    assert [r["job_id"] for r in store.matches().collect()] == ["1"]
+
+
 def test_matches_never_refresh_and_flags_follow(spark, jobs, tmp_path):
     store = Store(spark, str(tmp_path))
     store.save_jobs(jobs, "0", order(), now())
