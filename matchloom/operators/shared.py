@@ -77,6 +77,11 @@ def matching(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(f.getPath().toString() for f in found or ())
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
+
+
 def rename(spark: SparkSession, path: str, to: str) -> None:
     """Move a folder within its store; the parent of the target is made if it is missing."""
     new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

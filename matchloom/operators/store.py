@@ -15,7 +15,7 @@ from matchloom.functions.text import or_empty
 from matchloom.operators.keys import (
     first_per_key, null_safe_anti, null_safe_lookup, null_safe_semi,
 )
-from matchloom.operators.shared import matching, materialize, new_folder, remove, rename, temporary
+from matchloom.operators.shared import make_folder, matching, materialize, new_folder, remove, rename, temporary
 from matchloom.sources.tables import read_table
 
 JOB_KEY = ["job_id"]
@@ -107,7 +107,7 @@ class Store:
     ``buckets`` counts when the store is new; later it is what the store was made with.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
         self.spark = spark
         self.path = (path or new_folder(spark, "store")).rstrip("/")
         self._buckets, self._wanted = None, buckets
@@ -115,10 +115,11 @@ class Store:
     @property
     def buckets(self) -> int:
         if self._buckets is None:
-            layout = f"{self.path}/layout"
-            if not matching(self.spark, layout):
-                self.spark.createDataFrame([(self._wanted,)], "buckets int").coalesce(1).write.json(layout)
-            self._buckets = self.spark.read.schema("buckets int").json(layout).first()["buckets"]
+            made = matching(self.spark, f"{self.path}/_buckets=*")
+            if not made:
+                made = [f"{self.path}/_buckets={self._wanted}"]
+                make_folder(self.spark, made[0])
+            self._buckets = int(made[0].rsplit("=", 1)[1])
         return self._buckets
 
     def _bucket(self, keys: Sequence[str]) -> Column:
@@ -128,12 +129,10 @@ class Store:
         """Rows with their bucket, batch and write; of some buckets only, if they are given."""
         path = f"{self.path}/{table}"
         schema = StructType(list(TABLES[table][0])).add("batch", "string").add("bucket", "integer").add("write", "string")
-        if buckets is None:
+        if buckets is None or len(buckets) == self.buckets:
             return read_table(self.spark, path, schema)
-        there = [p for k in sorted(buckets) for p in matching(self.spark, f"{path}/bucket={k}")]
-        if not there:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", path).parquet(*there)
+        some = ",".join(map(str, sorted(buckets))) or "none"
+        return read_table(self.spark, f"{path}/bucket={{{some}}}", schema, basePath=path)
 
     def _read(self, table: str) -> DataFrame:
         return self._stored(table).select(*TABLES[table][0].names)

@@ -12,10 +12,10 @@ from matchloom.functions.formats import iso_text
 from matchloom.functions.text import or_empty
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: StructType, **options: str) -> DataFrame:
     """A parquet table, or an empty one when nothing was written yet."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.options(**options).schema(schema).parquet(path)
     except AnalysisException as err:
         if err.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)
