@@ -2,14 +2,16 @@
 
 When a pair without a common term may still qualify (a low threshold, or the best
 N per resume), no index can skip it. Both sides are then hashed into groups of a
-size that is set from the row counts, and each (resume group, job group) cell is
+size that is set from the counts of rows and of their entries, and each (resume group, job group) cell is
 one small task: neither a hot term nor a hot document changes its size. A cell
 keeps its scores in arrays and returns only the pairs that can be in the result,
-so what is shuffled on is the result, not the pairs.
+so what is shuffled on is the result, not the pairs. Pairs over the limit on terms are
+scored inside the cell too, best bound first, until the rest can't matter.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -18,23 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.config import MatchConfig
+from matchloom.operators.ranked import list_items, ranked_cosine, term_vectors
 from matchloom.operators.scoring import K2, SLACK, SUMS
 from matchloom.operators.shared import cell_partitions
 from matchloom.operators.sides import KEYWORD, TERM
 
 RESUMES_PER_CELL = 512
 JOBS_PER_CELL = 2048
+ENTRIES_PER_GROUP = 1 << 21  # terms, keywords and vector entries of the rows of a group, about
 STEP = 1 << 21  # joined entries held at a time inside a cell
-SCHEMA = "r string, j string, " + ", ".join(f"{c} long" for c in SUMS)
-
-
-def list_items(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
-    """Row number of every element, and the elements, of a list column."""
-    array = column.combine_chunks()
-    if isinstance(array, pa.ChunkedArray):
-        array = pa.concat_arrays(array.chunks) if array.num_chunks else pa.array([], column.type)
-    lengths = array.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(array)), lengths), array.flatten()
+SCHEMA = "r string, j string, " + ", ".join(f"{c} long" for c in SUMS) + ", capped double"
 
 
 def _shared(left, right, shape):
@@ -111,7 +106,7 @@ def cell_scorer(config: MatchConfig, threshold: float, top_n: int | None):
         shape = (left.num_rows, right.num_rows)
         if 0 in shape:
             return pa.table({"r": pa.array([], pa.string()), "j": pa.array([], pa.string()),
-                             **{c: pa.array([], pa.int64()) for c in SUMS}})
+                             **{c: pa.array([], pa.int64()) for c in SUMS}, "capped": pa.array([], pa.float64())})
         kw = _shared(_entries(left, KEYWORD), _entries(right, KEYWORD), shape)[0]
         shared, dot, s1, s2 = _shared(_entries(left, TERM), _entries(right, TERM), shape)
         met = _shared(_skills(left), _skills(right), shape)[0]
@@ -143,45 +138,84 @@ def cell_scorer(config: MatchConfig, threshold: float, top_n: int | None):
         rest = w["keyword"] * m1 + w["semantic"] * m3 + w["skills"] * m4
         low = np.minimum((rest + w["tfidf"] * m2_low) * 100, 100)
         high = np.minimum((rest + w["tfidf"] * m2_high) * 100, 100)
+        capped = _settle(left, right, over, low, high, rest, w["tfidf"], cap, threshold, top_n)
         keep = high >= threshold - SLACK
         if top_n is not None and shape[1] > top_n:
-            keep &= _may_be_top(low, high, over, keep, top_n)
+            keep &= _may_be_top(low, high, keep, top_n)
         r, j = np.nonzero(keep)
         sums = dict(zip(SUMS, (kw, shared, dot, s1, s2)))
         return pa.table({
             "r": left["key"].combine_chunks().take(pa.array(r)),
             "j": right["key"].combine_chunks().take(pa.array(j)),
             **{c: pa.array(np.rint(m[r, j]).astype(np.int64)) for c, m in sums.items()},
+            "capped": pa.array(capped[r, j], mask=np.isnan(capped[r, j])),
         })
 
     return score
 
 
-def _may_be_top(low, high, over, keep, n):
+def _settle(left, right, over, low, high, rest, weight, cap, threshold, n) -> np.ndarray:
+    """Exact scores of the pairs over the limit on terms, best bound first; NaN for all others.
+
+    ``low`` and ``high`` become the exact total, or minus infinity for pairs that can't be in the result: once
+    ``n`` pairs of a resume are known to be better than a bound, none of the pairs that follow is computed.
+    """
+    capped = np.full(over.shape, np.nan)
+    open_pairs = over & (high >= threshold - SLACK)
+    low[over & ~open_pairs] = high[over & ~open_pairs] = -np.inf
+    if not open_pairs.any():
+        return capped
+    mine, theirs = term_vectors(left, right)
+    for r in np.flatnonzero(open_pairs.any(axis=1)):
+        at = np.flatnonzero(open_pairs[r])
+        at = at[np.argsort(-high[r, at], kind="stable")]
+        best: list[float] = []  # the n best totals so far, in hundredths rounded down
+        if n is not None:
+            known = np.floor(low[r, ~over[r] & (low[r] >= threshold - SLACK)] * 100)
+            best = np.sort(known)[::-1][:n].tolist()
+            heapq.heapify(best)
+        for k, j in enumerate(at.tolist()):
+            if n is not None and len(best) == n and math.ceil(high[r, j] * 100) < best[0]:
+                low[r, at[k:]] = high[r, at[k:]] = -np.inf
+                break
+            capped[r, j] = ranked_cosine(*mine[r], *theirs[j], cap)
+            total = min((rest[r, j] + weight * capped[r, j]) * 100, 100.0)
+            low[r, j] = high[r, j] = total
+            if n is not None and total >= threshold - SLACK:
+                (heapq.heappush if len(best) < n else heapq.heappushpop)(best, math.floor(total * 100))
+    return capped
+
+
+def _may_be_top(low, high, keep, n):
     """Pairs that can be among the first ``n`` of their row by (rounded score, key).
 
     Columns are in key order. Scores so near a rounding boundary that the last bit
-    decides are kept, as are capped pairs whose bound reaches the n-th score.
+    decides are kept if they could be in.
     """
     cents = np.where(keep, low * 100, -1e9)
-    unsure = over | (np.abs(np.abs(cents - np.floor(cents)) - 0.5) < 1e-6)
+    unsure = np.abs(np.abs(cents - np.floor(cents)) - 0.5) < 1e-6
     rounded = np.where(unsure, np.floor(cents), np.rint(cents))
     order = np.argsort(-rounded, axis=1, kind="stable")[:, :n]
     best = np.zeros(low.shape, bool)
     np.put_along_axis(best, order, True, axis=1)
     nth = np.take_along_axis(rounded, order[:, -1:], axis=1)
-    return best | (unsure & (np.ceil(high * 100) >= nth))
+    return best | (unsure & keep & (np.ceil(np.where(keep, high, 0.0) * 100) >= nth))
 
 
 def block_sums(resumes: DataFrame, jobs: DataFrame, config: MatchConfig, threshold: float,
                top_n: int | None = None) -> DataFrame:
-    """Sums of the pairs that can reach ``threshold`` (and the top ``n`` per resume)."""
+    """Sums of the pairs that can reach ``threshold`` (and the top ``n`` per resume).
+
+    ``capped`` is the exact term score of pairs over the limit on terms, and null for others.
+    """
     spark = resumes.sparkSession
-    n_resumes, n_jobs = resumes.count(), jobs.count()
-    r_groups = max(1, math.ceil(n_resumes / RESUMES_PER_CELL))
+    (n_resumes, held1), (n_jobs, held2) = (side.agg(F.count("*"), F.coalesce(F.sum(
+        F.size("entries") + F.size(F.coalesce("vec", F.array()))), F.lit(0))).first() for side in (resumes, jobs))
+    r_groups = max(1, math.ceil(n_resumes / RESUMES_PER_CELL), math.ceil(held1 / ENTRIES_PER_GROUP))
     # Enough cells to keep every core busy, but none above the size limit.
     wanted = math.ceil(3 * spark.sparkContext.defaultParallelism / r_groups)
-    j_groups = max(1, math.ceil(n_jobs / JOBS_PER_CELL), min(wanted, math.ceil(n_jobs / 64)))
+    j_groups = max(1, math.ceil(n_jobs / JOBS_PER_CELL), math.ceil(held2 / ENTRIES_PER_GROUP),
+                   min(wanted, math.ceil(n_jobs / 64)))
 
     def group(n: int):
         return F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")

@@ -11,65 +11,20 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.operators.blocks import list_items
-from matchloom.operators.scoring import K2
+from matchloom.operators.ranked import ranked_cosine, term_vectors
 from matchloom.operators.shared import cell_partitions
-from matchloom.operators.sides import TERM
 
 PAIRS_PER_CELL = 512
 RESUMES_PER_JOB_CELL = 4096
-CODE_BITS = 40
-
-
-def ranked_cosine(codes1, tf1, codes2, tf2, max_terms: int) -> float:
-    """Cosine over the first terms by (summed count descending, code).
-
-    Codes are sorted and unique on either side, and equal for equal terms.
-    """
-    if not len(codes1) or not len(codes2):
-        return 0.0
-    at = np.minimum(np.searchsorted(codes2, codes1), len(codes2) - 1)
-    shared = codes2[at] == codes1
-    partner = np.zeros(len(codes2), np.int64)
-    partner[at[shared]] = tf1[shared]
-    alone = tf1[~shared]
-    order = np.concatenate([
-        codes2 - ((tf2 + partner) << CODE_BITS), codes1[~shared] - (alone << CODE_BITS)])
-    kept = np.ones(len(order), bool)
-    if len(order) > max_terms:
-        kept = order <= np.partition(order, max_terms - 1)[max_terms - 1]
-    both = kept[: len(codes2)] & (partner > 0)
-    only2 = tf2[kept[: len(codes2)] & (partner == 0)]
-    only1 = alone[kept[len(codes2):]]
-    a, b = partner[both].astype(float), tf2[both].astype(float)
-    norm1 = a @ a + K2 * float(only1 @ only1)
-    norm2 = b @ b + K2 * float(only2 @ only2)
-    return float(a @ b / math.sqrt(norm1 * norm2)) if norm1 > 0 and norm2 > 0 else 0.0
-
-
-def _term_vectors(docs: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Codes in term order and counts of each document."""
-    rows, items = list_items(docs["entries"])
-    terms = items.field("kind").to_numpy(zero_copy_only=False) == TERM
-    rows, tf = rows[terms], items.field("tf").to_numpy(zero_copy_only=False)[terms].astype(np.int64)
-    encoded = items.field("term").filter(pa.array(terms)).dictionary_encode()
-    place = np.empty(len(encoded.dictionary), np.int64)
-    place[pc.sort_indices(encoded.dictionary).to_numpy()] = np.arange(len(place))
-    codes = place[encoded.indices.to_numpy()]
-    order = np.lexsort((codes, rows))
-    ends = np.cumsum(np.bincount(rows, minlength=docs.num_rows))[:-1]
-    return list(zip(np.split(codes[order], ends), np.split(tf[order], ends)))
 
 
 def _cell(max_terms: int):
     def score(pairs: pa.Table, docs: pa.Table) -> pa.Table:
-        vectors = _term_vectors(docs)
+        vectors, = term_vectors(docs)
         place = {k: n for n, k in enumerate(zip(docs["side"].to_pylist(), docs["key"].to_pylist()))}
         r, j = pairs["r"].to_pylist(), pairs["j"].to_pylist()
         scores = [

@@ -41,6 +41,9 @@ def score_pairs(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame, config: M
     c = F.col
     semantic = vector_cosine(c("vec1"), c("vec2")) if config.semantic else F.lit(0.0)
     tfidf = tfidf_score(c("dot"), c("s1"), c("s2"), c("mass1"), c("mass2"))
+    settled = "capped" in pairs.columns  # pairs over the limit on terms bring their score
+    if settled:
+        tfidf = F.coalesce("capped", tfidf)
     scored = pairs.join(left, "r").join(right, "j").select(
         "r", "j", "s1", "s2", "shared",
         (c("n_terms1") + c("n_terms2") - c("shared")).alias("n_terms"),
@@ -53,7 +56,7 @@ def score_pairs(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame, config: M
     )
     total = total_score(c("keyword"), c("tfidf"), c("semantic"), c("skills"), config)
     parts = ["r", "j", "keyword", "tfidf", "semantic", "skills"]
-    if config.max_terms is None:
+    if config.max_terms is None or settled:
         done = scored.select(*parts)
     else:
         over = c("n_terms") > config.max_terms

@@ -264,3 +264,35 @@ def test_no_text_weight_and_a_high_threshold(spark):
     r, j, options = frames(spark, resumes, jobs)
     assert direct(resumes, jobs, config, 70) == {}
     assert matching.score_matches(r, j, config, **options).count() == 0
+
+
+@pytest.mark.parametrize("cap", [1000, 300, 20])
+def test_no_more_than_the_best_leave_a_cell(spark, cap):
+    from matchloom.operators.blocks import block_sums
+    from matchloom.operators.sides import job_side, resume_side
+
+    resumes, jobs = sample(41, 8, 60)
+    config = config_of((0.2, 0.5, 0.1, 0.2), max_terms=cap)
+    r, j, options = frames(spark, resumes, jobs)
+    left, right = resume_side(r, config, options["resume_vectors"]), job_side(j, config, options["job_vectors"])
+    out = block_sums(left, right, config, 0.0, 4).groupBy("r").count().collect()  # 60 jobs are one cell
+    assert len(out) == 8 and all(x["count"] <= 4 for x in out)
+    want = direct(resumes, jobs, config, 0.0)
+    found = matching.score_matches(r, j, config, threshold=0.0, top_n=4, **options).collect()
+    for file, *_ in resumes:
+        best = sorted((round(t, 2) for (f, _), (t, _) in want.items() if f == file), reverse=True)[:4]
+        assert sorted((m["match_score"] for m in found if m["resume_file"] == file), reverse=True) == pytest.approx(best)
+
+
+def test_cells_are_sized_by_entries(spark, monkeypatch):
+    from matchloom.operators import blocks
+
+    monkeypatch.setattr(blocks, "ENTRIES_PER_GROUP", 300)
+    sizes = []
+    real = blocks.cell_partitions
+    monkeypatch.setattr(blocks, "cell_partitions", lambda s, cells: sizes.append(cells) or real(s, cells))
+    resumes, jobs = sample(6)
+    r, j, options = frames(spark, resumes, jobs)
+    config = config_of((0.2, 0.25, 0.25, 0.3), max_terms=40, threshold=30)
+    check(matching.score_matches(r, j, config, **options), direct(resumes, jobs, config, 30))
+    assert sizes[0] > 10
