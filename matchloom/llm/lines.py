@@ -22,7 +22,7 @@ class LineConfig:
     boilerplate from ``least_sites`` distinct sites on. ``log2``: sketch size; ``margin``: share
     of the threshold within which an estimate counts as near."""
 
-    least_chars: int = 15
+    least_chars: int = 1
     least_sites: int = 8
     log2: int = 8
     margin: float = 0.5
@@ -65,7 +65,7 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", config: LineConfig
 
     One copy of each such line stays, the one in the document with the smallest ``doc_id`` and
     there the first, so that of copied documents one keeps its text. Lines end at a line feed;
-    short and blank lines always stay, and so do all lines of rows without a site, unless other
+    blank lines always stay, and so do all lines of rows without a site, unless other
     sites make them boilerplate. Null text stays null and has no line. Rows are told apart by
     ``doc_id`` and text; repeated rows get equal results. A null ``doc_id`` comes first. All other columns stay;
     existing n_lines and n_removed go. An empty table gives no rows.

@@ -64,7 +64,7 @@ with l as (
         from documents where text is not null)
 ),
 shared as (
-  select trim(line, ' ') as bare from l where length(trim(line, ' ')) >= 15
+  select trim(line, ' ') as bare from l where length(trim(line, ' ')) >= 1
   group by 1 having count(distinct source) >= 8
 ),
 met as (

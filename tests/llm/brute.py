@@ -97,7 +97,7 @@ def hit_words(text, items, size=10):
     return len(w), len(covered), sorted(met)
 
 
-def boilerplate(rows, sites=8, chars=15):
+def boilerplate(rows, sites=8, chars=1):
     """Texts by id without all but the first copy of lines from many sites; ``rows`` are (id, text, site)."""
     spread = defaultdict(set)
     for _, text, site in rows:

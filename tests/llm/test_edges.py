@@ -254,3 +254,46 @@ def test_vector_search(spark):
         expected += [(q, k + 1, c, -s) for k, (s, c) in enumerate(scored[:5])]
     got = vector_search.top_k(table).select("query_id", "rank", "vec_id", "score").collect()
     assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_pii_of_very_many_matches(spark):
+    """Time grows with the number of matches, and positions hold to the last one."""
+    import time
+
+    seconds = {}
+    for n in (20_000, 20_000, 80_000):
+        text = "".join(f"mail a{i}@example.org or +1 555 000 {i % 9000 + 1000} " for i in range(n))
+        start = time.time()
+        found = pii.find(spark.createDataFrame([(text,)], "text string")).select(
+            "text", F.size("pii").alias("n"), F.slice(
+                F.filter("pii", lambda s: s["kind"] == "email"), n - 2, 3).alias("last"))
+        row = found.first()
+        seconds[n] = time.time() - start
+        assert row["n"] == 2 * n
+        for s in row["last"]:
+            assert text[s["start"]:s["end"]] == s["value"]
+    assert seconds[80_000] < 10 * max(seconds[20_000], 1)
+
+
+def test_added_spans_and_scores_of_pii(spark):
+    texts = {
+        "iban": "Please pay to my bank account DE89 3704 0044 0532 0130 00 today",
+        "iban bare": "x GB82WEST12345698765432 y",
+        "iban wrong": "Please pay to my bank account DE89 3704 0044 0532 0130 01 today",
+        "short card": "amex card 3782 822463 10005 is mine",
+        "short card bare": "number 378282246310005 here",
+        "short card wrong": "amex card 3782 822463 10006 is mine",
+        "email": "my mail is a@b.cd", "email bare": "see a@b.cd"}
+    rows = spark.createDataFrame(list(texts.items()), "key string, text string")
+    got = {r["key"]: [(s["kind"], r["text"][s["start"]:s["end"]], round(s["score"], 2)) for s in r["pii"]]
+           for r in pii.find(rows).collect()}
+    assert got == {
+        "iban": [("iban", "DE89 3704 0044 0532 0130 00", 0.95)], "iban bare": [("iban", "GB82WEST12345698765432", 0.8)],
+        "iban wrong": [], "short card": [("short_card", "3782 822463 10005", 0.55)], "short card bare": [],
+        "short card wrong": [], "email": [("email", "a@b.cd", 0.95)], "email bare": [("email", "a@b.cd", 0.8)]}
+
+
+def test_line_spread_of_short_lines(spark):
+    rows = [(i, "Home\n}\nown line %d" % i, f"s{i}") for i in range(9)]
+    kept = lines.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).orderBy("doc_id")
+    assert [r["text"] for r in kept.collect()] == ["Home\n}\nown line 0", *[f"own line {i}" for i in range(1, 9)]]
