@@ -11,10 +11,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.functions.text import bind
 from matchloom.llm.common import packed, text_or_empty
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "short_card")
+BLOCK = 128  # matches whose positions are summed up at a time
 NEAR = 40  # code points of context on either side, up to the neighbouring match
 
 # Each pattern matches what its plain form matches: it starts where a run of its first
@@ -59,16 +61,35 @@ def _gaps(text: Column, kind: str, matches: Column) -> Column:
     return F.when(F.size(matches) > 0, F.split(text, PATTERNS[kind], -1))
 
 
+def _running(steps: Column) -> Column:
+    """Sums of ``step`` of all entries before each one, for ``steps`` of structs (step, ahead), plus its own ``ahead``.
+
+    Appending copies an array, so sums are taken in blocks, then over blocks: time grows with the number of entries.
+    """
+
+    def block(rows: Column) -> Column:
+        seed = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("sums"))
+        return F.aggregate(rows, seed, lambda acc, s: F.struct(
+            (acc["at"] + s["step"]).alias("at"), F.array_append(acc["sums"], acc["at"] + s["ahead"]).alias("sums")))
+
+    def joined(parts: Column) -> Column:
+        before = block(F.transform(parts, lambda p: F.struct(p["at"].alias("step"), F.lit(0).cast("long").alias("ahead"))))
+        return bind(before["sums"], lambda first: F.flatten(F.transform(
+            parts, lambda p, i: F.transform(p["sums"], lambda x: x + F.get(first, i)))))
+
+    def cut(rows: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int"))
+        return bind(F.transform(blocks, lambda k: block(F.slice(rows, k * BLOCK + 1, F.lit(BLOCK)))), joined)
+
+    return bind(steps, cut)
+
+
 def _placed(matches: Column, gaps: Column) -> Column:
-    """Structs (start, end, value, before, after) of a kind's matches."""
+    """Structs (start, end, value, near) of a kind's matches."""
     n = F.size(matches)
     steps = F.zip_with(F.slice(gaps, 1, n), matches, lambda g, m: F.struct(
-        F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("own")))
-    seed = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
-    starts = F.aggregate(steps, seed, lambda acc, s: F.struct(
-        (acc["at"] + s["gap"] + s["own"]).alias("at"),
-        F.array_append(acc["starts"], acc["at"] + s["gap"]).alias("starts")), lambda acc: acc["starts"])
-    return F.when(n > 0, F.transform(F.arrays_zip(starts.alias("start"), matches.alias("value")), lambda s, i: F.struct(
+        (F.length(g) + F.length(m)).cast("long").alias("step"), F.length(g).cast("long").alias("ahead")))
+    return F.when(n > 0, F.transform(F.arrays_zip(_running(steps).alias("start"), matches.alias("value")), lambda s, i: F.struct(
         s["start"].alias("start"), (s["start"] + F.length(s["value"])).alias("end"), s["value"].alias("value"),
         F.concat(F.substring(F.get(gaps, i), -NEAR, NEAR), F.lit(" "),
                  F.substring(F.get(gaps, i + 1), 1, NEAR)).alias("near"))))
