@@ -45,9 +45,15 @@ OUT, BEGIN, INSIDE = range(3)
 @dataclass(frozen=True)
 class SecretConfig:
     """``sample``: at most so many rows with pattern matches, and as many of any kind, train the
-    field, by smallest hash. ``window``: tokens of a training sequence. ``least``: shortest added span."""
+    field, by smallest hash; the sample is drawn from texts of ``shortest`` to ``longest`` characters, and
+    has ``hits`` sequences around matches of one text at most, so that no text rules it. These bound the
+    training only: spans are sought in every text. ``window``: tokens of a training sequence. ``least``:
+    shortest added span."""
 
     sample: int = 300
+    shortest: int = 200
+    longest: int = 20_000
+    hits: int = 20
     window: int = 25
     rounds: int = 120
     step: float = 0.15
@@ -86,7 +92,7 @@ def attributes(token: str) -> tuple[int, int, int, int]:
     mix = (3 if not digits and not letters else 4 if not digits else 5 if digits == n
            else 6 if letters and not upper and not set(core) - set("0123456789abcdef")
            else 7 if letters and lower != upper else 8 if letters else 9)
-    counts = Counter(core[:256]).values()
+    counts = Counter(core).values()
     total = sum(counts)
     entropy = -sum(c / total * math.log2(c / total) for c in counts)
     return length, mix, min(SPREADS - 1, int(entropy * 1.25)), role
@@ -222,7 +228,7 @@ def training(texts: list[str], config: SecretConfig) -> tuple[np.ndarray, np.nda
             tags[max(i, 0)] = BEGIN
         roles = np.array([r[3] for r in shapes.numbers])
         kind = file_feature(numbers, roles)
-        hits = np.flatnonzero(tags == BEGIN)[:20] - t // 2
+        hits = np.flatnonzero(tags == BEGIN)[:config.hits] - t // 2
         for a in np.clip([*hits, *range(0, len(spans) - t + 1, max(t, len(spans) // 6))], 0, len(spans) - t):
             sequences.append((numbers, a, kind, tags[a:a + t]))
     own, near = shapes.own(), shapes.near()
@@ -301,7 +307,7 @@ class Tagger:
 def fit(docs: DataFrame, config: SecretConfig) -> Field:
     """Train on a bounded sample: at most ``config.sample`` rows with matches and as many of any kind."""
     hint = F.lower("text").rlike("(passw|secret|token|api_?key)[\"']?\x20*[:=]|[0-9a-f]{24}") | F.col("text").contains("AKIA")
-    marked = docs.select(text_or_empty().alias("text")).filter(F.length("text").between(200, 20_000)).withColumn(
+    marked = docs.select(text_or_empty().alias("text")).filter(F.length("text").between(config.shortest, config.longest)).withColumn(
         "h", F.xxhash64("text"))
     texts = []
     for part in (marked.filter(hint), marked):
