@@ -22,15 +22,14 @@ def read_table(spark: SparkSession, path: str, schema: StructType, **options: st
         raise
 
 
-def read_text_table(spark: SparkSession, path: str) -> DataFrame:
+def read_text_table(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """A parquet table whose rows cost much CPU each.
 
-    A scan that yields fewer tasks than the cluster has cores (a small or a
-    single-row-group file) is spread over all cores; any larger scan is left alone.
+    A scan has no more tasks than row groups. Whoever knows that a table has too few of them names the number of
+    partitions to deal its rows out to, which shuffles them; without it the scan is left alone.
     """
     rows = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores * 2) if rows.rdd.getNumPartitions() < cores else rows
+    return rows if partitions is None else rows.repartition(partitions)
 
 
 def read_jdbc(

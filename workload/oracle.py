@@ -540,10 +540,10 @@ FROM total t JOIN jobs j USING (job_id) JOIN resumes r USING (resume_file)
 JOIN r_side s ON s.k = t.resume_file WHERE total >= 35"""
 
 ORACLE["match_scores_some_vectors"] = with_(*SIDES, *totals(WEIGHTS, True)).replace(
-    "JOIN embeddings ON vec_id = (SELECT", "JOIN embeddings ON doc_id % 3 <> 0 AND vec_id = (SELECT") + f"""
+    "JOIN embeddings ON vec_id = (SELECT", "JOIN embeddings ON embedding[1] >= 0 AND vec_id = (SELECT") + f"""
 SELECT job_id, resume_file, round(total, 2) AS match_score, {PARTS} FROM total WHERE total >= 35"""
 ORACLE["stored_applied"] = with_(MATCHES) + f"""
-SELECT job_id, resume_file, match_score, cast(coalesce((SELECT max(1) FROM matches o WHERE o.seq % 5 = 0
+SELECT job_id, resume_file, match_score, cast(coalesce((SELECT max(1) FROM matches o WHERE o.match_score >= 60
        AND o.job_id = m.job_id AND o.resume_file = m.resume_file), 0) AS bigint) AS applied
 FROM (SELECT *, row_number() OVER (PARTITION BY job_id, resume_file ORDER BY seq) AS n FROM matches
       WHERE created_at < timestamp '{MIDDLE}') m WHERE n = 1"""

@@ -34,6 +34,7 @@ SECTION_STARTS, SECTION_STOPS = ("license",), ("the",)
 LEAST = {"keyword": 0.1, "tfidf": 0.1, "semantic": 0.3, "skills": 0.5}
 TAGS = (*sk.lexicon.SKILL_TAG_GROUPS, EXTRA_TERMS)
 
+APPLIED = 60.0  # pairs of this score on are applied for
 FLAGSHIP = MatchConfig(threshold=35.0, max_terms=1000)
 TEXT_ONLY = MatchConfig(weights={"keyword": 0.5, "tfidf": 0.5, "semantic": 0.0, "skills": 0.0},
                         threshold=10.0, semantic=False, max_terms=1000)
@@ -420,9 +421,9 @@ def match_scores(spark, sf):
 
 @query
 def match_scores_some_vectors(spark, sf):
-    """A third of the jobs has no vector yet; their semantic part is 0."""
+    """Jobs whose vector begins below zero count as not encoded yet; their semantic part is 0."""
     resumes, jobs, options = flagship_inputs(spark, sf)
-    options["job_vectors"] = options["job_vectors"].where(F.col("job_id").cast("long") % 3 != 0)
+    options["job_vectors"] = options["job_vectors"].where(F.col("embedding")[0] >= 0)
     found = matching.score_matches(resumes, jobs, FLAGSHIP, **options)
     return found.select("job_id", "resume_file", "match_score", *parts())
 
@@ -435,7 +436,7 @@ def stored_applied(spark, sf):
     early = found.where(F.col("created_at") < F.lit(views.MIDDLE).cast("timestamp"))
     store.save_matches(early, "0", [F.asc("seq")], now())
     for batch in ("0", "1"):
-        store.mark_applied(found.where(F.col("seq") % 5 == 0), batch, now())
+        store.mark_applied(found.where(F.col("match_score") >= APPLIED), batch, now())
     return store.matches_with_status().select(
         "job_id", "resume_file", "match_score", F.col("applied").cast("long").alias("applied"))
 

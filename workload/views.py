@@ -57,7 +57,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return read_text_table(spark, f"{sf_dir}/{name}.parquet")
+    # The supplied tables are files of one row group each.
+    return read_text_table(spark, f"{sf_dir}/{name}.parquet", 2 * spark.sparkContext.defaultParallelism)
 
 
 def as_jobs(documents: DataFrame) -> DataFrame:
