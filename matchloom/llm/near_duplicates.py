@@ -26,7 +26,7 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -205,9 +205,9 @@ def sketches(docs: DataFrame, config: NearConfig) -> DataFrame:
         run, "doc_id long, key binary, n long, u long, keys array<long>")
 
 
-def close(config: NearConfig) -> Column:
+def close(config: NearConfig, one: Callable[[str], Column], other: Callable[[str], Column]) -> Column:
     """Whether the numbers of shingles or of distinct shingles of two texts allow a link."""
-    ratio = [F.least(x, f"{x}2") >= config.similarity * F.greatest(x, f"{x}2") for x in ("n", "u")]
+    ratio = [F.least(one(x), other(x)) >= config.similarity * F.greatest(one(x), other(x)) for x in ("n", "u")]
     return ratio[0] | ratio[1]
 
 
@@ -215,7 +215,8 @@ def small_pairs(groups: DataFrame, config: NearConfig) -> DataFrame:
     """All pairs ``(a, b)``, a < b, of groups of up to ``config.small`` texts in ``groups(bucket, size, id, n, u)``."""
     left = groups.filter(F.col("size") <= config.small)
     right = left.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "u")])
-    return left.join(right, "bucket").filter("id < id2").filter(close(config)).select(
+    return left.join(right, "bucket").filter("id < id2").filter(
+        close(config, F.col, lambda x: F.col(f"{x}2"))).select(
         F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
@@ -232,24 +233,26 @@ def rest_of(large: DataFrame, roots: DataFrame) -> DataFrame:
     return tied.join(most, "bucket").select(*tied.columns, (F.col("root") != F.col("main")).alias("rest"))
 
 
-def leader_pairs(told: DataFrame, done: DataFrame | None, config: NearConfig) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of texts outside the main component with a leader.
+def leader_pairs(told: DataFrame, asked: DataFrame, config: NearConfig) -> DataFrame:
+    """Pairs ``(id, other)`` of texts outside the main component with a leader.
 
     In each group of ``told`` (by ``rest_of``) the heaviest text of the main component leads, and so does
-    the heaviest outside. Of all leaders of its groups that it has not met, a text meets the heaviest of
-    either kind: two pairs a text at most, however many groups it is in.
+    the heaviest outside. Of all leaders of its groups that it has not met (``asked(id, others)``), a text meets
+    the heaviest of either kind: two pairs a text at most, however many groups it is in.
     """
     text = F.struct("weight", "id", "n", "u", "root")
-    leaders = told.groupBy("bucket").agg(F.array(
-        F.max(F.when(~F.col("rest"), text)), F.max(F.when(F.col("rest"), text))).alias("ls"))
-    each = told.filter("rest").join(leaders, "bucket").select("id", "n", "u", "root", F.posexplode("ls").alias("kind", "l"))
-    met = each.select("*", F.col("l.weight").alias("weight2"), *[
-        F.col(f"l.{c}").alias(f"{c}2") for c in ("id", "n", "u", "root")]).filter("root != root2").filter(close(config)).select(
-        "id", "kind", "weight2", "id2", F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-    if done is not None:
-        met = met.join(done, ["a", "b"], "left_anti")
-    best = met.groupBy("id", "kind").agg(F.max(F.struct("weight2", "id2", "a", "b")).alias("p"))
-    return best.select("p.a", "p.b").distinct()
+    leaders = told.groupBy("bucket").agg(
+        F.max(F.when(~F.col("rest"), text)).alias("inside"), F.max(F.when(F.col("rest"), text)).alias("outside"))
+
+    def best(leader: str) -> Column:
+        own = F.col(leader)
+        new = (own["root"] != F.col("root")) & ~F.coalesce(F.array_contains("others", own["id"]), F.lit(False))
+        good = new & close(config, F.col, lambda x: own[x])
+        return F.max(F.when(good, F.struct(own["weight"], own["id"])))
+
+    met = told.filter("rest").join(leaders, "bucket").join(asked, "id", "left").groupBy("id").agg(
+        best("inside").alias("one"), best("outside").alias("two"))
+    return met.select("id", F.explode(F.array_compact(F.array("one.id", "two.id"))).alias("other"))
 
 
 def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -416,14 +419,19 @@ def members(data: DataFrame, config: NearConfig) -> DataFrame:
     weighed = groups.groupBy("id").agg(F.sum("size").alias("weight"))
     large = materialize(groups.filter(F.col("size") > config.small).join(weighed, "id").select(
         "bucket", "id", "n", "u", "weight"), "large-groups")
-    done = None
+    met = data.sparkSession.createDataFrame([], "id long, other long")
+    done = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
     for turn in range(config.rounds + 1):
         told = materialize(rest_of(large, roots), "rest")
         if not told.take(1):
             break
         if turn < config.rounds:
-            pairs = materialize(leader_pairs(told, done, config), "pairs")
-            done = pairs if done is None else done.unionByName(pairs)
+            # At most two others a text and round.
+            asked = met.groupBy("id").agg(F.collect_list("other").alias("others"))
+            fresh = materialize(leader_pairs(told, asked, config), "pairs")
+            met = met.unionByName(fresh)
+            done = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+            pairs = fresh.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         else:
             pairs = materialize(rest_pairs(told, roots, texts, config).join(done, ["a", "b"], "left_anti"), "pairs")
         roots = joined(roots, verified(pairs, texts, config))
