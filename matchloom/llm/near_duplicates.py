@@ -220,13 +220,14 @@ def small_pairs(groups: DataFrame, config: NearConfig) -> DataFrame:
         F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
-def rest_of(large: DataFrame, roots: DataFrame) -> DataFrame:
+def rest_of(large: DataFrame, roots: DataFrame | None) -> DataFrame:
     """``large(bucket, id, n, u, weight)`` with the root of each text and whether it is outside its group's main component.
 
     That is the one with the most texts there, then the one with the heaviest text; groups that are one component
-    go. All groups follow one order of texts, so related groups agree on their leaders.
+    go. All groups follow one order of texts, so related groups agree on their leaders. Without ``roots`` each
+    text is a component.
     """
-    tied = large.join(roots, "id")
+    tied = large.withColumn("root", F.col("id")) if roots is None else large.join(roots, "id")
     most = tied.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.max("weight").alias("w")).groupBy("bucket").agg(
         F.max(F.struct("c", "w", "root")).alias("m"), F.count("*").alias("parts")).filter("parts > 1").select(
         "bucket", F.col("m.root").alias("main"))
@@ -416,13 +417,15 @@ def members(data: DataFrame, config: NearConfig) -> DataFrame:
         data.join(wanted, "key").groupBy("id").agg(F.first("text").alias("text")), "candidate-texts")
     roots = joined(texts.select("id", F.col("id").alias("root")),
                    verified(materialize(small_pairs(groups, config), "pairs"), texts, config))
-    weighed = groups.groupBy("id").agg(F.sum("size").alias("weight"))
-    large = materialize(groups.filter(F.col("size") > config.small).join(weighed, "id").select(
-        "bucket", "id", "n", "u", "weight"), "large-groups")
+    # A text is in as many groups as it has sketches, at most.
+    weighed = groups.groupBy("id").agg(F.first("n").alias("n"), F.first("u").alias("u"), F.sum("size").alias("weight"),
+                                       F.collect_list(F.when(F.col("size") > config.small, F.col("bucket"))).alias("buckets"))
+    large = materialize(weighed.select(F.explode("buckets").alias("bucket"), "id", "n", "u", "weight"), "large-groups")
     met = data.sparkSession.createDataFrame([], "id long, other long")
     done = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
     for turn in range(config.rounds + 1):
-        told = materialize(rest_of(large, roots), "rest")
+        # Links within small groups say little about large ones: they count from the second round on.
+        told = materialize(rest_of(large, roots if turn else None), "rest")
         if not told.take(1):
             break
         if turn < config.rounds:
