@@ -20,12 +20,16 @@ class MatchConfig:
 
     ``max_terms`` is the number of TF-IDF terms a pair may use; by default all of them.
     ``semantic`` off scores that part 0 and leaves the other weights as they are.
+    Resumes of at most ``index_rows`` rows and ``index_entries`` terms, keywords and vector entries are sent to
+    every task as an index that jobs are scored against where they are read; 0 rows turns that off.
     """
 
     weights: Mapping[str, float] = field(default_factory=lambda: dict(DEFAULT_WEIGHTS))
     threshold: float = DEFAULT_THRESHOLD
     semantic: bool = True
     max_terms: int | None = None
+    index_rows: int = 4096
+    index_entries: int = 1 << 20
     stop_words: Sequence[str] = tuple(lexicon.STOP_WORDS)
     tfidf_stop_words: Sequence[str] = tuple(lexicon.STOP_WORDS)
     skill_tag_groups: Sequence[Sequence[str]] = lexicon.SKILL_TAG_GROUPS

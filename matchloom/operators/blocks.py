@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,22 +33,67 @@ STEP = 1 << 21  # joined entries held at a time inside a cell
 SCHEMA = "r string, j string, " + ", ".join(f"{c} long" for c in SUMS) + ", capped double"
 
 
-def _shared(left, right, shape):
-    """Sums over equal terms of ``(rows, terms, tf)`` on both sides, as matrices.
+class Encoded:
+    """Entries ``(row, term, tf)`` of some documents with a number for each term."""
 
-    Returns the count, the products and the squares of either side.
-    """
-    (rows1, terms1, tf1), (rows2, terms2, tf2) = left, right
+    def __init__(self, rows: np.ndarray, terms: pa.Array, tf: np.ndarray):
+        encoded = terms.dictionary_encode(null_encoding="encode")
+        self.rows, self.tf = rows, tf
+        self.codes, self.terms = encoded.indices.to_numpy(), encoded.dictionary.to_pylist()
+
+    @cached_property
+    def places(self) -> dict[str | None, int]:
+        return {t: n for n, t in enumerate(self.terms)}
+
+    @cached_property
+    def by_term(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries in the order of their terms; where each term starts there, and how many it has."""
+        counts = np.bincount(self.codes, minlength=len(self.terms))
+        return np.argsort(self.codes, kind="stable"), np.cumsum(counts) - counts, counts
+
+
+class Side:
+    """Documents in the form a cell scores them; what is made of them is made once."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table
+        self._unit: dict[int, np.ndarray] = {}
+
+    @cached_property
+    def keywords(self) -> Encoded:
+        return Encoded(*_entries(self.table, KEYWORD))
+
+    @cached_property
+    def terms(self) -> Encoded:
+        return Encoded(*_entries(self.table, TERM))
+
+    @cached_property
+    def skills(self) -> Encoded:
+        rows, items = list_items(self.table["skills"])
+        return Encoded(rows, items, np.ones(len(rows)))
+
+    @cached_property
+    def widths(self) -> np.ndarray:
+        return np.bincount(list_items(self.table["vec"])[0], minlength=self.table.num_rows)
+
+    def unit_vectors(self, width: int) -> np.ndarray:
+        if width not in self._unit:
+            self._unit[width] = _unit_vectors(self.table, width)
+        return self._unit[width]
+
+    def column(self, name: str) -> np.ndarray:
+        return self.table[name].to_numpy().astype(float)
+
+
+def _shared(left: Encoded, right: Encoded, shape) -> np.ndarray:
+    """Sums over equal terms, as matrices: the count, the products and the squares of either side."""
+    order, starts, counts = left.by_term
     out = np.zeros((4, shape[0] * shape[1]))
-    codes = pa.concat_arrays([terms1, terms2]).dictionary_encode().indices.to_numpy()
-    code1, code2 = codes[: len(rows1)], codes[len(rows1):]
-    size = int(codes.max()) + 1 if len(codes) else 0
-    counts = np.bincount(code1, minlength=size)
-    order = np.argsort(code1, kind="stable")
-    starts = np.concatenate([[0], np.cumsum(counts)])[:-1]
-    hit = counts[code2] > 0 if size else np.zeros(0, bool)
-    rows2, code2, tf2 = rows2[hit], code2[hit], tf2[hit]
-    n = counts[code2] if size else np.zeros(0, int)
+    place = np.array([left.places.get(t, -1) for t in right.terms], np.int64)
+    code2 = place[right.codes]
+    hit = code2 >= 0
+    rows2, code2, tf2 = right.rows[hit], code2[hit], right.tf[hit]
+    n = counts[code2]
     ends = np.cumsum(n)
     begin = 0
     while begin < len(n):
@@ -56,8 +102,8 @@ def _shared(left, right, shape):
         reps = n[begin:end]
         first = np.repeat(starts[code2[begin:end]] - (ends[begin:end] - reps - done), reps)
         at = order[first + np.arange(reps.sum())]
-        a, b = tf1[at], np.repeat(tf2[begin:end], reps)
-        pair = rows1[at] * shape[1] + np.repeat(rows2[begin:end], reps)
+        a, b = left.tf[at], np.repeat(tf2[begin:end], reps)
+        pair = left.rows[at] * shape[1] + np.repeat(rows2[begin:end], reps)
         for k, value in enumerate((None, a * b, a * a, b * b)):
             out[k] += np.bincount(pair, weights=value, minlength=out.shape[1])
         begin = end
@@ -71,15 +117,6 @@ def _entries(table: pa.Table, kind: int):
     return rows[keep], items.field("term").filter(pa.array(keep)), tf
 
 
-def _skills(table: pa.Table):
-    rows, items = list_items(table["skills"])
-    return rows, items, np.ones(len(rows))
-
-
-def _widths(table: pa.Table) -> np.ndarray:
-    return np.bincount(list_items(table["vec"])[0], minlength=table.num_rows)
-
-
 def _unit_vectors(table: pa.Table, width: int) -> np.ndarray:
     """One row per document, zeros where it has no vector."""
     rows, items = list_items(table["vec"])
@@ -92,69 +129,85 @@ def _unit_vectors(table: pa.Table, width: int) -> np.ndarray:
     return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 
 
-def _column(table: pa.Table, name: str) -> np.ndarray:
-    return table[name].to_numpy().astype(float)
-
+def pair_scorer(config: MatchConfig, threshold: float, top_n: int | None):
+    """Function of two sides: row numbers, sums and capped scores of the pairs that may be in the result.
 
-def cell_scorer(config: MatchConfig, threshold: float, top_n: int | None):
-    """Function of one cell: the sums of the pairs that may be in the result."""
+    The right side is in key order. ``best``, if given, has the ``top_n`` highest totals of each left row that
+    earlier calls are sure of, in hundredths rounded down; pairs below them are left out, and it is brought up to date.
+    """
     w = {p: config.weight(p) for p in ("keyword", "tfidf", "semantic", "skills")}
     cap, semantic = config.max_terms, config.semantic
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("key")
-        shape = (left.num_rows, right.num_rows)
-        if 0 in shape:
-            return pa.table({"r": pa.array([], pa.string()), "j": pa.array([], pa.string()),
-                             **{c: pa.array([], pa.int64()) for c in SUMS}, "capped": pa.array([], pa.float64())})
-        kw = _shared(_entries(left, KEYWORD), _entries(right, KEYWORD), shape)[0]
-        shared, dot, s1, s2 = _shared(_entries(left, TERM), _entries(right, TERM), shape)
-        met = _shared(_skills(left), _skills(right), shape)[0]
+    def score(left: Side, right: Side, best: np.ndarray | None = None):
+        shape = (left.table.num_rows, right.table.num_rows)
+        kw = _shared(left.keywords, right.keywords, shape)[0]
+        shared, dot, s1, s2 = _shared(left.terms, right.terms, shape)
+        met = _shared(left.skills, right.skills, shape)[0]
 
         def divide(a, b):
             return np.divide(a, b, out=np.zeros(shape), where=b > 0)
 
-        n_kw1, n_kw2 = _column(left, "n_kw")[:, None], _column(right, "n_kw")[None, :]
+        n_kw1, n_kw2 = left.column("n_kw")[:, None], right.column("n_kw")[None, :]
         m1 = np.where(n_kw2 > 0, divide(kw, n_kw1 + n_kw2 - kw), 0.0)
-        mass1, mass2 = _column(left, "mass")[:, None], _column(right, "mass")[None, :]
+        mass1, mass2 = left.column("mass")[:, None], right.column("mass")[None, :]
         norms = (K2 * mass1 - (K2 - 1) * s1) * (K2 * mass2 - (K2 - 1) * s2)
         m2_low = m2_high = divide(dot, np.sqrt(np.maximum(norms, 0)))
         over = np.zeros(shape, bool)
         if cap is not None:
-            terms = _column(left, "n_terms")[:, None] + _column(right, "n_terms")[None, :]
+            terms = left.column("n_terms")[:, None] + right.column("n_terms")[None, :]
             over = terms - shared > cap
             most = np.maximum(s1, s2)
             bound = np.sqrt(divide(most, K2 * np.maximum(cap - shared, 0) + most))
             m2_low, m2_high = np.where(over, 0.0, m2_low), np.where(over, bound, m2_high)
-        lengths = right["skills"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        lengths = np.bincount(right.skills.rows, minlength=shape[1])
         required = np.broadcast_to(lengths.astype(float)[None, :], shape)
         m4 = np.where(required > 0, divide(met, required), 1.0)
         m3 = 0.0
         if semantic:  # vectors of different lengths have cosine 0, as missing ones do
-            widths = _widths(left), _widths(right)
-            width = int(max(widths[0].max(), widths[1].max(), 1))
-            m3 = np.where(widths[0][:, None] == widths[1][None, :],
-                          _unit_vectors(left, width) @ _unit_vectors(right, width).T, 0.0)
+            width = int(max(left.widths.max(), right.widths.max(), 1))
+            m3 = np.where(left.widths[:, None] == right.widths[None, :],
+                          left.unit_vectors(width) @ right.unit_vectors(width).T, 0.0)
         rest = w["keyword"] * m1 + w["semantic"] * m3 + w["skills"] * m4
         low = np.minimum((rest + w["tfidf"] * m2_low) * 100, 100)
         high = np.minimum((rest + w["tfidf"] * m2_high) * 100, 100)
-        capped = _settle(left, right, over, low, high, rest, w["tfidf"], cap, threshold, top_n)
+        capped = _settle(left.table, right.table, over, low, high, rest, w["tfidf"], cap, threshold, top_n, best)
         keep = high >= threshold - SLACK
+        if best is not None:
+            keep &= np.ceil(np.where(keep, high, 0.0) * 100) >= best.min(axis=1)[:, None]
         if top_n is not None and shape[1] > top_n:
             keep &= _may_be_top(low, high, keep, top_n)
+        if best is not None:
+            sure = np.where(keep & (low >= threshold + SLACK), low, -np.inf)
+            every = np.concatenate([best, np.floor(sure * 100)], axis=1)
+            best[:] = np.partition(every, every.shape[1] - top_n, axis=1)[:, -top_n:]
         r, j = np.nonzero(keep)
-        sums = dict(zip(SUMS, (kw, shared, dot, s1, s2)))
+        sums = {c: np.rint(m[r, j]).astype(np.int64) for c, m in zip(SUMS, (kw, shared, dot, s1, s2))}
+        return r, j, sums, capped[r, j]
+
+    return score
+
+
+def cell_scorer(config: MatchConfig, threshold: float, top_n: int | None):
+    """Function of one cell: the sums of the pairs that may be in the result."""
+    pairs = pair_scorer(config, threshold, top_n)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if 0 in (left.num_rows, right.num_rows):
+            return pa.table({"r": pa.array([], pa.string()), "j": pa.array([], pa.string()),
+                             **{c: pa.array([], pa.int64()) for c in SUMS}, "capped": pa.array([], pa.float64())})
+        right = right.sort_by("key")
+        r, j, sums, capped = pairs(Side(left), Side(right))
         return pa.table({
             "r": left["key"].combine_chunks().take(pa.array(r)),
             "j": right["key"].combine_chunks().take(pa.array(j)),
-            **{c: pa.array(np.rint(m[r, j]).astype(np.int64)) for c, m in sums.items()},
-            "capped": pa.array(capped[r, j], mask=np.isnan(capped[r, j])),
+            **{c: pa.array(m) for c, m in sums.items()},
+            "capped": pa.array(capped, mask=np.isnan(capped)),
         })
 
     return score
 
 
-def _settle(left, right, over, low, high, rest, weight, cap, threshold, n) -> np.ndarray:
+def _settle(left, right, over, low, high, rest, weight, cap, threshold, n, before=None) -> np.ndarray:
     """Exact scores of the pairs over the limit on terms, best bound first; NaN for all others.
 
     ``low`` and ``high`` become the exact total, or minus infinity for pairs that can't be in the result: once
@@ -169,9 +222,11 @@ def _settle(left, right, over, low, high, rest, weight, cap, threshold, n) -> np
     for r in np.flatnonzero(open_pairs.any(axis=1)):
         at = np.flatnonzero(open_pairs[r])
         at = at[np.argsort(-high[r, at], kind="stable")]
-        best: list[float] = []  # the n best totals so far, in hundredths rounded down
+        best: list[float] = []  # the n best totals so far, in hundredths rounded down, those of ``before`` among them
         if n is not None:
             known = np.floor(low[r, ~over[r] & (low[r] >= threshold - SLACK)] * 100)
+            if before is not None:
+                known = np.concatenate([known, before[r, np.isfinite(before[r])]])
             best = np.sort(known)[::-1][:n].tolist()
             heapq.heapify(best)
         for k, j in enumerate(at.tolist()):

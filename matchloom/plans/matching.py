@@ -10,6 +10,7 @@ from matchloom.functions.skills import matched_skills, skill_coverage
 from matchloom.functions.text import computed_once
 from matchloom.operators.blocks import block_sums
 from matchloom.operators.capped import capped_tfidf
+from matchloom.operators.index import fits_index, index_sums
 from matchloom.operators.keys import null_safe_lookup, top_per_key
 from matchloom.operators.scoring import (
     SLACK, capped_bound, keyword_score, tfidf_score, total_score, vector_cosine,
@@ -34,18 +35,22 @@ def score_pairs(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame, config: M
 
     The threshold is applied to the total as computed, rounding comes after.
     """
-    light = ["n_kw", "n_terms", "mass", "skills", "vec"]
-    left, right = (
-        side.select(F.col("key").alias(key), *[F.col(c).alias(f"{c}{n}") for c in light])
-        for side, key, n in ((resumes, "r", 1), (jobs, "j", 2)))
+    joined = pairs
+    if "n_kw1" not in pairs.columns:  # pairs from an index bring what is needed of both sides
+        light = ["n_kw", "n_terms", "mass", "skills", "vec"]
+        left, right = (
+            side.select(F.col("key").alias(key), *[F.col(c).alias(f"{c}{n}") for c in light])
+            for side, key, n in ((resumes, "r", 1), (jobs, "j", 2)))
+        joined = pairs.join(left, "r").join(right, "j")
+    listed = [c for c in ("listed1", "listed2") if c in pairs.columns]
     c = F.col
     semantic = vector_cosine(c("vec1"), c("vec2")) if config.semantic else F.lit(0.0)
     tfidf = tfidf_score(c("dot"), c("s1"), c("s2"), c("mass1"), c("mass2"))
     settled = "capped" in pairs.columns  # pairs over the limit on terms bring their score
     if settled:
         tfidf = F.coalesce("capped", tfidf)
-    scored = pairs.join(left, "r").join(right, "j").select(
-        "r", "j", "s1", "s2", "shared",
+    scored = joined.select(
+        "r", "j", "s1", "s2", "shared", *listed,
         (c("n_terms1") + c("n_terms2") - c("shared")).alias("n_terms"),
         computed_once(
             keyword_score(c("kw_shared"), c("n_kw1"), c("n_kw2")).alias("keyword"),
@@ -55,7 +60,7 @@ def score_pairs(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame, config: M
         ),
     )
     total = total_score(c("keyword"), c("tfidf"), c("semantic"), c("skills"), config)
-    parts = ["r", "j", "keyword", "tfidf", "semantic", "skills"]
+    parts = ["r", "j", "keyword", "tfidf", "semantic", "skills", *listed]
     if config.max_terms is None or settled:
         done = scored.select(*parts)
     else:
@@ -112,28 +117,36 @@ def score_matches(
     if left is None:
         left = prepare_resumes(resumes, config, resume_vectors=resume_vectors,
                                resume_entities=resume_entities, encoder=encoder)
-    right = materialize(
-        job_side(jobs, config, job_vectors if config.semantic else None, job_entities,
-                 encoder if config.semantic else None), "job-side")
+    right = job_side(jobs, config, job_vectors if config.semantic else None, job_entities,
+                     encoder if config.semantic else None)
     need = text_need(config, threshold)
-    if need > 0:
-        pairs = pruned_sums(left, right, config, need)
+    indexed = fits_index(left, config)
+    if indexed:  # the jobs are read once and go nowhere
+        pairs = index_sums(left, right, config, threshold, top_n)
     else:
-        pairs = block_sums(left, right, config, threshold, top_n)
+        right = materialize(right, "job-side")
+        if need > 0:
+            pairs = pruned_sums(left, right, config, need)
+        else:
+            pairs = block_sums(left, right, config, threshold, top_n)
     scored = score_pairs(pairs, left, right, config, threshold).select(
         F.when(F.col("j") != "", F.expr("substring(j, 2)")).alias("job_id"),
         F.col("r").alias("resume_file"), "r", "j",
         F.round("total", 2).alias("match_score"),
         F.struct("keyword", "tfidf", "semantic", "skills").alias("score_breakdown"),
+        *(["listed1", "listed2"] if indexed else []),
     )
     if top_n is not None:
         scored = top_per_key(scored, ["resume_file"], by_score(), top_n)
-    listed1 = left.select(F.col("key").alias("r"), F.col("listed").alias("listed1"))
-    listed2 = right.select(F.col("key").alias("j"), F.col("listed").alias("listed2"))
-    keep = ["job_id", "resume_file", "match_score", "score_breakdown"]
-    return scored.join(listed1, "r").join(listed2, "j").select(
-        *keep, matched_skills(F.col("listed1"), F.col("listed2")).alias("matched_skills"),
+    if not indexed:
+        scored = scored.join(left.select(F.col("key").alias("r"), F.col("listed").alias("listed1")), "r").join(
+            right.select(F.col("key").alias("j"), F.col("listed").alias("listed2")), "j")
+    found = scored.select(
+        "job_id", "resume_file", "match_score", "score_breakdown",
+        matched_skills(F.col("listed1"), F.col("listed2")).alias("matched_skills"),
         *(["rank"] if top_n is not None else []))
+    # As a table, few matches have a known size: look-ups send them to the job rows, not those to them.
+    return materialize(found, "matches") if indexed else found
 
 
 def match_records(matches: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -101,6 +101,8 @@ def frames(spark, resumes, jobs):
 
 
 def config_of(weights, **more):
+    """Without the index that small resume sides get by default, so that the other routes run."""
+    more = {"index_rows": 0, **more}
     return MatchConfig(weights=dict(zip(("keyword", "tfidf", "semantic", "skills"), weights)),
                        stop_words=STOP, tfidf_stop_words=STOP, skill_tag_groups=GROUPS, **more)
 
