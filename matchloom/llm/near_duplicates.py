@@ -329,12 +329,20 @@ def bare(tokens: list[str], known: WordHashes, config: NearConfig) -> np.ndarray
     return np.unique(hashed(np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens)), config.shingle))
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """In 1,024 slots, whether the number of shingles is odd, as 16 numbers. Two texts differ in at most as many
+    bits as in shingles."""
+    odd = np.bincount((tokens >> np.uint64(40)).astype(np.int64) & 1023, minlength=1024) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def rare_shingles(texts: DataFrame, config: NearConfig) -> DataFrame:
-    """``(id, root, rest, kind, size, at, token)``: the rarest shingles of each of ``texts(id, text, root, rest)``.
+    """``(id, root, rest, kind, size, at, token, bits)``: the rarest shingles of each of ``texts(id, text, root, rest)``.
 
     Two sets of shares from ``config.similarity`` on have one of these in common, in any order of
     shingles that all texts follow. Kind 0: distinct shingles; kind 1: labelled ones, of texts that
-    repeat some (if one of two texts repeats none, the distinct ones share no less).
+    repeat some (if one of two texts repeats none, the distinct ones share no less). ``bits`` are the
+    parities of the whole set.
     """
     counts = texts.sparkSession.sparkContext.broadcast(order_counts(texts, config))
     least = config.similarity
@@ -343,6 +351,7 @@ def rare_shingles(texts: DataFrame, config: NearConfig) -> DataFrame:
         known = WordHashes()
         for part in slices(batches, "text", 200_000):
             out: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
+            bits = []
             for name, text, root, rest in zip(*(c.to_pylist() for c in part.columns)):
                 for kind, tokens in enumerate(token_sets(text, known, config)):
                     size = len(tokens)
@@ -352,29 +361,14 @@ def rare_shingles(texts: DataFrame, config: NearConfig) -> DataFrame:
                     for column, x in zip(out, (np.full(n, name), np.full(n, root), np.full(n, rest), np.full(n, kind),
                                                np.full(n, size), np.arange(n), first.view(np.int64))):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out],
-                                             ["id", "root", "rest", "kind", "size", "at", "token"])
+                    bits.append(np.tile(parities(tokens), n))
+            flat = np.concatenate(bits)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 16), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in out), lists],
+                                             ["id", "root", "rest", "kind", "size", "at", "token", "bits"])
 
     return texts.select("id", "text", "root", "rest").mapInArrow(
-        run, "id long, root long, rest boolean, kind long, size long, at long, token long")
-
-
-def parities(texts: DataFrame, config: NearConfig) -> DataFrame:
-    """``(id, kind, size, bits)``: in 1,024 slots, whether the number of shingles is odd. Two texts differ in
-    at most as many bits as in shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for part in slices(batches, "text"):
-            rows = []
-            for name, text in zip(*(c.to_pylist() for c in part.columns)):
-                for kind, tokens in enumerate(token_sets(text, known, config)):
-                    odd = np.bincount((tokens >> np.uint64(40)).astype(np.int64) & 1023, minlength=1024) & 1
-                    rows.append((name, kind, len(tokens), np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
-                zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["id", "kind", "size", "bits"])
-
-    return texts.select("id", "text").mapInArrow(run, "id long, kind long, size long, bits array<long>")
+        run, "id long, root long, rest boolean, kind long, size long, at long, token long, bits array<long>")
 
 
 def rest_pairs(told: DataFrame, roots: DataFrame, texts: DataFrame, config: NearConfig) -> DataFrame:
@@ -383,22 +377,21 @@ def rest_pairs(told: DataFrame, roots: DataFrame, texts: DataFrame, config: Near
     asked = told.groupBy("id").agg(F.max("rest").alias("rest")).join(roots, "id")
     held = materialize(texts.join(asked, "id"), "rest-texts")
     rare = materialize(rare_shingles(held, config), "rare-shingles")
-    other = rare.select("kind", "token", *[F.col(c).alias(f"{c}2") for c in ("id", "root", "size", "at")])
+    mine = rare.filter("rest").drop("rest")
+    other = rare.select(*[F.col(c).alias(f"{c}2") for c in mine.columns])
 
     def enough(common: Column) -> Column:
         return common * (1 + least) >= (F.col("size") + F.col("size2")) * least - 1e-6
 
-    # The first one in common stands so early on both sides that what follows suffices.
-    met = (rare.filter("rest").join(other, ["kind", "token"]).filter("root != root2")
-           .filter(enough(F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2"))))
-           .select("kind", F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
-    bits = materialize(parities(held, config), "parities")
-    one, two = (bits.select("kind", F.col("id").alias(x), F.col("size").alias(f"size{y}"), F.col("bits").alias(f"bits{y}"))
-                for x, y in (("a", ""), ("b", "2")))
+    # The first one in common stands so early on both sides that what follows suffices; the parities tell
+    # how many shingles the two differ in at least.
     apart = reduce(lambda x, y: x + y, [F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits2", F.lit(i))))
                                         for i in range(16)])
-    both = materialize(met, "rest-met").join(one, ["kind", "a"]).join(two, ["kind", "b"])
-    return both.filter(enough((F.col("size") + F.col("size2") - apart) / 2)).select("a", "b").distinct()
+    met = mine.join(other, (F.col("kind") == F.col("kind2")) & (F.col("token") == F.col("token2"))
+                    & (F.col("root") != F.col("root2"))
+                    & enough(F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2")))
+                    & enough((F.col("size") + F.col("size2") - apart) / 2))
+    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
 def members(data: DataFrame, config: NearConfig) -> DataFrame:
