@@ -9,9 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from matchloom import lexicon
+from matchloom.functions import lexicons
 from matchloom.functions.text import bind, or_empty, string_array
 
 
+AUTOMATON_FROM = 256  # terms from which on a lexicon is an automaton, not an expression per term
+
+
 def escape_term(term: str) -> str:
     """Quote what a regular expression would read as syntax (Java and RE2 alike)."""
     return re.sub(r"([.+*?^$()\[\]{}|\\])", r"\\\1", term)
@@ -27,14 +31,22 @@ def _guarded(terms: Sequence[str]) -> str:
 
 
 def skill_tags(text: Column, groups: Sequence[Sequence[str]] = lexicon.SKILL_TAG_GROUPS) -> Column:
-    """Listed terms that stand as whole words in the text, each once."""
-    return bind(F.lower(F.coalesce(text, F.lit(""))), lambda lowered: F.array_distinct(F.concat(
-        *[F.regexp_extract_all(lowered, F.lit(_guarded(g)), F.lit(1)) for g in groups])))
+    """Listed terms that stand as whole words in the text, each once. Large groups of terms take an automaton."""
+    small = [g for g in groups if len(g) < AUTOMATON_FROM]
+    if len(small) == len(groups):
+        return bind(F.lower(F.coalesce(text, F.lit(""))), lambda lowered: F.array_distinct(F.concat(
+            *[F.regexp_extract_all(lowered, F.lit(_guarded(g)), F.lit(1)) for g in groups])))
+    lowered = F.lower(F.coalesce(text, F.lit("")))  # a function of Python can't be inside a lambda
+    return F.array_distinct(F.concat(*[
+        F.regexp_extract_all(lowered, F.lit(_guarded(g)), F.lit(1)) if len(g) < AUTOMATON_FROM
+        else lexicons.whole_words(lowered, g) for g in groups]))
 
 
 def skill_substrings(text: Column, terms: Sequence[str] = lexicon.SKILL_SUBSTRINGS) -> Column:
-    """Listed terms that occur anywhere in the text, inside words too."""
+    """Listed terms that occur anywhere in the text, inside words too. A large list takes an automaton."""
     unique = list(dict.fromkeys(terms))
+    if len(unique) >= AUTOMATON_FROM:
+        return lexicons.substrings(F.lower(F.coalesce(text, F.lit(""))), unique)
     hits = bind(F.lower(F.coalesce(text, F.lit(""))), lambda lowered: F.array(
         *[F.when(F.contains(lowered, F.lit(t)), F.lit(t)) for t in unique]))
     return F.array_compact(hits)
