@@ -28,9 +28,10 @@ from matchloom.functions import skills as sk
 from matchloom.functions.text import (
     join_text, keyword_set, or_empty, string_array, term_counts, tokens, unigrams_and_bigrams,
 )
+from matchloom.operators.vectors import VectorTable
 
 KEYWORD, TERM = 0, 1
-Encoder = Callable[[Column], Column]
+Encoder = Callable[[Column], Column] | VectorTable
 
 
 def job_key(job_id: Column | str) -> Column:
@@ -93,6 +94,8 @@ def _attach(docs: DataFrame, key: Callable[[str], Column], id_column: str,
         # One vector per document; of several the smallest.
         docs = docs.join(
             vectors.groupBy(key(id_column).alias("key")).agg(F.min("embedding").alias("vec")), "key", "left")
+    elif isinstance(encoder, VectorTable):
+        docs = encoder.attach(docs, "match_text")
     elif encoder is not None:
         docs = docs.withColumn("vec", encoder(F.col("match_text")))
     else:

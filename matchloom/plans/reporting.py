@@ -34,10 +34,14 @@ def company_counts(jobs: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
+def first_companies(counts: DataFrame, n: int) -> DataFrame:
+    """The ``n`` largest of ``counts(company, match_count)``; ties by name, NULL first."""
+    return counts.orderBy(F.desc("match_count"), F.asc_nulls_first("company")).limit(n)
+
+
 def top_companies(jobs: DataFrame, matches: DataFrame, n: int = 5) -> DataFrame:
     """The ``n`` companies with the most matches; ties by name, NULL first."""
-    return company_counts(jobs, matches).orderBy(
-        F.desc("match_count"), F.asc_nulls_first("company")).limit(n)
+    return first_companies(company_counts(jobs, matches), n)
 
 
 def match_totals(jobs: DataFrame, matches: DataFrame) -> DataFrame:
@@ -58,16 +62,20 @@ def match_totals(jobs: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
-def statistics(jobs: DataFrame, matches: DataFrame, n: int = 5) -> DataFrame:
-    """Totals and the top companies ``array<struct<name, count>>`` in one row."""
-    companies = top_companies(jobs, matches, n).agg(
+def with_companies(totals: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    """One row of totals with the top companies ``array<struct<name, count>>``."""
+    companies = first_companies(counts, n).agg(
         F.sort_array(F.collect_list(F.struct(
             (-F.col("match_count")).alias("order"), F.col("company").alias("name")))).alias("c")
     ).select(F.lit(1).alias("_one"), F.transform(
         "c", lambda x: F.struct(x["name"].alias("name"), (-x["order"]).alias("count")))
         .alias("top_companies"))
-    totals = match_totals(jobs, matches).withColumn("_one", F.lit(1))
-    return totals.join(companies, "_one").drop("_one")
+    return totals.withColumn("_one", F.lit(1)).join(companies, "_one").drop("_one")
+
+
+def statistics(jobs: DataFrame, matches: DataFrame, n: int = 5) -> DataFrame:
+    """Totals and the top companies ``array<struct<name, count>>`` in one row."""
+    return with_companies(match_totals(jobs, matches), company_counts(jobs, matches), n)
 
 
 def statistics_text(stats: DataFrame, now: Column, title: str = "MATCH REPORT") -> DataFrame:
