@@ -221,13 +221,15 @@ def small_pairs(groups: DataFrame, config: NearConfig) -> DataFrame:
 
 
 def rest_of(large: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """``large(bucket, id, n, u, weight)`` with the root of each text and whether it is outside its group's main component.
+    """``(bucket, id, n, u, weight, root, rest)`` of the groups of ``large(buckets, id, n, u, weight)``, one row a text
+    there: the root of each text and whether it is outside its group's main component.
 
     That is the one with the most texts there, then the one with the heaviest text; groups that are one component
     go. All groups follow one order of texts, so related groups agree on their leaders. Without ``roots`` each
     text is a component.
     """
-    tied = large.withColumn("root", F.col("id")) if roots is None else large.join(roots, "id")
+    named = large.withColumn("root", F.col("id")) if roots is None else large.join(roots, "id")
+    tied = named.select(F.explode("buckets").alias("bucket"), "id", "n", "u", "weight", "root")
     most = tied.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.max("weight").alias("w")).groupBy("bucket").agg(
         F.max(F.struct("c", "w", "root")).alias("m"), F.count("*").alias("parts")).filter("parts > 1").select(
         "bucket", F.col("m.root").alias("main"))
@@ -413,7 +415,7 @@ def members(data: DataFrame, config: NearConfig) -> DataFrame:
     # A text is in as many groups as it has sketches, at most.
     weighed = groups.groupBy("id").agg(F.first("n").alias("n"), F.first("u").alias("u"), F.sum("size").alias("weight"),
                                        F.collect_list(F.when(F.col("size") > config.small, F.col("bucket"))).alias("buckets"))
-    large = materialize(weighed.select(F.explode("buckets").alias("bucket"), "id", "n", "u", "weight"), "large-groups")
+    large = materialize(weighed.filter(F.size("buckets") > 0), "large-groups")
     met = data.sparkSession.createDataFrame([], "id long, other long")
     done = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
     for turn in range(config.rounds + 1):
