@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from matchloom.config import MatchConfig
+from matchloom.operators.best import BestTable
 from matchloom.operators.shared import temporary
 from matchloom.operators.store import Store
 from matchloom.plans import runs
@@ -80,6 +81,21 @@ def match_stream(rows: DataFrame, store: Store, resumes: DataFrame, config: Matc
     return _start(rows, handle, checkpoint)
 
 
+def best_stream(rows: DataFrame, table: BestTable, checkpoint: str,
+                shaped: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Keep the best rows per key of a stream, a version per batch.
+
+    The state is the table, of ``n`` rows a key; a batch that is repeated after a failure replaces its own version.
+    Batches are numbered by the checkpoint, so a table and a checkpoint belong together.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        with temporary(table.spark):
+            table.merge(shaped(batch) if shaped else batch, number)
+
+    return _start(rows, handle, checkpoint)
+
+
 def window_counts(matches: DataFrame, length: str = "7 days", late: str = "1 day") -> DataFrame:
     """Matches and mean score per tumbling window of ``created_at``.
 

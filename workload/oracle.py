@@ -568,3 +568,6 @@ SELECT page_id, 'Dev ' || page_id AS title, 'Acme' AS company, '1-2 Yrs' AS expe
        'open_to=n' || page_id || '|role=Lead|team=Core' AS details FROM pages"""
 ORACLE["digest_header"] = with_(MATCHES, JOBS, SCORED) + f"""
 SELECT count(*) AS n_matches, count(DISTINCT resume_file) AS n_resumes, '{NOW}' AS created_at FROM scored"""
+ORACLE["stream_best"] = ORACLE["best_by_batch"] = ORACLE["top10_per_resume"]
+ORACLE["statistics_by_batch"] = ORACLE["statistics_record"]
+ORACLE["skill_lexicon_large"] = ORACLE["skill_lexicon"]

@@ -13,11 +13,13 @@ from matchloom.functions import profile, skills as sk
 from matchloom.functions.text import keyword_set, normalize_text
 from matchloom.functions.web import job_id_from_url
 from matchloom.operators import text_pairs
+from matchloom.operators.best import BestTable
 from matchloom.operators.shared import materialize, new_folder
 from matchloom.operators.keys import rank_all as ranked
 from matchloom.operators.sides import KEYWORD, TERM, entity_skills, job_key, text_side
 from matchloom.operators.store import Store, latest_status, matched_jobs, unmatched_jobs, with_applied
 from matchloom.plans import matching, reporting, runs
+from matchloom.plans.running import RunningStatistics
 from matchloom.sources.pages import job_cards, job_details, union_batches
 from matchloom.sources.resumes import parse_resumes
 from matchloom.sources.searches import with_search_url
@@ -560,3 +562,49 @@ def stream_window_counts(spark, sf):
     return spark.read.parquet(path).select(
         clock("window_start").alias("window_start"), clock("window_end").alias("window_end"),
         "n_matches", score("avg_match_score").alias("avg_match_score"))
+
+
+@query
+def stream_best(spark, sf):
+    """The best ten per resume, kept up by a stream of matches."""
+    table = BestTable(spark, new_folder(spark, "best"), ["resume_file"], ["seq"], order, 10)
+    incremental.best_stream(views.as_matches(stream_of(spark, sf, "events")), table,
+                            new_folder(spark, "stream")).awaitTermination()
+    return table.read().select("resume_file", "job_id", "match_score", "seq", F.col("rank").cast("long").alias("rank"))
+
+
+# Kept up by batch ----------------------------------------------------------------------
+
+
+def by_time(found: DataFrame) -> list[DataFrame]:
+    """Matches as three batches by their time."""
+    at = F.col("created_at")
+    early, middle = (F.lit(t).cast("timestamp") for t in (views.EARLY, views.MIDDLE))
+    return [found.where(at < early), found.where((at >= early) & (at < middle)), found.where((at >= middle) | at.isNull())]
+
+
+@query
+def best_by_batch(spark, sf):
+    table = BestTable(spark, new_folder(spark, "best"), ["resume_file"], ["seq"], order, 10)
+    for number, rows in enumerate(by_time(views.matches(spark, sf))):
+        table.merge(rows, number)
+    return table.read().select("resume_file", "job_id", "match_score", "seq", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def statistics_by_batch(spark, sf):
+    """The statistics record from the sums of three batches; all jobs come with the first."""
+    jobs = views.plain_jobs(spark, sf)
+    sums = RunningStatistics(spark, new_folder(spark, "sums"))
+    for number, rows in enumerate(by_time(views.matches(spark, sf))):
+        sums.add(jobs if number == 0 else jobs.limit(0), rows, jobs, str(number))
+    names = F.transform("top_companies", lambda x: F.concat(x["name"], F.lit(":"), x["count"].cast("string")))
+    return sums.statistics().select("total_jobs", "total_matches", score("avg_match_score").alias("avg_match_score"),
+                                    F.array_join(names, ",").alias("top_companies"))
+
+
+@query
+def skill_lexicon_large(spark, sf):
+    """The listed skills among 100,000 terms that an automaton finds; the other terms occur in no text."""
+    terms = (*sk.lexicon.SKILL_SUBSTRINGS, *EXTRA_TERMS, *(f"zq{i}\u2603x" for i in range(100_000)))
+    return views.document_texts(spark, sf).select("doc_id", listed(sk.skill_substrings(body(), terms)).alias("value"))
