@@ -71,9 +71,12 @@ class Encoder:
         fresh, self.seen.fresh = self.seen.fresh, []
         if not fresh:
             return
-        # A pre-token needs no cutting any more: its bytes, written as characters, go to the merges.
-        merge, shown = self.library.model.tokenize, self.shown
-        found = [[t.id for t in merge(p.encode().decode("latin-1").translate(shown))] for p in fresh]
+        # A pre-token needs no cutting any more: its bytes, written as characters, go to the merges. Of the usual
+        # ASCII characters only the blanks are written as others.
+        merge, shown, space, newline = self.library.model.tokenize, self.shown, self.shown[32], self.shown[10]
+        found = [[t.id for t in merge(
+            p.replace(" ", space).replace("\n", newline) if p.isascii()
+            else p.encode().decode("latin-1").translate(shown))] for p in fresh]
         count = np.fromiter(map(len, found), np.int32, len(found))
         flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(count.sum()))
         self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(count, dtype=np.int64) - count])
