@@ -60,8 +60,9 @@ class Codes:
     """Canonical codes: ordered by length, then id."""
 
     def __init__(self, lengths: dict[int, int]):
-        ids = np.array(sorted(lengths, key=lambda i: (lengths[i], i)), np.int64)
-        bits = np.array([lengths[i] for i in ids], np.int64)
+        ids, bits = np.fromiter(lengths, np.int64), np.fromiter(lengths.values(), np.int64)
+        order = np.lexsort((ids, bits))
+        ids, bits = ids[order], bits[order]
         size = int(ids.max()) + 1 if len(ids) else 1
         self.width = int(bits.max()) if len(ids) else 1
         self.bits, self.code = np.zeros(size, np.int64), np.zeros(size, np.int64)
@@ -131,13 +132,22 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1) -> Non
     spark = docs.sparkSession
     ids = materialize(token_ids(docs, vocabulary, end_id), "token-ids")
 
+    def added(total: np.ndarray, held: list[np.ndarray]) -> np.ndarray:
+        found = np.bincount(np.concatenate(held), minlength=len(total))
+        found[: len(total)] += total
+        return found
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for short, long in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = np.bincount(_ids(short, long), minlength=len(total))
-                found[: len(total)] += total
-                total = found
+            held, size = [], 0
+            for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append(_ids(*pair))
+                size += len(held[-1])
+                if size >= BLOCK_IDS:
+                    total, held, size = added(total, held), [], 0
+            if held:
+                total = added(total, held)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())],
                                          ["id", "n"])
