@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,6 +55,46 @@ def null_safe_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def hot_keys(rows: DataFrame, keys: Sequence[str], parts: int = 8) -> DataFrame | None:
+    """``(_hash, _parts)``: hashes of the keys that hold more than half a partition's share of the rows.
+
+    A mergeable sketch of frequent items reads the keys once. At most two keys per shuffle partition can be
+    that frequent, so the result has a bounded size. A key gets as many parts as make each about one in ``parts``
+    of a partition's share. None if there is no such key.
+    """
+    spark = rows.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, top = rows.select(F.xxhash64(*keys).alias("_hash")).agg(
+        F.count("*"), F.expr(f"approx_top_k(_hash, {2 * partitions}, {16 * partitions})")).first()
+    found = [(t["item"], math.ceil(parts * t["count"] * partitions / n))
+             for t in top or () if 2 * t["count"] * partitions > n]
+    return spark.createDataFrame(found, "_hash long, _parts int") if found else None
+
+
+def spread_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+                  counted: DataFrame | None = None) -> DataFrame:
+    """:func:`null_safe_lookup` for keys that many rows of ``left`` share, empty and NULL ones too.
+
+    Rows of a hot key are dealt into parts by all their columns, and the rows of ``right`` with that key are
+    copied once per part; other keys are joined as they are. The copies number at most a few per partition and
+    row of such a key, however large ``left`` is. Every row of ``left`` meets each of its partners once, so the
+    sketch decides about speed only. The keys are read once before, from ``counted`` if ``left`` is no table.
+    """
+    hot = hot_keys(left if counted is None else counted, keys)
+    if hot is None:
+        return null_safe_lookup(left, right, keys, how)
+    hot = F.broadcast(hot)
+
+    def marked(side: DataFrame) -> DataFrame:
+        return side.withColumn("_hash", F.xxhash64(*keys)).join(hot, "_hash", "left").drop("_hash")
+
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns], F.lit("part")), F.coalesce("_parts", F.lit(1)))
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    return null_safe_lookup(
+        marked(left).withColumn("_part", part.cast("int")).drop("_parts"),
+        marked(right).withColumn("_part", copies).drop("_parts"), [*keys, "_part"], how).drop("_part")
+
+
 def rank_all(df: DataFrame, key: str, order: Sequence[Column], rank: str = "rank") -> DataFrame:
     """Every row with its 1-based position in its group, groups of any size.
 

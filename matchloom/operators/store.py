@@ -70,12 +70,15 @@ def new_matches(incoming: DataFrame, existing: DataFrame, order: Sequence[Column
 
 
 def unmatched_jobs(jobs: DataFrame, matches: DataFrame) -> DataFrame:
-    return null_safe_anti(jobs, matches, JOB_KEY)
+    return null_safe_anti(jobs, matches.select(*JOB_KEY).distinct(), JOB_KEY)
 
 
 def matched_jobs(jobs: DataFrame, matches: DataFrame) -> DataFrame:
-    """Jobs with a match: the ``matched`` flag, derived instead of updated."""
-    return null_safe_semi(jobs, matches, JOB_KEY)
+    """Jobs with a match: the ``matched`` flag, derived instead of updated.
+
+    Ids are made distinct where the matches are read, so that a job with very many matches is sent once per task.
+    """
+    return null_safe_semi(jobs, matches.select(*JOB_KEY).distinct(), JOB_KEY)
 
 
 def latest_status(log: DataFrame) -> DataFrame:

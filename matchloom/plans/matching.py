@@ -11,7 +11,7 @@ from matchloom.functions.text import computed_once
 from matchloom.operators.blocks import block_sums
 from matchloom.operators.capped import capped_tfidf
 from matchloom.operators.index import fits_index, index_sums
-from matchloom.operators.keys import null_safe_lookup, top_per_key
+from matchloom.operators.keys import spread_lookup, top_per_key
 from matchloom.operators.scoring import (
     SLACK, capped_bound, keyword_score, tfidf_score, total_score, vector_cosine,
 )
@@ -145,12 +145,13 @@ def score_matches(
         "job_id", "resume_file", "match_score", "score_breakdown",
         matched_skills(F.col("listed1"), F.col("listed2")).alias("matched_skills"),
         *(["rank"] if top_n is not None else []))
-    # As a table, few matches have a known size: look-ups send them to the job rows, not those to them.
-    return materialize(found, "matches") if indexed else found
+    # As a table, matches have a known size: look-ups send few of them to the job rows, not those to them, and
+    # count the keys that many of them share.
+    return materialize(found, "matches")
 
 
 def match_records(matches: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Matches with the fields of their job and resume."""
+    """Matches, a stored table, with the fields of their job and resume."""
     job = jobs.select(
         "job_id", F.col("title").alias("job_title"), "company", "location",
         F.col("url").alias("job_url"), F.struct(*jobs.columns).alias("job_data"))
@@ -158,7 +159,8 @@ def match_records(matches: DataFrame, resumes: DataFrame, jobs: DataFrame) -> Da
         "resume_file",
         F.struct("name", "email", "phone", F.size("skills").alias("skills_count"))
         .alias("resume_data"))
-    joined = null_safe_lookup(null_safe_lookup(matches, job, ["job_id"]), resume, ["resume_file"])
+    joined = spread_lookup(
+        spread_lookup(matches, resume, ["resume_file"]), job, ["job_id"], counted=matches)
     return joined.select(
         "job_id", "job_title", "company", "location", "job_url", "match_score", "score_breakdown",
         "matched_skills", "job_data", "resume_data", "resume_file",

@@ -9,7 +9,7 @@ from matchloom import lexicon
 from matchloom.config import SCORE_PARTS
 from matchloom.functions.formats import clock_text, joined, labelled_percent
 from matchloom.functions.text import or_empty
-from matchloom.operators.keys import null_safe_lookup, rank_all, top_per_key
+from matchloom.operators.keys import rank_all, spread_lookup, top_per_key
 from matchloom.plans.matching import by_score
 
 
@@ -17,7 +17,7 @@ def recent_matches(matches: DataFrame, jobs: DataFrame, cutoff: Column) -> DataF
     """Matches created at or after ``cutoff`` with their job; matches without a job drop."""
     job = jobs.select("job_id", F.col("title").alias("job_title"), "company", "location",
                       F.col("url").alias("job_url"))
-    return null_safe_lookup(matches.where(F.col("created_at") >= cutoff), job, ["job_id"])
+    return spread_lookup(matches.where(F.col("created_at") >= cutoff), job, ["job_id"])
 
 
 def company_counts(jobs: DataFrame, matches: DataFrame) -> DataFrame:

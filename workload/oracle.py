@@ -154,6 +154,26 @@ def escaped(value: str) -> str:
     return value
 
 
+def words_listed(value: str) -> str:
+    return f"list_distinct(regexp_extract_all({value}, '[A-Za-z]+'))"
+
+
+ORACLE["digest_many_skills"] = with_(
+    JOBS, MATCHES, SCORED.replace("url AS job_url", "url AS job_url, description"),
+    RANKED.replace("FROM matches", "FROM scored")) + f"""
+SELECT resume_file, rank, '<section class=''match''><h3>' || {escaped('job_title')} || '</h3><p>' || company || ', ' ||
+  location || '</p><p>Match score: ' || cast(match_score AS varchar) || '%</p><p>' || {breakdown('', "'<br>'")} || '</p>' ||
+  CASE WHEN len(skills) > 0 THEN '<ul><li>' || array_to_string(skills, '</li><li>') || '</li></ul>' ELSE '' END ||
+  '<a href="' || job_url || '">View job</a></section>' AS card
+FROM (SELECT *, list_sort({words_listed('description')})[1:10] AS skills FROM ranked WHERE rank <= 10)"""
+ORACLE["matched_skill_lists"] = f"""
+SELECT doc_id, array_to_string(skills, '|') AS skills, len(skills) AS n FROM (
+  SELECT a.doc_id, list_sort(list_intersect({words_listed('a.text')}, {words_listed('b.text')})) AS skills
+  FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"""
+ORACLE["resume_groups_unnamed"] = ORACLE["resume_groups"].replace(
+    "event_type AS resume_file", "coalesce(nullif(event_type, 'click'), 'Unknown') AS resume_file")
+ORACLE["resume_folder"] = """
+SELECT md5(text || chr(10)) AS text_md5, length(text) + 1 AS n_chars, true AS named FROM benchmark WHERE length(text) > 0"""
 ORACLE["digest"] = RANKED_SCORED + f"""
 SELECT resume_file, n_matches, '<section><h2>Resume: ' || resume_file || '</h2><p>Found ' ||
   cast(n_matches AS varchar) || ' matching positions</p>' || cards || '</section>' AS html FROM (
@@ -519,6 +539,24 @@ TEXT_WEIGHTS = {"keyword": 0.5, "tfidf": 0.5, "semantic": 0.0, "skills": 0.0}
 PARTS = ", ".join(f"{score(p)} AS {p}" for p in ("keyword", "tfidf", "semantic", "skills"))
 ORACLE["match_scores"] = with_(*SIDES, *totals(WEIGHTS, True)) + f"""
 SELECT job_id, resume_file, round(total, 2) AS match_score, {PARTS} FROM total WHERE total >= 35"""
+ENTITIES = """(SELECT {key} AS k, list(DISTINCT lower(name)) AS found FROM (
+  SELECT {key}, unnest(regexp_extract_all(text, '[A-Z][a-z]+|[0-9]{{3,}}')) AS name FROM {source})
+  WHERE length(name) % 4 <> 3 AND length(name) > 2 AND NOT regexp_matches(name, '^[0-9]+$') GROUP BY ALL)"""
+
+
+def with_entities(skills: str, source: str, key: str) -> str:
+    """A table of skills with the labelled phrases of the texts added."""
+    name = skills.split()[0]
+    return f"""{skills.replace(name, name + '_plain', 1)},
+{name} AS (SELECT k, list_distinct(list_concat(skills, coalesce(found, []))) AS skills
+  FROM {name}_plain LEFT JOIN {ENTITIES.format(source=source, key=key)} USING (k))"""
+
+
+ORACLE["match_scores_entities"] = with_(
+    *SIDES[:-2], with_entities(SIDES[-2], "resumes", "resume_file"),
+    with_entities(SIDES[-1], "(SELECT job_id, description AS text FROM jobs)", "job_id"),
+    *totals(WEIGHTS, True)) + f"""
+SELECT job_id, resume_file, round(total, 2) AS match_score, {PARTS} FROM total WHERE total >= 35"""
 ORACLE["match_scores_text_only"] = with_(*SIDES, *totals(TEXT_WEIGHTS, False)) + f"""
 SELECT job_id, resume_file, round(total, 2) AS match_score, {PARTS} FROM total WHERE total >= 10"""
 ORACLE["stream_match"] = with_(*SIDES, *totals(TEXT_WEIGHTS, False)) + """

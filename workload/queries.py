@@ -21,7 +21,7 @@ from matchloom.operators.store import Store, latest_status, matched_jobs, unmatc
 from matchloom.plans import matching, reporting, runs
 from matchloom.plans.running import RunningStatistics
 from matchloom.sources.pages import job_cards, job_details, union_batches
-from matchloom.sources.resumes import parse_resumes
+from matchloom.sources.resumes import parse_resumes, read_resumes
 from matchloom.sources.searches import with_search_url
 from matchloom.sources.tables import job_records, match_records
 from matchloom.streaming import incremental
@@ -505,6 +505,62 @@ def digest(spark, sf):
     return reporting.digest(views.scored_matches(spark, sf))
 
 
+def words_listed(text: Column | str) -> Column:
+    """The words of a text, as a list of skills that is longer than any shown one."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)))
+
+
+@query
+def digest_many_skills(spark, sf):
+    """Cards of matches with the words of the job text as skills: ten at most are shown."""
+    found = views.scored_matches(spark, sf, "description").withColumn("matched_skills", words_listed("description"))
+    cards = reporting.digest_cards(found)
+    return cards.select("resume_file", F.col("rank").cast("long").alias("rank"), "card")
+
+
+@query
+def matched_skill_lists(spark, sf):
+    """Skills that a document and the one after it list, letter case as written."""
+    left = views.table(spark, sf, "documents").select("doc_id", words_listed("text").alias("a"))
+    right = views.table(spark, sf, "documents").select(
+        (F.col("doc_id") - 1).alias("doc_id"), words_listed("text").alias("b"))
+    both = sk.matched_skills(F.col("a"), F.col("b"))
+    return left.join(right, "doc_id").select(
+        "doc_id", F.array_join(both, "|").alias("skills"), F.size(both).cast("long").alias("n"))
+
+
+@query
+def resume_groups_unnamed(spark, sf):
+    """Matches of one event type have no resume; they form the group of unknown ones."""
+    found = views.matches(spark, sf).withColumn("resume_file", F.expr("nullif(resume_file, 'click')"))
+    return reporting.resume_groups(found, 10, order()).select(
+        "resume_file", "n_matches",
+        F.array_join(F.transform("matches", lambda m: m["job_id"]), ",").alias("best_jobs"))
+
+
+@query
+def resume_folder(spark, sf):
+    """The profile texts as files of their own, read back as a folder of resumes."""
+    folder = new_folder(spark, "resume-files")
+    texts = views.table(spark, sf, "benchmark").where(F.length("text") > 0)
+    texts.select("item_id", "text").write.partitionBy("item_id").option("compression", "none").text(folder)
+    found = read_resumes(spark, f"{folder}/*")
+    return found.select(F.md5(F.encode("text", "UTF-8")).alias("text_md5"),
+                        F.length("text").cast("long").alias("n_chars"),
+                        F.endswith("resume_file", F.lit(".txt")).alias("named"))
+
+
+@query
+def match_scores_entities(spark, sf):
+    """Skills coverage with labelled phrases of the documents as further skills the jobs ask for."""
+    resumes, jobs, options = flagship_inputs(spark, sf)
+    found = matching.score_matches(
+        resumes, jobs, FLAGSHIP, **options,
+        job_entities=views.entities(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string")),
+        resume_entities=views.entities_of(views.resume_texts(spark, sf).withColumnRenamed("resume_file", "doc_id")))
+    return found.select("job_id", "resume_file", "match_score", *parts())
+
+
 @query
 def digest_header(spark, sf):
     header = reporting.digest_header(views.scored_matches(spark, sf), now())

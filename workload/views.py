@@ -120,11 +120,11 @@ def as_matches(events: DataFrame) -> DataFrame:
     )
 
 
-def scored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_matches(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Matches with their job, a breakdown and skills, for the text reports."""
     share = F.col("match_score") / 100
     job = plain_jobs(spark, sf_dir).select("job_id", F.col("title").alias("job_title"), "company",
-                                     "location", F.col("url").alias("job_url"))
+                                     "location", F.col("url").alias("job_url"), *more)
     return matches(spark, sf_dir).join(job, "job_id").withColumns({
         "score_breakdown": F.struct(
             share.alias("keyword"), (share / 2).alias("tfidf"), (share / 4).alias("semantic"),
@@ -161,7 +161,11 @@ def cards_of(pages: DataFrame) -> DataFrame:
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capitalised phrases of the documents, labelled by their length."""
-    found = document_texts(spark, sf_dir).select(
+    return entities_of(document_texts(spark, sf_dir))
+
+
+def entities_of(texts: DataFrame) -> DataFrame:
+    found = texts.select(
         "doc_id", F.explode(F.regexp_extract_all(
             "text", F.lit(r"[A-Z][a-z]+|[0-9]{3,}"), F.lit(0))).alias("text"))
     n = F.length("text") % 4
