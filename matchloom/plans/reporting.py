@@ -10,6 +10,7 @@ from matchloom.config import SCORE_PARTS
 from matchloom.functions.formats import clock_text, joined, labelled_percent
 from matchloom.functions.text import or_empty
 from matchloom.operators.keys import rank_all, spread_lookup, top_per_key
+from matchloom.operators.shared import materialize
 from matchloom.plans.matching import by_score
 
 
@@ -109,6 +110,18 @@ def top_matches(matches: DataFrame, n: int = 10, order=None) -> DataFrame:
                        order or by_score(), n)
 
 
+def best_with_jobs(matches: DataFrame, jobs: DataFrame, n: int = 10, order=None) -> DataFrame:
+    """The ``n`` best matches of each resume among those with a job, with the columns of the job.
+
+    Matches are ranked before they meet the jobs, so long texts of a job are not copied per match. They are the
+    first ``n`` of all matches with their jobs; where several jobs share an id a resume may have more rows. The best
+    are stored, so their size is known when they are joined; ``order`` may name columns of the matches only.
+    """
+    ids = jobs.select("job_id").distinct()
+    best = materialize(top_matches(matches.join(ids, "job_id", "left_semi"), n, order).drop("rank"), "best")
+    return best.join(jobs, "job_id")
+
+
 def resume_groups(matches: DataFrame, n: int = 10, order=None) -> DataFrame:
     """Per resume the number of matches and the ``n`` best in order, as an array.
 

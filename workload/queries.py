@@ -513,8 +513,9 @@ def words_listed(text: Column | str) -> Column:
 @query
 def digest_many_skills(spark, sf):
     """Cards of matches with the words of the job text as skills: ten at most are shown."""
-    found = views.scored_matches(spark, sf, "description").withColumn("matched_skills", words_listed("description"))
-    cards = reporting.digest_cards(found)
+    jobs = views.card_jobs(spark, sf, "description")
+    best = views.with_scores(reporting.best_with_jobs(views.matches(spark, sf), jobs))
+    cards = reporting.digest_cards(best.withColumn("matched_skills", words_listed("description")))
     return cards.select("resume_file", F.col("rank").cast("long").alias("rank"), "card")
 
 

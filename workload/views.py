@@ -120,12 +120,16 @@ def as_matches(events: DataFrame) -> DataFrame:
     )
 
 
-def scored_matches(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    """Matches with their job, a breakdown and skills, for the text reports."""
+def card_jobs(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """What the text reports show of a job."""
+    return plain_jobs(spark, sf_dir).select("job_id", F.col("title").alias("job_title"), "company",
+                                            "location", F.col("url").alias("job_url"), *more)
+
+
+def with_scores(found: DataFrame) -> DataFrame:
+    """Matches with their job, and a breakdown and skills made of both."""
     share = F.col("match_score") / 100
-    job = plain_jobs(spark, sf_dir).select("job_id", F.col("title").alias("job_title"), "company",
-                                     "location", F.col("url").alias("job_url"), *more)
-    return matches(spark, sf_dir).join(job, "job_id").withColumns({
+    return found.withColumns({
         "score_breakdown": F.struct(
             share.alias("keyword"), (share / 2).alias("tfidf"), (share / 4).alias("semantic"),
             F.lit(1.0).alias("skills")),
@@ -133,6 +137,11 @@ def scored_matches(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     })
 
 
+def scored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches with their job, a breakdown and skills, for the text reports."""
+    return with_scores(matches(spark, sf_dir).join(card_jobs(spark, sf_dir), "job_id"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Vectors of the resumes and of the jobs.
 
