@@ -17,6 +17,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,21 +30,50 @@ from matchloom.operators.sides import KEYWORD, TERM
 RESUMES_PER_CELL = 512
 JOBS_PER_CELL = 2048
 ENTRIES_PER_GROUP = 1 << 21  # terms, keywords and vector entries of the rows of a group, about
-STEP = 1 << 21  # joined entries held at a time inside a cell
+STEP = 1 << 18  # joined entries held at a time inside a cell
 SCHEMA = "r string, j string, " + ", ".join(f"{c} long" for c in SUMS) + ", capped double"
 
 
+def _numbers(values: pa.Array, among: pa.Array) -> np.ndarray:
+    """Where each value stands in ``among``; -1 for those that are not there."""
+    return pc.index_in(values, value_set=among).fill_null(-1).to_numpy().astype(np.int64)
+
+
 class Encoded:
     """Entries ``(row, term, tf)`` of some documents with a number for each term."""
 
     def __init__(self, rows: np.ndarray, terms: pa.Array, tf: np.ndarray):
         encoded = terms.dictionary_encode(null_encoding="encode")
         self.rows, self.tf = rows, tf
-        self.codes, self.terms = encoded.indices.to_numpy(), encoded.dictionary.to_pylist()
+        self.codes, self.dictionary = encoded.indices.to_numpy(), encoded.dictionary
+
+    @property
+    def terms(self) -> list[str | None]:
+        return self.dictionary.to_pylist()
+
+    def codes_in(self, left: Encoded) -> np.ndarray:
+        """The number that ``left`` has for the term of each entry; -1 for terms it lacks."""
+        return _numbers(self.dictionary, left.dictionary)[self.codes]
 
     @cached_property
-    def places(self) -> dict[str | None, int]:
-        return {t: n for n, t in enumerate(self.terms)}
+    def split(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The words of the terms; the number of the first word of each term, and of the second or -1."""
+        words = pc.split_pattern(self.dictionary, " ", max_splits=1)
+        lengths = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        encoded, starts = words.flatten().dictionary_encode(), np.cumsum(lengths) - lengths
+        codes = encoded.indices.to_numpy()
+        first, second = np.full(len(lengths), -2, np.int64), np.full(len(lengths), -1, np.int64)
+        first[lengths > 0] = codes[starts[lengths > 0]]
+        second[lengths > 1] = codes[starts[lengths > 1] + 1]
+        return encoded.dictionary, first, second
+
+    @cached_property
+    def by_words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the terms made of the numbers of their words, ascending, and the terms in that order."""
+        words, first, second = self.split
+        keys = first * (len(words) + 1) + second + 1
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
 
     @cached_property
     def by_term(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,6 +82,59 @@ class Encoded:
         return np.argsort(self.codes, kind="stable"), np.cumsum(counts) - counts, counts
 
 
+class WordTerms:
+    """Terms of documents that come as words: every word and every two neighbours, counted per document."""
+
+    def __init__(self, rows: np.ndarray, words: pa.Array):
+        encoded = words.dictionary_encode()
+        self.words, codes = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
+        n = len(self.words) + 1
+        near = rows[:-1] == rows[1:]
+        singles = (rows * n + codes) * n
+        doubles = (rows[:-1][near] * n + codes[:-1][near]) * n + codes[1:][near] + 1
+        keys, tf = np.unique(np.concatenate([singles, doubles]), return_counts=True)
+        rest, second = np.divmod(keys, n)
+        self.rows, self.first = np.divmod(rest, n)
+        self.second, self.tf = second - 1, tf.astype(float)
+
+    def codes_in(self, left: Encoded) -> np.ndarray:
+        vocabulary = left.split[0]
+        keys, order = left.by_words
+        place = np.append(_numbers(self.words, vocabulary), -1)  # the last for terms of one word
+        a, b = place[self.first], place[self.second]
+        found = np.flatnonzero((a >= 0) & ((b >= 0) | (self.second < 0)))
+        out = np.full(len(self.rows), -1, np.int64)
+        if len(found) and len(keys):
+            key = a[found] * (len(vocabulary) + 1) + b[found] + 1
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            out[found] = np.where(keys[at] == key, order[at], -1)
+        return out
+
+    def vectors(self, left: Encoded, mine: np.ndarray, theirs: np.ndarray):
+        """As :func:`term_vectors`, of these rows of either side. A blank sorts before all letters of words."""
+        words = pc.unique(pa.concat_arrays([left.split[0], self.words]))
+        rank = np.empty(len(words) + 1, np.int64)
+        rank[pc.sort_indices(words).to_numpy()] = np.arange(len(words))
+        rank[-1] = -1
+
+        def chosen(rows, wanted, tf, vocabulary, first, second):
+            at = np.flatnonzero(np.isin(rows, wanted))
+            place = np.append(rank[_numbers(vocabulary, words)], -1)
+            return np.searchsorted(wanted, rows[at]), place[first[at]] * len(rank) + place[second[at]] + 1, tf[at]
+
+        _, first, second = left.split
+        sides = [(len(mine), *chosen(left.rows, mine, left.tf, left.split[0], first[left.codes], second[left.codes])),
+                 (len(theirs), *chosen(self.rows, theirs, self.tf, self.words, self.first, self.second))]
+        _, codes = np.unique(np.concatenate([keys for _, _, keys, _ in sides]), return_inverse=True)
+        out, at = [], 0
+        for n, rows, keys, tf in sides:
+            own, at = codes[at:at + len(keys)], at + len(keys)
+            order = np.lexsort((own, rows))
+            ends = np.cumsum(np.bincount(rows, minlength=n))[:-1]
+            out.append(list(zip(np.split(own[order], ends), np.split(tf[order].astype(np.int64), ends))))
+        return out
+
+
 class Side:
     """Documents in the form a cell scores them; what is made of them is made once."""
 
@@ -85,12 +168,33 @@ class Side:
         return self.table[name].to_numpy().astype(float)
 
 
-def _shared(left: Encoded, right: Encoded, shape) -> np.ndarray:
+class WordSide(Side):
+    """Documents with their keywords and words in place of entries; terms are counted here."""
+
+    def __init__(self, table: pa.Table):
+        super().__init__(table)
+        sizes = {
+            "n_kw": pa.array(np.bincount(self.keywords.rows, minlength=table.num_rows), pa.int32()),
+            "n_terms": pa.array(np.bincount(self.terms.rows, minlength=table.num_rows), pa.int32()),
+            "mass": pa.array(np.bincount(self.terms.rows, self.terms.tf ** 2, table.num_rows).astype(np.int64))}
+        for name, values in sizes.items():
+            self.table = self.table.append_column(name, values)
+
+    @cached_property
+    def keywords(self) -> Encoded:
+        rows, items = list_items(self.table["kw"])
+        return Encoded(rows, items, np.ones(len(rows)))
+
+    @cached_property
+    def terms(self) -> WordTerms:
+        return WordTerms(*list_items(self.table["words"]))
+
+
+def _shared(left: Encoded, right: Encoded | WordTerms, shape) -> np.ndarray:
     """Sums over equal terms, as matrices: the count, the products and the squares of either side."""
     order, starts, counts = left.by_term
     out = np.zeros((4, shape[0] * shape[1]))
-    place = np.array([left.places.get(t, -1) for t in right.terms], np.int64)
-    code2 = place[right.codes]
+    code2 = right.codes_in(left)
     hit = code2 >= 0
     rows2, code2, tf2 = right.rows[hit], code2[hit], right.tf[hit]
     n = counts[code2]
@@ -129,6 +233,15 @@ def _unit_vectors(table: pa.Table, width: int) -> np.ndarray:
     return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 
 
+def _top_mass(terms: Encoded | WordTerms, rows: int, n: int) -> np.ndarray:
+    """Sum of the ``n`` largest squared counts of each document."""
+    order = np.lexsort((-terms.tf, terms.rows))
+    of, tf = terms.rows[order], terms.tf[order]
+    counts = np.bincount(of, minlength=rows)
+    first = np.arange(len(of)) - (np.cumsum(counts) - counts)[of] < n
+    return np.bincount(of[first], tf[first] ** 2, rows)
+
+
 def pair_scorer(config: MatchConfig, threshold: float, top_n: int | None):
     """Function of two sides: row numbers, sums and capped scores of the pairs that may be in the result.
 
@@ -158,6 +271,11 @@ def pair_scorer(config: MatchConfig, threshold: float, top_n: int | None):
             over = terms - shared > cap
             most = np.maximum(s1, s2)
             bound = np.sqrt(divide(most, K2 * np.maximum(cap - shared, 0) + most))
+            if over.any():
+                # All kept terms but those of the left document are of the right one alone, its most frequent first.
+                least = max(cap - int(left.column("n_terms").max()), 0)
+                alone = np.maximum(_top_mass(right.terms, shape[1], least)[None, :] - s2, least)
+                bound = np.minimum(bound, np.sqrt(divide(s2, K2 * alone + s2)))
             m2_low, m2_high = np.where(over, 0.0, m2_low), np.where(over, bound, m2_high)
         lengths = np.bincount(right.skills.rows, minlength=shape[1])
         required = np.broadcast_to(lengths.astype(float)[None, :], shape)
@@ -170,7 +288,7 @@ def pair_scorer(config: MatchConfig, threshold: float, top_n: int | None):
         rest = w["keyword"] * m1 + w["semantic"] * m3 + w["skills"] * m4
         low = np.minimum((rest + w["tfidf"] * m2_low) * 100, 100)
         high = np.minimum((rest + w["tfidf"] * m2_high) * 100, 100)
-        capped = _settle(left.table, right.table, over, low, high, rest, w["tfidf"], cap, threshold, top_n, best)
+        capped = _settle(left, right, over, low, high, rest, w["tfidf"], cap, threshold, top_n, best)
         keep = high >= threshold - SLACK
         if best is not None:
             keep &= np.ceil(np.where(keep, high, 0.0) * 100) >= best.min(axis=1)[:, None]
@@ -207,7 +325,13 @@ def cell_scorer(config: MatchConfig, threshold: float, top_n: int | None):
     return score
 
 
-def _settle(left, right, over, low, high, rest, weight, cap, threshold, n, before=None) -> np.ndarray:
+def _term_vectors(left: Side, right: Side, mine: np.ndarray, theirs: np.ndarray):
+    if isinstance(right.terms, WordTerms):
+        return right.terms.vectors(left.terms, mine, theirs)
+    return term_vectors(left.table.take(pa.array(mine)), right.table.take(pa.array(theirs)))
+
+
+def _settle(left: Side, right: Side, over, low, high, rest, weight, cap, threshold, n, before=None) -> np.ndarray:
     """Exact scores of the pairs over the limit on terms, best bound first; NaN for all others.
 
     ``low`` and ``high`` become the exact total, or minus infinity for pairs that can't be in the result: once
@@ -218,8 +342,10 @@ def _settle(left, right, over, low, high, rest, weight, cap, threshold, n, befor
     low[over & ~open_pairs] = high[over & ~open_pairs] = -np.inf
     if not open_pairs.any():
         return capped
-    mine, theirs = term_vectors(left, right)
-    for r in np.flatnonzero(open_pairs.any(axis=1)):
+    rows, columns = (np.flatnonzero(open_pairs.any(axis=a)) for a in (1, 0))
+    of_rows, of_columns = _term_vectors(left, right, rows, columns)
+    mine, theirs = dict(zip(rows.tolist(), of_rows)), dict(zip(columns.tolist(), of_columns))
+    for r in rows.tolist():
         at = np.flatnonzero(open_pairs[r])
         at = at[np.argsort(-high[r, at], kind="stable")]
         best: list[float] = []  # the n best totals so far, in hundredths rounded down, those of ``before`` among them

@@ -2,8 +2,9 @@
 
 A resume side whose measured size is within the limits of the configuration becomes an
 inverted index, its terms with the rows that have them, which is sent to every task. A
-task reads its jobs in batches and scores them term by term against the index, so the
-jobs are not shuffled, not stored, and not copied per group of resumes. For the best N a
+task reads its jobs as words, slice by slice of bounded size, counts their terms and scores
+them term by term against the index, so the jobs are not shuffled, not stored, and not
+copied per group of resumes. For the best N a
 task remembers the N best totals of each resume, and what cannot reach them is not sent
 on. A larger resume side takes the routes through the terms or through blocks.
 """
@@ -24,7 +25,12 @@ from matchloom.operators import blocks
 from matchloom.operators.scoring import SUMS
 
 SCORED = ["key", "entries", "skills", "vec", "n_kw", "n_terms", "mass"]
+READ = ["key", "kw", "words", "skills", "vec", "listed"]  # of jobs; their terms are counted where they are scored
 KEPT = ["n_kw", "n_terms", "mass", "skills", "vec", "listed"]  # columns that go on with a pair
+# What a task holds at a time: jobs, their keywords and words, and pairs on their way out.
+JOBS_PER_SLICE = 512
+WORDS_PER_SLICE = 1 << 18
+PAIRS_PER_BATCH = 1 << 13
 
 
 def fits_index(resumes: DataFrame, config: MatchConfig) -> bool:
@@ -37,21 +43,17 @@ def fits_index(resumes: DataFrame, config: MatchConfig) -> bool:
 
 
 def _slices(table: pa.Table) -> Iterator[pa.Table]:
-    """Parts of a table with a bounded number of rows and of terms; at least one row each."""
-    sizes = np.diff(_offsets(table))
+    """Parts of a table with a bounded number of rows and of words; at least one row each."""
+    sizes = sum(table[c].combine_chunks().value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                for c in ("kw", "words"))
     begin = 0
     while begin < table.num_rows:
-        held = np.cumsum(sizes[begin:begin + blocks.JOBS_PER_CELL])
-        n = max(int(np.searchsorted(held, blocks.ENTRIES_PER_GROUP, side="right")), 1)
+        held = np.cumsum(sizes[begin:begin + JOBS_PER_SLICE])
+        n = max(int(np.searchsorted(held, WORDS_PER_SLICE, side="right")), 1)
         yield table.slice(begin, n)
         begin += n
 
 
-def _offsets(table: pa.Table) -> np.ndarray:
-    lengths = table["entries"].combine_chunks().value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return np.concatenate([[0], np.cumsum(lengths)])
-
-
 def _schema(resumes: DataFrame, jobs: DataFrame) -> StructType:
     return StructType([
         StructField("r", StringType()), StructField("j", StringType()),
@@ -63,8 +65,8 @@ def index_sums(resumes: DataFrame, jobs: DataFrame, config: MatchConfig, thresho
                top_n: int | None = None) -> DataFrame:
     """Sums of the pairs that can reach ``threshold`` (and the top ``n`` per resume), with both sides' columns.
 
-    ``resumes`` is a stored side for which :func:`fits_index` holds; rows without a key are in no pair. ``capped``
-    is the exact term score of pairs over the limit on terms, and null for others.
+    ``resumes`` is a stored side for which :func:`fits_index` holds; rows without a key are in no pair. ``jobs`` still
+    has its words. ``capped`` is the exact term score of pairs over the limit on terms, and null for others.
     """
     columns = list(dict.fromkeys([*SCORED, *KEPT]))
     table = resumes.select(*columns).where(F.col("key").isNotNull()).toArrow()
@@ -72,23 +74,29 @@ def index_sums(resumes: DataFrame, jobs: DataFrame, config: MatchConfig, thresho
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
     sent = resumes.sparkSession.sparkContext.broadcast(sink.getvalue())
-    pairs = blocks.pair_scorer(config, threshold, top_n)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = pa.ipc.open_stream(sent.value).read_all()
-        groups = [blocks.Side(every.slice(at, blocks.RESUMES_PER_CELL).combine_chunks())
-                  for at in range(0, every.num_rows, blocks.RESUMES_PER_CELL)]
-        best = [None if top_n is None else np.full((g.table.num_rows, top_n), -np.inf) for g in groups]
-        for batch in batches:
-            for part in _slices(pa.Table.from_batches([batch])):
-                right = blocks.Side(part.sort_by("key").combine_chunks())
-                for left, known in zip(groups, best):
-                    r, j, sums, capped = pairs(left, right, known)
-                    mine, theirs = left.table.take(pa.array(r)), right.table.take(pa.array(j))
+        return scored(pa.ipc.open_stream(sent.value).read_all(), batches, config, threshold, top_n)
+
+    return jobs.select(*READ).mapInArrow(score, _schema(resumes, jobs))
+
+
+def scored(resumes: pa.Table, batches: Iterator[pa.RecordBatch], config: MatchConfig, threshold: float,
+           top_n: int | None) -> Iterator[pa.RecordBatch]:
+    """The work of a task: pairs of the resumes with the jobs of the batches, in batches of bounded size."""
+    pairs = blocks.pair_scorer(config, threshold, top_n)
+    groups = [blocks.Side(resumes.slice(at, blocks.RESUMES_PER_CELL).combine_chunks())
+              for at in range(0, resumes.num_rows, blocks.RESUMES_PER_CELL)]
+    best = [None if top_n is None else np.full((g.table.num_rows, top_n), -np.inf) for g in groups]
+    for batch in batches:
+        for part in _slices(pa.Table.from_batches([batch])):
+            right = blocks.WordSide(part.sort_by("key").combine_chunks())
+            for left, known in zip(groups, best):
+                r, j, sums, capped = pairs(left, right, known)
+                for at in (slice(n, n + PAIRS_PER_BATCH) for n in range(0, len(r), PAIRS_PER_BATCH)):
+                    mine, theirs = left.table.take(pa.array(r[at])), right.table.take(pa.array(j[at]))
                     yield from pa.table({
-                        "r": mine["key"], "j": theirs["key"], **{c: pa.array(m) for c, m in sums.items()},
-                        "capped": pa.array(capped, mask=np.isnan(capped)),
+                        "r": mine["key"], "j": theirs["key"], **{c: pa.array(m[at]) for c, m in sums.items()},
+                        "capped": pa.array(capped[at], mask=np.isnan(capped[at])),
                         **{f"{c}{n}": side[c] for n, side in ((1, mine), (2, theirs)) for c in KEPT},
                     }).combine_chunks().to_batches()
-
-    return jobs.select(*columns).mapInArrow(score, _schema(resumes, jobs))

@@ -12,6 +12,8 @@ mass         sum of tf^2 over the TF-IDF terms
 skills       all skills, lower-cased and distinct (coverage)
 listed       skills as listed (shown as matched skills)
 vec          sentence vector or NULL
+kw, words    keywords, and the words that make the terms, in order; for
+             readers that count terms themselves, others leave them out
 ===========  ==========================================================
 """
 
@@ -42,13 +44,12 @@ def job_key(job_id: Column | str) -> Column:
 
 def _with_words(docs: DataFrame, text: str, config: MatchConfig,
                 kinds: Collection[int] = (KEYWORD, TERM)) -> DataFrame:
-    """Replace the text by its keywords and counted terms."""
-    words = tokens(F.col(text), config.tfidf_stop_words) if TERM in kinds else string_array([])
+    """Replace the text by its keywords, words and counted terms."""
     return docs.withColumns({
         "kw": (keyword_set(F.col(text), config.stop_words) if KEYWORD in kinds
                else string_array([])),
-        "terms": term_counts(unigrams_and_bigrams(words)),
-    }).drop(text)
+        "words": tokens(F.col(text), config.tfidf_stop_words) if TERM in kinds else string_array([]),
+    }).drop(text).withColumn("terms", term_counts(unigrams_and_bigrams(F.col("words"))))
 
 
 def _with_entries(docs: DataFrame) -> DataFrame:
@@ -66,7 +67,12 @@ def _with_entries(docs: DataFrame) -> DataFrame:
         "n_terms": F.size("terms"),
         "mass": F.aggregate("terms", F.lit(0).cast("long"),
                             lambda a, t: a + t["tf"].cast("long") * t["tf"]),
-    }).drop("kw", "terms")
+    }).drop("terms")
+
+
+def counted(side: DataFrame) -> DataFrame:
+    """A side as it is stored, without the words its terms were counted from."""
+    return side.drop("kw", "words")
 
 
 def entity_skills(entities: DataFrame, labels=lexicon.ENTITY_LABELS) -> DataFrame:

@@ -16,7 +16,7 @@ from matchloom.operators.scoring import (
     SLACK, capped_bound, keyword_score, tfidf_score, total_score, vector_cosine,
 )
 from matchloom.operators.shared import materialize
-from matchloom.operators.sides import Encoder, job_side, resume_side
+from matchloom.operators.sides import Encoder, counted, job_side, resume_side
 from matchloom.operators.term_join import pruned_sums
 
 def by_score() -> list[Column]:
@@ -86,9 +86,9 @@ def prepare_resumes(
     encoder: Encoder | None = None,
 ) -> DataFrame:
     """The resume side of a match as a stored table."""
-    return materialize(
+    return materialize(counted(
         resume_side(resumes, config, resume_vectors if config.semantic else None, resume_entities,
-                    encoder if config.semantic else None), "resume-side")
+                    encoder if config.semantic else None)), "resume-side")
 
 
 def score_matches(
@@ -124,7 +124,7 @@ def score_matches(
     if indexed:  # the jobs are read once and go nowhere
         pairs = index_sums(left, right, config, threshold, top_n)
     else:
-        right = materialize(right, "job-side")
+        right = materialize(counted(right), "job-side")
         if need > 0:
             pairs = pruned_sums(left, right, config, need)
         else:
