@@ -15,8 +15,9 @@ from matchloom.operators.scoring import (
 from matchloom.functions.skills import skill_coverage
 from matchloom.functions.text import computed_once
 from matchloom.operators.capped import capped_tfidf
+from matchloom.operators.index import fits_index, index_sums
 from matchloom.operators.shared import materialize
-from matchloom.operators.sides import KEYWORD, TERM
+from matchloom.operators.sides import KEYWORD, TERM, counted
 from matchloom.operators.term_join import pruned_sums
 
 
@@ -29,6 +30,19 @@ def _of_kind(side: DataFrame, kind: int) -> DataFrame:
     return side.withColumn("entries", F.filter("entries", lambda e: e["kind"] == kind))
 
 
+def _indexed(resumes: DataFrame, jobs: DataFrame, config: MatchConfig, part: str, least: float) -> DataFrame | None:
+    """Sums of the pairs that may have ``least`` in one text score, if the resumes fit an index; jobs go nowhere then."""
+    if "words" not in jobs.columns or not fits_index(text_only(resumes), config):
+        return None
+    return index_sums(text_only(resumes), text_only(jobs), _only(config, part), 100 * least)
+
+
+def text_only(side: DataFrame) -> DataFrame:
+    """A side of bare texts with the columns of a whole one."""
+    none = {"skills": "array<string>", "listed": "array<string>", "vec": "array<float>"}
+    return side.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
+
+
 def _stats(side: DataFrame, key: str, n: int, *columns: str) -> DataFrame:
     return side.select(F.col("key").alias(key), *[F.col(c).alias(f"{c}{n}") for c in columns])
 
@@ -41,10 +55,17 @@ def _minimum(value: float) -> float:
 
 def keyword_pairs(resumes: DataFrame, jobs: DataFrame, config: MatchConfig,
                   least: float) -> DataFrame:
-    """``(r, j, shared, score)`` of all pairs with a keyword score of ``least`` or more."""
-    resumes, jobs = (_of_kind(s, KEYWORD) for s in (resumes, jobs))
-    sums = pruned_sums(resumes, jobs, _only(config, "keyword"), _minimum(least))
+    """``(r, j, shared, score)`` of all pairs with a keyword score of ``least`` or more.
+
+    Few resumes, as a stored side, take the index if the jobs still have their words.
+    """
     score = keyword_score(F.col("kw_shared"), F.col("n_kw1"), F.col("n_kw2"))
+    sums = _indexed(resumes, jobs, config, "keyword", _minimum(least))
+    if sums is not None:
+        return sums.select("r", "j", F.col("kw_shared").alias("shared"), score.alias("score")).where(
+            F.col("score") >= least)
+    resumes, jobs = _of_kind(resumes, KEYWORD), materialize(counted(_of_kind(jobs, KEYWORD)), "jobs")
+    sums = pruned_sums(resumes, jobs, _only(config, "keyword"), least)
     return (
         sums.join(_stats(resumes, "r", 1, "n_kw"), "r").join(_stats(jobs, "j", 2, "n_kw"), "j")
         .select("r", "j", F.col("kw_shared").alias("shared"), score.alias("score"))
@@ -54,11 +75,17 @@ def keyword_pairs(resumes: DataFrame, jobs: DataFrame, config: MatchConfig,
 
 def tfidf_pairs(resumes: DataFrame, jobs: DataFrame, config: MatchConfig,
                 least: float) -> DataFrame:
-    """``(r, j, score)`` of all pairs with a TF-IDF score of ``least`` or more."""
-    resumes, jobs = (_of_kind(s, TERM) for s in (resumes, jobs))
-    sums = pruned_sums(resumes, jobs, _only(config, "tfidf"), _minimum(least))
+    """``(r, j, score)`` of all pairs with a TF-IDF score of ``least`` or more.
+
+    Few resumes, as a stored side, take the index if the jobs still have their words.
+    """
     c = F.col
     score = tfidf_score(c("dot"), c("s1"), c("s2"), c("mass1"), c("mass2"))
+    sums = _indexed(resumes, jobs, config, "tfidf", _minimum(least))
+    if sums is not None:
+        return sums.select("r", "j", F.coalesce("capped", score).alias("score")).where(c("score") >= least)
+    resumes, jobs = _of_kind(resumes, TERM), materialize(counted(_of_kind(jobs, TERM)), "jobs")
+    sums = pruned_sums(resumes, jobs, _only(config, "tfidf"), least)
     pairs = (
         sums.join(_stats(resumes, "r", 1, "mass", "n_terms"), "r")
         .join(_stats(jobs, "j", 2, "mass", "n_terms"), "j")

@@ -16,7 +16,7 @@ from matchloom.operators import text_pairs
 from matchloom.operators.best import BestTable
 from matchloom.operators.shared import materialize, new_folder
 from matchloom.operators.keys import rank_all as ranked
-from matchloom.operators.sides import KEYWORD, TERM, entity_skills, job_key, text_side
+from matchloom.operators.sides import KEYWORD, TERM, counted, entity_skills, job_key, text_side
 from matchloom.operators.store import Store, latest_status, matched_jobs, unmatched_jobs, with_applied
 from matchloom.plans import matching, reporting, runs
 from matchloom.plans.running import RunningStatistics
@@ -346,9 +346,10 @@ def entity_skill_sets(spark, sf):
 
 
 def sides(spark, sf, kind, config=FLAGSHIP):
-    return [
-        materialize(text_side(views.texts(spark, sf, name), key, "text", config, [kind]), name)
-        for name, key in (("benchmark", "item_id"), ("documents", "doc_id"))]
+    items, documents = (
+        text_side(views.texts(spark, sf, name), key, "text", config, [kind])
+        for name, key in (("benchmark", "item_id"), ("documents", "doc_id")))
+    return [materialize(counted(items), "benchmark"), documents]
 
 
 def numbered(pairs: DataFrame, *columns: Column) -> DataFrame:
