@@ -31,10 +31,19 @@ def _of_kind(side: DataFrame, kind: int) -> DataFrame:
 
 
 def _indexed(resumes: DataFrame, jobs: DataFrame, config: MatchConfig, part: str, least: float) -> DataFrame | None:
-    """Sums of the pairs that may have ``least`` in one text score, if the resumes fit an index; jobs go nowhere then."""
-    if "words" not in jobs.columns or not fits_index(text_only(resumes), config):
+    """Sums of the pairs that may have ``least`` in one text score, if the resumes fit an index; jobs go nowhere then.
+
+    The index has a pair per row, the terms one per key, so sides with repeated keys go by the terms. Rows without a
+    key are in no pair.
+    """
+    if "words" not in jobs.columns or not fits_index(text_only(resumes), config) or _repeats(resumes) or _repeats(jobs):
         return None
-    return index_sums(text_only(resumes), text_only(jobs), _only(config, part), 100 * least)
+    return index_sums(text_only(resumes), text_only(jobs).where(F.col("key").isNotNull()), _only(config, part), 100 * least)
+
+
+def _repeats(side: DataFrame) -> bool:
+    keys = side.where(F.col("key").isNotNull()).groupBy("key").count()
+    return not keys.where(F.col("count") > 1).isEmpty()
 
 
 def text_only(side: DataFrame) -> DataFrame:

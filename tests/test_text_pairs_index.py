@@ -25,3 +25,17 @@ def test_text_scores_take_the_index(spark, cap):
         got, want = ({(x["r"], x["j"]): x["score"] for x in f.collect()} for f in (found, pairs(left, right, off, 0.05)))
         assert got.keys() == want.keys() and got
         assert all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
+def test_repeated_and_missing_keys(spark):
+    """Repeated keys go by the terms, with what these give; rows without a key are in no pair."""
+    config, off = (config_of((0.5, 0.5, 0.0, 0.0), index_rows=n) for n in (4096, 0))
+    one = [(1, "java spark query"), (2, "java engine query")]
+    for texts in (one + [(None, "java spark")], one + [(2, "java rest")]):
+        df = spark.createDataFrame(texts, "id int, text string")
+        left, right = (text_side(df, "id", "text", config) for _ in range(2))
+        left = materialize(counted(left), "left")
+        for pairs in (text_pairs.keyword_pairs, text_pairs.tfidf_pairs):
+            got, want = (sorted((x["r"], x["j"], round(x["score"], 9)) for x in pairs(left, right, c, 0.1).collect())
+                         for c in (config, off))
+            assert got == want and got
