@@ -11,7 +11,6 @@ scored inside the cell too, best bound first, until the rest can't matter.
 
 from __future__ import annotations
 
-import heapq
 import math
 from functools import cached_property
 
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.config import MatchConfig
-from matchloom.operators.ranked import list_items, ranked_cosine, term_vectors
+from matchloom.operators.ranked import TermRows, list_items, term_vectors
 from matchloom.operators.scoring import K2, SLACK, SUMS
 from matchloom.operators.shared import cell_partitions
 from matchloom.operators.sides import KEYWORD, TERM
@@ -297,7 +296,7 @@ def pair_scorer(config: MatchConfig, threshold: float, top_n: int | None):
         if best is not None:
             sure = np.where(keep & (low >= threshold + SLACK), low, -np.inf)
             every = np.concatenate([best, np.floor(sure * 100)], axis=1)
-            best[:] = np.partition(every, every.shape[1] - top_n, axis=1)[:, -top_n:]
+            best[:] = _highest(every, top_n)
         r, j = np.nonzero(keep)
         sums = {c: np.rint(m[r, j]).astype(np.int64) for c, m in zip(SUMS, (kw, shared, dot, s1, s2))}
         return r, j, sums, capped[r, j]
@@ -344,29 +343,36 @@ def _settle(left: Side, right: Side, over, low, high, rest, weight, cap, thresho
         return capped
     rows, columns = (np.flatnonzero(open_pairs.any(axis=a)) for a in (1, 0))
     of_rows, of_columns = _term_vectors(left, right, rows, columns)
-    mine, theirs = dict(zip(rows.tolist(), of_rows)), dict(zip(columns.tolist(), of_columns))
-    for r in rows.tolist():
-        at = np.flatnonzero(open_pairs[r])
-        at = at[np.argsort(-high[r, at], kind="stable")]
-        best: list[float] = []  # the n best totals so far, in hundredths rounded down, those of ``before`` among them
+    terms, open_pairs = TermRows(of_rows), open_pairs[rows]
+    if n is not None:  # the n best totals so far, in hundredths rounded down, those of ``before`` among them
+        sure = np.where(~over[rows] & (low[rows] >= threshold - SLACK), low[rows], -np.inf)
+        every = [np.full((len(rows), n), -np.inf) if before is None else before[rows], np.floor(sure * 100)]
+        best = _highest(np.concatenate(every, axis=1), n)
+    bounds = np.where(open_pairs, high[rows], -np.inf)[:, columns].max(axis=0)
+    for k in np.argsort(-bounds, kind="stable").tolist():
+        j = columns[k]
+        at = np.flatnonzero(open_pairs[:, j])
         if n is not None:
-            known = np.floor(low[r, ~over[r] & (low[r] >= threshold - SLACK)] * 100)
-            if before is not None:
-                known = np.concatenate([known, before[r, np.isfinite(before[r])]])
-            best = np.sort(known)[::-1][:n].tolist()
-            heapq.heapify(best)
-        for k, j in enumerate(at.tolist()):
-            if n is not None and len(best) == n and math.ceil(high[r, j] * 100) < best[0]:
-                low[r, at[k:]] = high[r, at[k:]] = -np.inf
-                break
-            capped[r, j] = ranked_cosine(*mine[r], *theirs[j], cap)
-            total = min((rest[r, j] + weight * capped[r, j]) * 100, 100.0)
-            low[r, j] = high[r, j] = total
-            if n is not None and total >= threshold - SLACK:
-                (heapq.heappush if len(best) < n else heapq.heappushpop)(best, math.floor(total * 100))
+            reach = np.ceil(high[rows[at], j] * 100) >= best[at].min(axis=1)
+            low[rows[at[~reach]], j] = high[rows[at[~reach]], j] = -np.inf
+            at = at[reach]
+            if not len(at):
+                continue
+        r = rows[at]
+        capped[r, j] = terms.cosines(at, *of_columns[k], cap)
+        total = np.minimum((rest[r, j] + weight * capped[r, j]) * 100, 100.0)
+        low[r, j] = high[r, j] = total
+        if n is not None:
+            sure = np.where(total >= threshold - SLACK, np.floor(total * 100), -np.inf)
+            best[at] = _highest(np.concatenate([best[at], sure[:, None]], axis=1), n)
     return capped
 
 
+def _highest(values: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` highest values of each row, in no set order."""
+    return np.partition(values, values.shape[1] - n, axis=1)[:, -n:]
+
+
 def _may_be_top(low, high, keep, n):
     """Pairs that can be among the first ``n`` of their row by (rounded score, key).
 

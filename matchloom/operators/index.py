@@ -91,10 +91,11 @@ def scored(resumes: pa.Table, batches: Iterator[pa.RecordBatch], config: MatchCo
     for batch in batches:
         for part in _slices(pa.Table.from_batches([batch])):
             right = blocks.WordSide(part.sort_by("key").combine_chunks())
+            sent = right.table.select(["key", *KEPT])  # a pair does not take the words along
             for left, known in zip(groups, best):
                 r, j, sums, capped = pairs(left, right, known)
                 for at in (slice(n, n + PAIRS_PER_BATCH) for n in range(0, len(r), PAIRS_PER_BATCH)):
-                    mine, theirs = left.table.take(pa.array(r[at])), right.table.take(pa.array(j[at]))
+                    mine, theirs = left.table.select(sent.column_names).take(pa.array(r[at])), sent.take(pa.array(j[at]))
                     yield from pa.table({
                         "r": mine["key"], "j": theirs["key"], **{c: pa.array(m[at]) for c, m in sums.items()},
                         "capped": pa.array(capped[at], mask=np.isnan(capped[at])),
