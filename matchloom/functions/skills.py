@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from matchloom import lexicon
 from matchloom.functions import lexicons
-from matchloom.functions.text import bind, or_empty, string_array
+from matchloom.functions.text import bind, lowered, or_empty, string_array
 
 
 AUTOMATON_FROM = 256  # terms from which on a lexicon is an automaton, not an expression per term
@@ -54,20 +54,24 @@ def _by_letter(terms: Sequence[str]) -> str:
 
 def skill_tags(text: Column, groups: Sequence[Sequence[str]] = lexicon.SKILL_TAG_GROUPS) -> Column:
     """Listed terms that stand as whole words in the text, each once. Large groups of terms take an automaton."""
+    return tags_in(lowered(text), groups)
+
+
+def tags_in(low: Column, groups: Sequence[Sequence[str]]) -> Column:
+    """:func:`skill_tags` of a text that is lower-cased."""
     small = [g for g in groups if len(g) < AUTOMATON_FROM]
     every = [t for g in groups for t in g]
     if len(small) == len(groups) > 1 and _apart(every):  # one pass, then by group as the passes per group would
-        found = F.array_distinct(F.regexp_extract_all(
-            F.lower(F.coalesce(text, F.lit(""))), F.lit(_by_letter(every)), F.lit(1)))
+        found = F.array_distinct(F.regexp_extract_all(low, F.lit(_by_letter(every)), F.lit(1)))
         return bind(found, lambda tags: F.array_distinct(F.concat(
             *[F.array_intersect(tags, string_array(g)) for g in groups])))
     if len(small) == len(groups):
-        return bind(F.lower(F.coalesce(text, F.lit(""))), lambda lowered: F.array_distinct(F.concat(
-            *[F.regexp_extract_all(lowered, F.lit(_guarded(g)), F.lit(1)) for g in groups])))
-    lowered = F.lower(F.coalesce(text, F.lit("")))  # a function of Python can't be inside a lambda
+        return bind(low, lambda once: F.array_distinct(F.concat(
+            *[F.regexp_extract_all(once, F.lit(_guarded(g)), F.lit(1)) for g in groups])))
+    # A function of Python can't be inside a lambda.
     return F.array_distinct(F.concat(*[
-        F.regexp_extract_all(lowered, F.lit(_guarded(g)), F.lit(1)) if len(g) < AUTOMATON_FROM
-        else lexicons.whole_words(lowered, g) for g in groups]))
+        F.regexp_extract_all(low, F.lit(_guarded(g)), F.lit(1)) if len(g) < AUTOMATON_FROM
+        else lexicons.whole_words(low, g) for g in groups]))
 
 
 def skill_substrings(text: Column, terms: Sequence[str] = lexicon.SKILL_SUBSTRINGS) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 # White space as Unicode has it, and the four separators among the control characters.
 BLANK_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-WORD = r"[\p{L}\p{N}_]{2,}"
+LETTER = r"[\p{L}\p{N}_]"
+WORD = LETTER + "{2,}"
 # What normalising and splitting leave of a text, words of three or more only.
 KEYWORD = r"[a-z0-9+#]{3,}"
 
@@ -50,9 +51,14 @@ def or_empty(values: Column) -> Column:
     return F.coalesce(values, F.array().cast("array<string>"))
 
 
+def lowered(text: Column) -> Column:
+    """Lower-cased text; empty when missing."""
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
 def normalize_text(text: Column) -> Column:
     """Lower-case, keep ``a-z 0-9 + #``, single blanks between words."""
-    kept = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-zA-Z0-9\s+#]", " ")
+    kept = F.regexp_replace(lowered(text), r"[^a-zA-Z0-9\s+#]", " ")
     return F.trim(F.regexp_replace(kept, r"\s+", " "))
 
 
@@ -62,13 +68,12 @@ def keyword_set(text: Column, stop_words: Sequence[str]) -> Column:
     Reads the words straight from the lower-cased text, which saves the
     replacements and the split of :func:`normalize_text`.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(KEYWORD), F.lit(0))
-    return F.array_except(words, string_array(stop_words))
+    return F.array_except(F.regexp_extract_all(lowered(text), F.lit(KEYWORD), F.lit(0)), string_array(stop_words))
 
 
 def tokens(text: Column, stop_words: Sequence[str]) -> Column:
     """Words of two or more word characters, in order, without stop words."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(0))
     if not stop_words:
         return words
     return F.filter(words, lambda w: ~w.isin(list(stop_words)))

@@ -22,10 +22,12 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from matchloom.config import MatchConfig
 from matchloom.operators import blocks
+from matchloom.operators.cut import letters, worded
 from matchloom.operators.scoring import SUMS
 
 SCORED = ["key", "entries", "skills", "vec", "n_kw", "n_terms", "mass"]
 READ = ["key", "kw", "words", "skills", "vec", "listed"]  # of jobs; their terms are counted where they are scored
+TEXTS = ["key", "low", "skills", "vec", "listed"]  # of jobs whose texts are cut there too
 KEPT = ["n_kw", "n_terms", "mass", "skills", "vec", "listed"]  # columns that go on with a pair
 # What a task holds at a time: jobs, their keywords and words, and pairs on their way out.
 JOBS_PER_SLICE = 512
@@ -66,19 +68,23 @@ def index_sums(resumes: DataFrame, jobs: DataFrame, config: MatchConfig, thresho
     """Sums of the pairs that can reach ``threshold`` (and the top ``n`` per resume), with both sides' columns.
 
     ``resumes`` is a stored side for which :func:`fits_index` holds; rows without a key are in no pair. ``jobs`` still
-    has its words. ``capped`` is the exact term score of pairs over the limit on terms, and null for others.
+    has its lower-cased text, which the tasks cut, or its words. ``capped`` is the exact term score of pairs over the limit on terms, and null for others.
     """
     columns = list(dict.fromkeys([*SCORED, *KEPT]))
     table = resumes.select(*columns).where(F.col("key").isNotNull()).toArrow()
     sink = io.BytesIO()
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
-    sent = resumes.sparkSession.sparkContext.broadcast(sink.getvalue())
+    cuts = "low" in jobs.columns
+    sent = resumes.sparkSession.sparkContext.broadcast((sink.getvalue(), letters(jobs.sparkSession) if cuts else None))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return scored(pa.ipc.open_stream(sent.value).read_all(), batches, config, threshold, top_n)
+        index, bits = sent.value
+        if cuts:
+            batches = worded(batches, bits, config.stop_words, config.tfidf_stop_words)
+        return scored(pa.ipc.open_stream(index).read_all(), batches, config, threshold, top_n)
 
-    return jobs.select(*READ).mapInArrow(score, _schema(resumes, jobs))
+    return jobs.select(*(TEXTS if cuts else READ)).mapInArrow(score, _schema(resumes, jobs))
 
 
 def scored(resumes: pa.Table, batches: Iterator[pa.RecordBatch], config: MatchConfig, threshold: float,

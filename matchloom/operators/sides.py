@@ -14,6 +14,7 @@ listed       skills as listed (shown as matched skills)
 vec          sentence vector or NULL
 kw, words    keywords, and the words that make the terms, in order; for
              readers that count terms themselves, others leave them out
+low          lower-cased text, for readers that cut it themselves
 ===========  ==========================================================
 """
 
@@ -28,7 +29,7 @@ from matchloom import lexicon
 from matchloom.config import MatchConfig
 from matchloom.functions import skills as sk
 from matchloom.functions.text import (
-    join_text, keyword_set, or_empty, string_array, term_counts, tokens, unigrams_and_bigrams,
+    join_text, keyword_set, lowered, or_empty, string_array, term_counts, tokens, unigrams_and_bigrams,
 )
 from matchloom.operators.vectors import VectorTable
 
@@ -72,7 +73,7 @@ def _with_entries(docs: DataFrame) -> DataFrame:
 
 def counted(side: DataFrame) -> DataFrame:
     """A side as it is stored, without the words its terms were counted from."""
-    return side.drop("kw", "words")
+    return side.drop("kw", "words", "low")
 
 
 def entity_skills(entities: DataFrame, labels=lexicon.ENTITY_LABELS) -> DataFrame:
@@ -135,9 +136,10 @@ def job_side(jobs: DataFrame, config: MatchConfig, vectors: DataFrame | None = N
 
 
 def _side(docs: DataFrame, config: MatchConfig) -> DataFrame:
-    tags = sk.skill_tags(F.col("match_text"), config.skill_tag_groups)
+    docs = docs.withColumn("low", lowered(F.col("match_text")))  # once for all that reads it
+    tags = sk.tags_in(F.col("low"), config.skill_tag_groups)
     docs = docs.select(
-        "key", "listed", "vec", "match_text",
+        "key", "listed", "vec", "match_text", "low",
         sk.lower_set(sk.all_skills(F.col("listed"), tags, F.col("found"))).alias("skills"))
     return _with_entries(_with_words(docs, "match_text", config))
 
