@@ -75,7 +75,8 @@ def cut(texts: pa.Array, word: np.ndarray, stop_words: Sequence[str],
     rows, found = _without(*_runs(of, KEYWORD_BYTES[np.minimum(points, 255)], sizes, 3, data), stop_words)
     coded = found.dictionary_encode()
     width = len(coded.dictionary) + 1
-    rows, codes = np.divmod(np.unique(rows * width + coded.indices.to_numpy()), width)
+    pairs = np.sort(rows * width + coded.indices.to_numpy())
+    rows, codes = np.divmod(pairs[np.diff(pairs, prepend=-1) > 0], width)
     return _lists(rows, coded.dictionary.take(pa.array(codes)), n), words
 
 
